@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, sharding
+from . import decontaminate, exact_dedup, jaccard_join, langid, line_dedup, mixing, sharding
 
 QUERIES = {
+    "op2_decontamination": decontaminate.op2,
+    "op3_line_dedup": line_dedup.op3,
+    "op5_language_id": langid.op5,
     "op7_exact_dedup": exact_dedup.op7,
     "op8_sharding": sharding.op8,
+    "op9_ngram_jaccard_join": jaccard_join.op9,
     "op10_mixing": mixing.op10,
 }
 ORACLE_SQL = {
+    "op3_line_dedup": line_dedup.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
     "op8_sharding": sharding.ORACLE,
     "op10_mixing": mixing.ORACLE,
