@@ -1,5 +1,62 @@
-"""Corpus pipeline (work in progress)."""
-STAGES = []
+"""A corpus pipeline: language ID, n-gram Jaccard join, benchmark decontamination, mixing, sharding.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read
+again as the next stage's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from packetloom.llm import decontaminate, jaccard_join, langid, mixing, sharding
+from packetloom.llm._store import Workspace
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language; those without any letter, or without text, go."""
+    named = langid.identify(docs, langid.train(docs))
+    return named.filter(F.col("lang_pred") != langid.UND).select(docs.columns)
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents, the one with the smallest doc_id."""
+    keep = jaccard_join.jaccard_components(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
+    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_keep"]), "left_semi")
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated so that every source has an equal share of the bytes, in random order."""
+    return mixing.mix(docs).select(docs.columns)
+
+
+def sharding_by_hash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their shard."""
+    return sharding.shard(docs)
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("n-gram Jaccard join", ngram_jaccard_join),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("mixing sources to target weights", mixing_sources),
+    ("sharding", sharding_by_hash),
+]
+
+#: SQL has no suffix automata or fingerprints; the tests hold the stages against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another, over the table documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    ws = Workspace(spark, "pipeline")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = ws.save(stage(spark, docs, sf_dir), f"stage-{i}")
+        if i:
+            ws.drop(f"stage-{i - 1}")
+    return docs

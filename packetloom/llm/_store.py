@@ -24,6 +24,13 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 4 MB, unless the session has its own limit: texts can be long."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key).rstrip("b") == str(64 << 20):
+        spark.conf.set(key, str(4 << 20))
+
+
 class Workspace:
     """Tables of one operator call: ``save`` writes and rereads, ``drop`` deletes early.
 

@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from . import _text
+from ._store import small_batches
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -154,6 +155,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, sim
     rows. The benchmark is searched in blocks of ``block_items`` items, each against all documents.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     n_blocks = max(1, -(-bench.count() // block_items))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import _text
+from ._store import small_batches
 
 #: Labelled rows a language's sample is drawn from, and the symbols it holds at most. The tables of
 #: all languages together hold at most TOTAL_SYMBOLS symbols (about 300 bytes each).
@@ -184,6 +185,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """
     kept = docs.select([c for c in docs.columns if c not in ("lang_pred", "score")])
     schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, jaccard_join, langid, line_dedup, mixing, sharding
+from . import decontaminate, exact_dedup, jaccard_join, langid, license_scan, line_dedup, mixing, sharding, toxicity, warc
 
 QUERIES = {
+    "op1_warc": warc.op1,
     "op2_decontamination": decontaminate.op2,
     "op3_line_dedup": line_dedup.op3,
+    "op4_toxicity": toxicity.op4,
     "op5_language_id": langid.op5,
+    "op6_license_scan": license_scan.op6,
     "op7_exact_dedup": exact_dedup.op7,
     "op8_sharding": sharding.op8,
     "op9_ngram_jaccard_join": jaccard_join.op9,
     "op10_mixing": mixing.op10,
 }
 ORACLE_SQL = {
+    "op1_warc": warc.ORACLE,
     "op3_line_dedup": line_dedup.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
     "op8_sharding": sharding.ORACLE,
