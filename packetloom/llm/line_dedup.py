@@ -136,7 +136,9 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     gone = gone.groupBy("d", "v", "part").agg(F.struct(F.min("pos").alias("first"), F.max("end").alias("last")).alias("run"))
     gone = ws.save(gone.groupBy("d", "v").agg(F.array_sort(F.collect_list("run")).alias("_runs")), "removed")
     row = docs.select(*own, F.col("doc_id").alias("_d"), _variant(F.col("text")).alias("_v"))
-    row = row.join(gone, F.col("_d").eqNullSafe(F.col("d")) & (F.col("_v") == F.col("v")), "left")
+    # one shuffle of the texts at any size: how many documents lose lines does not change the plan
+    gone = gone.select(F.col("d").alias("_gd"), F.col("v").alias("_gv"), "_runs")
+    row = row.join(gone.hint("merge"), F.col("_d").eqNullSafe(F.col("_gd")) & (F.col("_v") == F.col("_gv")), "left")
     line = _lines(F.col("text"))
     kept = F.filter(line, lambda x, i: ~F.exists("_runs", lambda r: (r["first"] <= i) & (r["last"] >= i)))
     text = F.when(F.col("_runs").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
