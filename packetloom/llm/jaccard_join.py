@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import _text
-from ._store import Workspace
+from ._store import Workspace, small_batches
 from .components import components
 
 WORDS = 4
@@ -204,6 +204,7 @@ class JaccardJoin:
     def __init__(self, docs: DataFrame, words: int = WORDS, percent: int = PERCENT, star_rounds: int = 2):
         self.words, self.percent, self.star_rounds = words, percent, star_rounds
         self.ws = Workspace(docs.sparkSession, "jaccard-join")
+        small_batches(docs.sparkSession)
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def run(self) -> DataFrame:
@@ -288,6 +289,7 @@ class JaccardJoin:
             open_groups = ws.save(now.join(apart, "sig", "left_semi"), f"open-{i}")
             if open_groups.isEmpty():
                 break
+        ws.drop("groups", *(f"pairs-{j}" for j in range(i + 1)), *(f"open-{j}" for j in range(i + 1)), *(f"verify-{j}-links" for j in range(i + 1)))
         nodes = self.nodes.select("node", "least")
         out = nodes.join(roots, "node", "left") if roots is not None else nodes.withColumn("root", F.lit(None).cast("long"))
         out = out.withColumn("root", F.coalesce("root", "node"))
