@@ -12,10 +12,12 @@ that t + 1 partitions must be good; a set emits its empty subsets only if more t
 partitions are *weak* (have an empty subset). If at least one of two linked sets has no more
 than t weak partitions, one good partition is not weak, and a non-empty subset is shared.
 
-Equal sets are one *node*. Pairs are formed without listing all pairs of a signature's group:
-first each member meets the group's first node, then a node picked at random; only members that
-are still in different components meet each other, and only if a parity sketch of the two sets
-does not already prove that they differ too much. Links inside a component cannot change it.
+Equal sets are one *node*, named by a 64-bit hash of the set (another seed is taken if two sets
+ever share one). Pairs are formed without listing all pairs of a signature's group: each member
+meets the group's two smallest nodes; where a group is then still in several components, its
+members meet one more of them in each of a few rounds; only members that are in different
+components after that meet each other. Links inside a component cannot change it. Pairs whose
+parity sketches already prove that the two sets differ too much go unverified.
 """
 
 from __future__ import annotations
@@ -34,8 +36,15 @@ from .components import components
 
 WORDS = 4
 PERCENT = 85
-BAND = 1.6
+BAND = 1.4
+#: Words of a parity sketch (64 bits each).
 SKETCH_LONGS = 16
+#: Rounds in which members of open groups meet one member that a hash picks.
+ROUNDS = 2
+#: Chance that a set of a band's smallest size has too many weak partitions.
+RARE = 1e-3
+#: Bits of the filter that picks the documents to read again, 2 MB whatever the input.
+FILTER_BITS = 24
 _PART = np.uint64(0xA24BAED4963EE407)
 _SIDE = np.uint64(0x9FB21C651E98DF25)
 
@@ -50,6 +59,14 @@ def band_bounds(most: int) -> list[tuple[int, int]]:
     return out
 
 
+def _more_than(k: int, n: int, p: float) -> float:
+    """Chance of more than k hits in n tries of chance p each."""
+    if not 0 < p < 1:
+        return float(p >= 1 and k < n)
+    log = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k + 1)]
+    return max(0.0, 1 - sum(map(math.exp, log)))
+
+
 class Scheme:
     """PartEnum parameters of the pairs that meet in one band: one set in it, the other in it or just above."""
 
@@ -58,17 +75,17 @@ class Scheme:
         over = high * 100 // percent
         #: |A xor B| <= (|A| + |B|) (1 - s) / (1 + s) for linked sets
         self.distance = (high + over) * (100 - percent) // (100 + percent)
-        self.k2, self.n2 = 1, 3 if high <= 64 else 2
-        self.spare = 0
-        for _ in range(20):
-            self.n1 = self.distance // (self.k2 + 1) + 1 + self.spare
-            part = low / (self.n1 * self.n2)
-            empty = math.exp(-part)
-            weak = 1 - (1 - empty) ** 2 if self.n2 == 2 else 3 * empty**2 - 2 * empty**3
-            spare = math.ceil(self.n1 * weak + 3 * math.sqrt(self.n1 * weak))
-            if spare <= self.spare:
+        self.k2, self.n2 = (1, 3) if high <= 64 else (0, 1)
+        best = (2.0, 0)
+        for spare in range(self.distance + 2):
+            n1 = self.distance // (self.k2 + 1) + 1 + spare
+            empty = math.exp(-low / (n1 * self.n2))
+            weak = empty if self.n2 == 1 else 3 * empty**2 - 2 * empty**3
+            best = min(best, (max(RARE, _more_than(spare, n1, weak)), spare))
+            if best[0] == RARE:
                 break
-            self.spare = min(spare, 2 * self.distance)
+        self.spare = best[1]
+        self.n1 = self.distance // (self.k2 + 1) + 1 + self.spare
         self.subsets = list(combinations(range(self.n2), self.n2 - self.k2))
 
     def signatures(self, elements: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,9 +131,9 @@ def distinct_sets(texts: list[bytes | None], words: int) -> tuple[np.ndarray, np
     return np.concatenate([np.empty(0, np.uint64), *parts]), np.cumsum([0] + [len(p) for p in parts])
 
 
-def _fingerprints(elements: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _fingerprints(elements: np.ndarray, off: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
-    for salt in (0x1B873593CC9E2D51, 0x85EBCA6BC2B2AE35):
+    for salt in (0x1B873593CC9E2D51 + seed, 0x85EBCA6BC2B2AE35):
         run = np.concatenate([[np.uint64(0)], np.cumsum(_text.mix64(elements ^ np.uint64(salt)))])
         out.append(run[off[1:]] - run[off[:-1]])
     return out[0], out[1]
@@ -137,20 +154,17 @@ def _batches(batches, slab: int = _text.SLAB):
             yield batch.slice(a, b - a), text.slice(a, b - a).to_pylist()
 
 
-SETS = "rid long, doc_id long, n int, lo long, hi long, sketch array<long>, sigs array<long>"
+SETS = "doc_id long, n int, node long, hi long, sketch array<long>, sigs array<long>"
 
 
-def _scan(words: int, percent: int):
+def _scan(words: int, percent: int, seed: int):
     def run(batches):
-        from pyspark import TaskContext
-
-        at = TaskContext.get().partitionId() << 33
         seen: set[tuple[int, int]] = set()  # 16 bytes of content for each distinct text of this partition
         schemes: list[Scheme] = []
         for batch, texts in _batches(batches):
             el, off = distinct_sets(texts, words)
             n = np.diff(off)
-            lo, hi = _fingerprints(el, off)
+            lo, hi = _fingerprints(el, off, seed)
             new = []
             for i, key in enumerate(zip(lo.tolist(), hi.tolist(), strict=True)):
                 if n[i] and key not in seen:
@@ -174,26 +188,32 @@ def _scan(words: int, percent: int):
                             sigs[i].append(got[cut[j] : cut[j + 1]])
             flat = [x for own_sigs in sigs for x in own_sigs]
             counts = np.cumsum([0] + [sum(map(len, x)) for x in sigs])
+            # a text seen before in this partition has its sketch there
             sketch = sketches(el, off)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(at + np.arange(len(texts))), batch.column("doc_id").cast(pa.int64()), pa.array(n.astype(np.int32)), _longs(lo), _longs(hi),
+                    batch.column("doc_id").cast(pa.int64()), pa.array(n.astype(np.int32)), _longs(lo), _longs(hi),
                     _lists(sketch.reshape(-1), np.arange(len(texts) + 1) * SKETCH_LONGS),
                     _lists(np.concatenate([np.empty(0, np.uint64), *flat]), counts),
                 ],
-                ["rid", "doc_id", "n", "lo", "hi", "sketch", "sigs"],
+                ["doc_id", "n", "node", "hi", "sketch", "sigs"],
             )
-            at += len(texts)
 
     return run
 
 
-def _reread(words: int):
+def _reread(words: int, seed: int, wanted):
+    """Sets of the documents whose slot is in the filter; slot is a hash of doc_id."""
+
     def run(batches):
-        for batch, texts in _batches(batches):
-            el, off = distinct_sets(texts, words)
-            lo, hi = _fingerprints(el, off)
-            yield pa.RecordBatch.from_arrays([_longs(lo), _longs(hi), _lists(el, off)], ["lo", "hi", "elements"])
+        for batch in batches:
+            slot = batch.column("slot").to_numpy()
+            some = (wanted.value[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1)
+            batch = batch.filter(pa.array(some.astype(bool)))
+            for _, texts in _batches([batch]):
+                el, off = distinct_sets(texts, words)
+                lo, hi = _fingerprints(el, off, seed)
+                yield pa.RecordBatch.from_arrays([_longs(lo), _longs(hi), _lists(el, off)], ["node", "hi", "elements"])
 
     return run
 
@@ -201,104 +221,143 @@ def _reread(words: int):
 class JaccardJoin:
     """The steps of the join, over one table of documents."""
 
-    def __init__(self, docs: DataFrame, words: int = WORDS, percent: int = PERCENT, star_rounds: int = 2):
-        self.words, self.percent, self.star_rounds = words, percent, star_rounds
+    def __init__(self, docs: DataFrame, words: int = WORDS, percent: int = PERCENT):
+        self.words, self.percent, self.seed = words, percent, 0
         self.ws = Workspace(docs.sparkSession, "jaccard-join")
         small_batches(docs.sparkSession)
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def run(self) -> DataFrame:
-        """rid, doc_id, n, node (null without shingles), least (smallest doc_id of the set) of every row."""
+        """doc_id, n_shingles and component_id of every row."""
         ws = self.ws
-        scanned = ws.save(self.docs.mapInArrow(_scan(self.words, self.percent), SETS), "scan")
-        # a set's node is its first row, its least doc_id the id that it can give a component
-        self.nodes = ws.save(
-            scanned.filter("n > 0").groupBy("n", "lo", "hi")
-            .agg(F.min("rid").alias("node"), F.min("doc_id").alias("least"), F.min_by("sketch", "rid").alias("sketch")),
-            "nodes",
-        )
-        rows = scanned.select("rid", "doc_id", "n", "lo", "hi", (F.size("sigs") > 0).alias("signed"))
-        same = ["n", "lo", "hi"]
-        self.rows = ws.save(rows.join(self.nodes.select(*same, "node"), same, "left"), "rows")
+        while True:
+            scanned = ws.save(self.docs.mapInArrow(_scan(self.words, self.percent, self.seed), SETS), "scan")
+            some = scanned.filter("n > 0")
+            key = some.groupBy("node").agg(
+                F.min("doc_id").alias("least"), F.min("n").alias("n"), F.max("n").alias("n2"), F.min("hi").alias("hi"), F.max("hi").alias("hi2"),
+            )
+            key = ws.save(key, "keys")
+            if key.filter("n <> n2 OR hi <> hi2").isEmpty():
+                break
+            self.seed += 1  # two sets share a name
+        self.rows = ws.save(scanned.select("doc_id", "n", "node"), "rows")
+        sketch = some.select("node", "sketch").dropDuplicates(["node"])
+        self.nodes = ws.save(key.select("node", "n", "hi", "least").join(sketch, "node"), "nodes")
         self.groups = self._groups(scanned)
-        ws.drop("scan")
+        ws.drop("scan", "keys")
         return self._link()
 
     def _groups(self, scanned: DataFrame) -> DataFrame:
-        """(sig, node) of signatures that several nodes share."""
-        sig = scanned.select(F.explode("sigs").alias("sig"), "rid")
+        """Members (sig, node) of signatures that several nodes share, but for the smallest node h1; with h1, the
+        second smallest h2, and whether at least two more nodes share the signature."""
         w = Window.partitionBy("sig")
-        many = sig.withColumn("c", F.count(F.lit(1)).over(w)).filter("c > 1").select("sig", "rid")
-        moved = self.rows.filter("signed and rid <> node").select(F.col("rid").alias("_rid"), "node")
-        out = many.join(moved, F.col("rid") == F.col("_rid"), "left").select("sig", F.coalesce("node", "rid").alias("node"))
-        return self.ws.save(out.distinct(), "groups")
-
-    def _pairs(self, groups: DataFrame, kind: str) -> DataFrame:
-        """Pairs of nodes (a < b) whose sketches leave a link possible, each once."""
-        if kind == "rest":
-            x, y = groups.alias("x"), groups.alias("y")
-            pair = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")))
-            pair = pair.filter(self._may_link("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-            return pair.distinct()
-        order = F.struct("node") if kind == "first" else F.struct(F.xxhash64("node", F.lit(kind)), F.col("node"))
-        hub = groups.groupBy("sig").agg(F.min_by("node", order).alias("hub"))
-        pair = groups.join(hub, "sig").filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        info = self.nodes.select("node", "n", "sketch")
-        pair = pair.join(info.toDF("a", "n", "sketch").alias("x"), "a").join(info.toDF("b", "n", "sketch").alias("y"), "b")
-        return pair.filter(self._may_link("x", "y")).select("a", "b")
-
-    def _may_link(self, x: str, y: str):
+        row = scanned.select(F.explode("sigs").alias("sig"), "node")
+        row = row.withColumn("h1", F.min("node").over(w)).filter("node <> h1")
+        row = row.withColumn("h2", F.min("node").over(w))
+        rest = F.when(F.col("node") != F.col("h2"), F.col("node"))
+        return self.ws.save(row.withColumn("more", F.min(rest).over(w) < F.max(rest).over(w)), "groups")
+
+    def _stars(self) -> DataFrame:
+        """Pairs (a < b) of each signature's two smallest nodes with all its others, each once."""
+        hubs = F.array(F.col("h1"), F.when(F.col("h2") != F.col("node"), F.col("h2")))
+        pair = self.groups.select("node", F.explode(hubs).alias("hub")).filter("hub IS NOT NULL")
+        return pair.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+
+    def _open(self, roots: DataFrame | None, name: str) -> DataFrame:
+        """(sig, node, root) of groups whose members, other than those two, are in several components."""
+        row = self.groups.filter("more AND node <> h2").select("sig", "node").distinct()
+        row = row.join(roots, "node", "left") if roots is not None else row.withColumn("root", F.col("node"))
+        row = row.withColumn("root", F.coalesce("root", "node"))
+        apart = row.groupBy("sig").agg(F.min("root").alias("p"), F.max("root").alias("q")).filter("p <> q").select("sig")
+        return self.ws.save(row.join(apart, "sig", "left_semi"), name)
+
+    def _round(self, rows: DataFrame, i: int) -> DataFrame:
+        """Pairs (a < b) of the members of each open group with one of them, picked by a hash, in other components."""
+        order = F.struct(F.xxhash64("node", F.lit(i)), F.col("node"))
+        hub = rows.groupBy("sig").agg(F.min(F.struct(order.alias("o"), F.col("root"))).alias("h")).select("sig", F.col("h.o.node").alias("hub"), F.col("h.root").alias("hub_root"))
+        pair = rows.join(hub, "sig").filter("root <> hub_root")
+        return pair.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+
+    def _rest(self, rows: DataFrame) -> DataFrame:
+        """All pairs (a < b) of members of open groups that are in different components and that sketches leave possible."""
+        row = rows.join(self.nodes.select("node", "n", "sketch"), "node")
+        x, y = row.alias("x"), row.alias("y")
+        cond = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
+        pair = x.join(y, cond & self._may_link("x", "y", 4) & self._may_link("x", "y", SKETCH_LONGS))
+        return pair.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+    def _may_link(self, x: str, y: str, longs: int):
         a, b = F.col(f"{x}.n"), F.col(f"{y}.n")
         sizes = F.least(a, b) * 100 >= F.greatest(a, b) * self.percent
-        bits = [F.bit_count(F.col(f"{x}.sketch")[i].bitwiseXOR(F.col(f"{y}.sketch")[i])) for i in range(SKETCH_LONGS)]
+        bits = [F.bit_count(F.col(f"{x}.sketch")[i].bitwiseXOR(F.col(f"{y}.sketch")[i])) for i in range(longs)]
         return sizes & (sum(bits[1:], bits[0]) * (100 + self.percent) <= (a + b) * (100 - self.percent))
 
-    def _verify(self, pairs: DataFrame, name: str) -> DataFrame:
+    def _possible(self, pairs: DataFrame) -> DataFrame:
+        """Pairs whose sketches leave a link possible."""
+        info = self.nodes.select("node", "n", "sketch")
+        pair = pairs.join(info.toDF("a", "n", "sketch").alias("x"), "a").join(info.toDF("b", "n", "sketch").alias("y"), "b")
+        return pair.filter(self._may_link("x", "y", SKETCH_LONGS)).select("a", "b")
+
+    def _filter(self, ids: DataFrame) -> np.ndarray:
+        """A bit for the hash of each doc_id: gathered as at most 2 ** FILTER_BITS / 64 words."""
+        slot = ids.select(_slot(F.col("doc_id")).alias("slot"))
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("slot") % 64).cast("int"))
+        words = slot.groupBy(F.floor(F.col("slot") / 64).cast("long").alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+        out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+        out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+        return out
+
+    def _sets(self, ids: DataFrame, name: str) -> DataFrame:
+        """(node, elements) of some nodes, made again from the texts of one document each."""
+        ws = self.ws
+        key = ws.save(self.nodes.join(ids, "node", "left_semi").select("node", "hi", F.col("least").alias("doc_id")), f"{name}-keys")
+        wanted = self.docs.sparkSession.sparkContext.broadcast(self._filter(key))
+        texts = self.docs.select("text", _slot(F.col("doc_id")).alias("slot"))
+        got = texts.mapInArrow(_reread(self.words, self.seed, wanted), "node long, hi long, elements array<long>")
+        return ws.save(got.join(key.select("node", "hi"), ["node", "hi"]).dropDuplicates(["node", "hi"]).select("node", "elements"), name)
+
+    def _verify(self, pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
         """The pairs that are linked, by exact intersection of their sets."""
-        ws, s = self.ws, F.col("same")
-        need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        key = self.nodes.join(need, "node", "left_semi").select("node", "lo", "hi", "n", F.col("least").alias("doc_id"))
-        key = ws.save(key, f"{name}-keys")
-        texts = self.docs.join(key.select("doc_id").distinct(), self.docs["doc_id"].eqNullSafe(key["doc_id"]), "left_semi")
-        got = texts.mapInArrow(_reread(self.words), "lo long, hi long, elements array<long>")
-        sets = ws.save(got.join(key, ["lo", "hi"]).dropDuplicates(["lo", "hi"]).select("node", "elements"), f"{name}-sets")
+        s = F.col("same")
         both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
         both = both.select("a", "b", F.size("x").alias("p"), F.size("y").alias("q"), F.size(F.array_intersect("x", "y")).alias("same"))
-        out = ws.save(both.filter(s * 100 >= (F.col("p") + F.col("q") - s) * self.percent).select("a", "b"), f"{name}-links")
-        ws.drop(f"{name}-sets", f"{name}-keys")
-        return out
+        return self.ws.save(both.filter(s * 100 >= (F.col("p") + F.col("q") - s) * self.percent).select("a", "b"), name)
 
     def _link(self) -> DataFrame:
-        ws, links, tested, roots = self.ws, None, None, None
-        open_groups = self.groups
-        for i, kind in enumerate(["first", *(f"round {r}" for r in range(1, self.star_rounds)), "rest"]):
-            pairs = self._pairs(open_groups, kind)
-            pairs = ws.save(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), f"pairs-{i}")
-            if not pairs.isEmpty():
-                found = self._verify(pairs, f"verify-{i}")
-                tested = pairs if tested is None else tested.unionByName(pairs)
+        ws, roots, links = self.ws, None, None
+        nodes_of = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        tested = ws.save(self._possible(self._stars()), "pairs-0")
+        if not tested.isEmpty():
+            links = self._verify(tested, self._sets(nodes_of(tested), "sets-0"), "links-0")
+            roots = components(links, ws, "cc-0")
+            ws.drop("sets-0")
+        rows = self._open(roots, "open-0")
+        sets = self._sets(rows.select("node").distinct(), "sets-1") if not rows.isEmpty() else None
+        for i in range(1, ROUNDS + 2):
+            if sets is None or rows.isEmpty():
+                break
+            pairs = self._possible(self._round(rows, i)) if i <= ROUNDS else self._rest(rows)
+            pairs = ws.save(pairs.join(tested, ["a", "b"], "left_anti"), f"pairs-{i}")
+            tested = tested.unionByName(pairs)
+            found = self._verify(pairs, sets, f"links-{i}")
+            if not found.isEmpty():
                 links = found if links is None else links.unionByName(found)
                 roots = components(links, ws, f"cc-{i}")
-            if kind == "rest":
-                break
-            # groups whose nodes are still in several components, with what the pair filter needs
-            now = self.groups.join(self.nodes.select("node", "n", "sketch"), "node")
-            now = now.join(roots, "node", "left") if roots is not None else now.withColumn("root", F.lit(None).cast("long"))
-            now = now.withColumn("root", F.coalesce("root", "node"))
-            apart = now.groupBy("sig").agg(F.min("root").alias("p"), F.max("root").alias("q")).filter("p <> q").select("sig")
-            open_groups = ws.save(now.join(apart, "sig", "left_semi"), f"open-{i}")
-            if open_groups.isEmpty():
-                break
-        ws.drop("groups", *(f"pairs-{j}" for j in range(i + 1)), *(f"open-{j}" for j in range(i + 1)), *(f"verify-{j}-links" for j in range(i + 1)))
-        nodes = self.nodes.select("node", "least")
-        out = nodes.join(roots, "node", "left") if roots is not None else nodes.withColumn("root", F.lit(None).cast("long"))
+                rows = self._open(roots, f"open-{i}")
+        ws.drop("groups", "sets-1", *(f"{kind}-{j}" for kind in ("pairs", "links", "open") for j in range(ROUNDS + 2)))
+        out = self.nodes.select("node", "least")
+        out = out.join(roots, "node", "left") if roots is not None else out.withColumn("root", F.col("node"))
         out = out.withColumn("root", F.coalesce("root", "node"))
-        first = out.groupBy("root").agg(F.min("least").alias("component_id"))
-        named = out.join(first, "root").select(F.col("node").alias("_node"), "component_id")
-        rows = self.rows.join(named, F.col("node") == F.col("_node"), "left")
+        name = out.groupBy("root").agg(F.min("least").alias("component_id"))
+        named = out.join(name, "root").select("node", "component_id")
+        rows = self.rows.join(named, (self.rows["node"] == named["node"]) & (self.rows["n"] > 0), "left")
         return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _slot(doc_id):
+    return F.pmod(F.xxhash64(doc_id), F.lit(1 << FILTER_BITS))
+
+
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id.
 

@@ -83,6 +83,20 @@ def test_join_of_one_large_group(spark):
     assert got == sorted(brute_components(rows, 85))
 
 
+def test_join_takes_another_seed_when_two_sets_share_a_name(spark, monkeypatch):
+    real = jaccard_join._fingerprints
+
+    def clash(elements, off, seed):
+        lo, hi = real(elements, off, seed)
+        return (lo if seed else lo % np.uint64(3)), hi
+
+    monkeypatch.setattr(jaccard_join, "_fingerprints", clash)
+    rows = [(i, f"only words of {i} text number {i}") for i in range(9)] + [(20, "only words of 3 text number 3")]
+    join = jaccard_join.JaccardJoin(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: r.component_id for r in join.run().collect()}
+    assert got == {i: 3 if i == 20 else i for i, _ in rows}
+
+
 def test_join_of_empty_table_and_null_ids(spark):
     assert jaccard_join.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     rows = [(None, "a b c d e"), (4, "a b c d e"), (None, None)]
