@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .core import let
+
 # Prefixes of internal addresses, as strings.
 PRIVATE_PREFIXES = (
     "10.", "192.168.", "172.16.", "172.17.", "172.18.", "172.19.", "172.20.", "172.21.", "172.22.", "172.23.", "172.24.",
@@ -45,44 +47,57 @@ def _hex(number: Column, width: int) -> Column:
 
 
 def _v4_hex(ip: Column) -> Column:
-    return F.concat(*[_hex(F.get(F.split(ip, "\\."), F.lit(i)).try_cast("long"), 2) for i in range(4)])
+    return let(F.split(ip, "\\."), lambda p: F.concat(*[_hex(F.get(p, F.lit(i)).try_cast("long"), 2) for i in range(4)]))
+
+
+def _v6_groups(s: Column) -> Column:
+    """The eight groups of a lower-case IPv6 string without dots, or null."""
+    groups = lambda h: F.filter(F.split(h, ":", -1), lambda x: x != "")
+
+    def whole(halves: Column) -> Column:
+        left = groups(F.get(halves, F.lit(0)))
+        right = F.when(F.size(halves) == 2, groups(F.get(halves, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+        gap = lambda p: F.when(F.size(halves) == 2, F.greatest(F.lit(8) - F.size(p["l"]) - F.size(p["r"]), F.lit(0))).otherwise(F.lit(0))
+        parts = let(F.struct(left.alias("l"), right.alias("r")), lambda p: F.concat(p["l"], F.array_repeat(F.lit("0"), gap(p)), p["r"]))
+        # '::' stands for one group at least
+        full = F.when(F.size(halves) == 2, F.size(groups(s)) < 8).otherwise(True)
+        return F.when((F.size(halves) <= 2) & full, parts)
+
+    good = s.contains(":") & ~s.rlike(":::|^:[^:]|[^:]:$")
+    found = let(F.split(s, "::", -1), whole)
+    return let(found, lambda g: F.when(good & (F.size(g) == 8) & F.forall(g, lambda x: x.rlike("^[0-9a-f]{1,4}$")), g))
 
 
 def key(ip: Column) -> Column:
     """The address's key, or null if the string is no address."""
-    s = F.lower(ip)
-    tail = F.regexp_extract(s, "^(.*:)([0-9.]+)$", 2)
-    dotted = s.contains(":") & s.contains(".")
-    # a dotted tail becomes two groups
-    four = _v4_hex(tail)
-    s6 = F.when(dotted & is_v4(tail), F.concat(F.regexp_extract(s, "^(.*:)([0-9.]+)$", 1), F.substring(four, 1, 4), F.lit(":"), F.substring(four, 5, 4))).otherwise(s)
-    halves = F.split(s6, "::", -1)
-    groups = lambda h: F.filter(F.split(h, ":", -1), lambda x: x != "")
-    left, right = groups(F.get(halves, F.lit(0))), F.when(F.size(halves) == 2, groups(F.get(halves, F.lit(1)))).otherwise(F.array().cast("array<string>"))
-    given = F.size(left) + F.size(right)
-    zeros = F.when(F.size(halves) == 2, F.greatest(F.lit(8) - given, F.lit(0))).otherwise(F.lit(0))
-    every = F.concat(left, F.array_repeat(F.lit("0"), zeros), right)
-    good = (
-        s6.contains(":") & (F.size(halves) <= 2) & (F.size(every) == 8) & ((F.size(halves) == 1) | (given < 8))
-        & F.forall(every, lambda g: g.rlike("^[0-9a-f]{1,4}$")) & ~s6.rlike(":::|^:[^:]|[^:]:$")
-    )
-    v6 = F.array_join(F.transform(every, lambda g: F.lpad(g, 4, "0")), "")
-    return F.when(is_v4(ip), F.concat(F.lit("00000000000000000000ffff"), _v4_hex(ip))).when(good, v6)
+
+    def six(s: Column) -> Column:
+        tail = F.regexp_extract(s, "^.*:([0-9.]+)$", 1)
+        # a dotted tail becomes two groups
+        plain = let(_v4_hex(tail), lambda h: F.concat(F.regexp_extract(s, "^(.*:)[0-9.]+$", 1), F.substring(h, 1, 4), F.lit(":"), F.substring(h, 5, 4)))
+        text = F.when(s.contains(".") & is_v4(tail), plain).otherwise(s)
+        return let(text, lambda t: F.array_join(F.transform(_v6_groups(t), lambda g: F.lpad(g, 4, "0")), ""))
+
+    return F.when(is_v4(ip), F.concat(F.lit("00000000000000000000ffff"), _v4_hex(ip))).when(ip.contains(":"), let(F.lower(ip), six))
 
 
 def canonical(ip: Column) -> Column:
     """The address in its compressed form (RFC 5952); other strings as they are."""
-    k = key(ip)
-    parts = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.regexp_replace(F.substring(k, i * 4 + 1, F.lit(4)), "^0{1,3}", ""))
-    joined = F.array_join(parts, ":")
-    # the longest run of at least two zero groups, the first of equally long ones
-    runs = [":".join(["0"] * n) for n in range(8, 1, -1)]
-    out = joined
-    for run in reversed(runs):
-        found = F.regexp_extract(joined, f"(^|:)({run})(:|$)", 2) != ""
-        short = F.regexp_replace(F.regexp_replace(joined, f"^(.*?)(^|:){run}(:|$)(.*)$", "$1::$4"), ":::+", "::")
-        out = F.when(found, short).otherwise(out)
-    return F.when(is_v4(ip), ip).when(k.isNotNull(), out).otherwise(ip)
+
+    def compressed(joined: Column) -> Column:
+        # the longest run of at least two zero groups, the first of equally long ones
+        out = joined
+        for n in range(2, 9):
+            run = ":".join(["0"] * n)
+            short = F.regexp_replace(F.regexp_replace(joined, f"^(.*?)(^|:){run}(:|$)(.*)$", "$1::$4"), ":::+", "::")
+            out = F.when(joined.rlike(f"(^|:){run}(:|$)"), short).otherwise(out)
+        return out
+
+    def form(k: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.regexp_replace(F.substring(k, i * 4 + 1, F.lit(4)), "^0{1,3}", ""))
+        return F.when(k.isNotNull(), let(F.array_join(parts, ":"), compressed)).otherwise(ip)
+
+    return F.when(is_v4(ip), ip).otherwise(let(key(ip), form))
 
 
 def _bounds(net: str) -> tuple[str, str]:
@@ -94,9 +109,7 @@ def _bounds(net: str) -> tuple[str, str]:
     return tuple(f"{int(a):032x}" for a in (n.network_address, n.broadcast_address))
 
 
-def in_nets(ip: Column, nets: tuple[str, ...]) -> Column:
-    """Whether an address lies in one of a few given networks; false for other strings."""
-    k = key(ip)
+def _inside(k: Column, nets: tuple[str, ...]) -> Column:
     hit = F.lit(False)
     for net in nets:
         low, high = _bounds(net)
@@ -104,6 +117,11 @@ def in_nets(ip: Column, nets: tuple[str, ...]) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
+def in_nets(ip: Column, nets: tuple[str, ...]) -> Column:
+    """Whether an address lies in one of a few given networks; false for other strings."""
+    return let(key(ip), lambda k: _inside(k, nets))
+
+
 def _starts(ip: Column, prefixes: tuple[str, ...]) -> Column:
     return ip.rlike("^(" + "|".join(p.replace(".", "\\.") for p in prefixes) + ")") if prefixes else F.lit(False)
 
@@ -120,19 +138,23 @@ def is_external(ip: Column, extra: tuple[str, ...] = ()) -> Column:
     A string with a colon that is no address is not external; other malformed strings are, as
     they have no internal prefix.
     """
-    v6 = key(ip).isNotNull() & ~in_nets(ip, PRIVATE_NETS) | in_nets(ip, PRIVATE_EXCEPT)
+    v6 = let(key(ip), lambda k: k.isNotNull() & (~_inside(k, PRIVATE_NETS) | _inside(k, PRIVATE_EXCEPT)))
     out = ~is_multicast(ip) & ~_starts(ip, PRIVATE_PREFIXES + extra) & F.when(ip.contains(":"), v6).otherwise(True)
     return F.coalesce((ip != "") & out, F.lit(False))
 
 
+def _internal_key(k: Column) -> Column:
+    return _inside(k, PRIVATE_NETS) & ~_inside(k, PRIVATE_EXCEPT)
+
+
 def is_internal(ip: Column) -> Column:
     """Private or link-local by address registries, documentation and benchmark nets included. Not the complement of is_external."""
-    return in_nets(ip, PRIVATE_NETS) & ~in_nets(ip, PRIVATE_EXCEPT)
+    return let(key(ip), _internal_key)
 
 
 def is_global(ip: Column) -> Column:
     """A valid address outside all private nets and outside 100.64.0.0/10."""
-    return key(ip).isNotNull() & ~is_internal(ip) & ~in_nets(ip, (SHARED_NET,))
+    return let(key(ip), lambda k: k.isNotNull() & ~_internal_key(k) & ~_inside(k, (SHARED_NET,)))
 
 
 def is_beacon_noise(ip: Column, allow: tuple[str, ...] = ()) -> Column:
@@ -142,7 +164,7 @@ def is_beacon_noise(ip: Column, allow: tuple[str, ...] = ()) -> Column:
 
 def subnet(ip: Column) -> Column:
     """The /24 of an IPv4 address, the /64 of an IPv6 one, as a key prefix."""
-    return F.when(is_v4(ip), F.substring(key(ip), 1, 30)).otherwise(F.substring(key(ip), 1, 16))
+    return let(key(ip), lambda k: F.when(is_v4(ip), F.substring(k, 1, 30)).otherwise(F.substring(k, 1, 16)))
 
 
 def mask(k: Column, length: Column) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .core import let
+
 # Two-level public suffixes for grouping subdomains.
 TWO_LEVEL_SUFFIXES = (
     "co.uk", "org.uk", "gov.uk", "ac.uk", "co.jp", "com.au", "net.au", "org.au", "co.nz", "com.br", "com.cn", "com.mx", "co.za", "co.in", "co.kr",
@@ -26,16 +28,19 @@ def _labels(name: Column) -> Column:
 
 def registered_parent(name: Column, suffixes: tuple[str, ...] = TWO_LEVEL_SUFFIXES) -> Column:
     """The registered domain: the last two labels, or three under a two-level suffix; a single label as it is."""
-    parts = _labels(name)
-    n = F.size(parts)
-    last = lambda k: F.array_join(F.slice(parts, -k, k), ".")
-    return F.when(n < 2, F.coalesce(name, F.lit(""))).when((n >= 3) & last(2).isin(*suffixes), last(3)).otherwise(last(2))
+
+    def parent(parts: Column) -> Column:
+        n = F.size(parts)
+        last = lambda k: F.array_join(F.slice(parts, -k, k), ".")
+        return F.when(n < 2, F.coalesce(name, F.lit(""))).when((n >= 3) & last(2).isin(*suffixes), last(3)).otherwise(last(2))
+
+    return let(_labels(name), parent)
 
 
 def registered_label(name: Column) -> Column:
     """The last label but one, empty labels left out; '' if there are fewer than two."""
     parts = F.filter(F.split(F.coalesce(name, F.lit("")), "\\."), lambda x: x != "")
-    return F.when(F.size(parts) >= 2, F.get(parts, F.size(parts) - 2)).otherwise(F.lit(""))
+    return let(parts, lambda p: F.when(F.size(p) >= 2, F.get(p, F.size(p) - 2)).otherwise(F.lit("")))
 
 
 def dga_score(name: Column) -> Column:
@@ -44,16 +49,19 @@ def dga_score(name: Column) -> Column:
     35 % entropy (of 4 bits), 25 % longest run of consonants (of 6), 20 % lack of vowels (under
     30 %), 20 % digits (of 30 %). Consonants are ASCII letters.
     """
-    label = registered_label(name)
-    n = F.length(label)
-    part = lambda pattern: F.length(F.regexp_replace(label, f"[^{pattern}]", "")) / n
-    runs = F.transform(F.regexp_extract_all(label, F.lit("([B-DF-HJ-NP-TV-Zb-df-hj-np-tv-zAEIOU]+)"), F.lit(1)), F.length)
-    run = F.coalesce(F.array_max(runs), F.lit(0))
-    total = (
-        0.35 * F.least(entropy(label) / 4.0, F.lit(1.0)) + 0.25 * F.least(run / 6.0, F.lit(1.0))
-        + 0.20 * (1.0 - F.least(part("aeiou") / 0.30, F.lit(1.0))) + 0.20 * F.least(part("0-9") / 0.30, F.lit(1.0))
-    )
-    return F.when(n < 8, F.lit(0.0)).otherwise(F.round(F.least(total, F.lit(1.0)), 3))
+
+    def score(label: Column) -> Column:
+        n = F.length(label)
+        part = lambda pattern: F.length(F.regexp_replace(label, f"[^{pattern}]", "")) / n
+        runs = F.transform(F.regexp_extract_all(label, F.lit("([B-DF-HJ-NP-TV-Zb-df-hj-np-tv-zAEIOU]+)"), F.lit(1)), F.length)
+        run = F.coalesce(F.array_max(runs), F.lit(0))
+        total = (
+            0.35 * F.least(entropy(label) / 4.0, F.lit(1.0)) + 0.25 * F.least(run / 6.0, F.lit(1.0))
+            + 0.20 * (1.0 - F.least(part("aeiou") / 0.30, F.lit(1.0))) + 0.20 * F.least(part("0-9") / 0.30, F.lit(1.0))
+        )
+        return F.when(n < 8, F.lit(0.0)).otherwise(F.round(F.least(total, F.lit(1.0)), 3))
+
+    return let(registered_label(name), score)
 
 
 def squashed(s: Column) -> Column:

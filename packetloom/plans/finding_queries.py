@@ -102,11 +102,11 @@ def timeline_union(t):
     return evidence.timeline(fact=fact, observation=obs).select("kind", "entity", "label", "size")
 
 
-@query("SELECT event_id, epoch_us(ts) AS at FROM events WHERE (ts, event_id) > ((SELECT ts FROM events WHERE event_id = 5000), 5000) ORDER BY ts, event_id LIMIT 101")
+@query("SELECT event_id, epoch_us(ts) AS at FROM events WHERE (ts, event_id) > ((SELECT ts FROM events WHERE event_id = 500), 500) ORDER BY ts, event_id LIMIT 101")
 def keyset_page(t):
     e = t("events")
-    at = e.filter("event_id = 5000").select("ts").first()[0]
-    return evidence.page_after(e, "ts", "event_id", (at, 5000), 100).select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    at = e.filter("event_id = 500").select("ts").first()[0]
+    return evidence.page_after(e, "ts", "event_id", (at, 500), 100).select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
 
 
 @query("""WITH f AS (SELECT o_custkey AS finding_id, arg_max(struct_pack(s := o_orderstatus, a := epoch(o_orderdate)::BIGINT, p := o_orderpriority), (o_orderdate, o_orderkey)) AS x FROM orders GROUP BY ALL)

@@ -150,7 +150,7 @@ def test_sinks(spark, tmp_path):
     with pytest.raises(ExceptionGroup):
         sinks.fan_out(broken, sinks.to_parquet(str(tmp_path / "q")))(df, 0)
     assert spark.read.parquet(str(tmp_path / "q")).count() == 1
-    assert sinks.syslog_frame("x").startswith(b"26 <134>1 - packetloom")
+    assert sinks.syslog_frame("x").startswith(b"38 <134>1 - packetloom")
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
