@@ -31,12 +31,12 @@ def rates(docs: DataFrame, weights: DataFrame | None = None, total_bytes: int |
     if weights is None:
         stats = stats.withColumn("weight", F.lit(1.0))
     else:
-        w = weights.select(F.col("src").alias("_src"), F.col("weight").cast("double").alias("_weight"))
-        stats = stats.join(w, F.col("src").eqNullSafe(F.col("_src")), "left").withColumn("weight", F.coalesce("_weight", F.lit(0.0))).drop("_src", "_weight")
+        w = weights.select(F.col("src").alias("__pl_src"), F.col("weight").cast("double").alias("__pl_weight"))
+        stats = stats.join(w, F.col("src").eqNullSafe(F.col("__pl_src")), "left").withColumn("weight", F.coalesce("__pl_weight", F.lit(0.0))).drop("__pl_src", "__pl_weight")
     stats = stats.withColumn("weight", F.when(F.col("n_bytes") > 0, F.col("weight")).otherwise(0.0))
-    whole = stats.agg(F.sum("weight").alias("_weights"), F.sum("n_bytes").alias("_bytes"))
-    size_out = F.lit(total_bytes) if total_bytes is not None else F.col("_bytes")
-    rate = F.when((F.col("n_bytes") > 0) & (F.col("_weights") > 0), F.col("weight") / F.col("_weights") * size_out / F.col("n_bytes")).otherwise(0.0)
+    whole = stats.agg(F.sum("weight").alias("__pl_weights"), F.sum("n_bytes").alias("__pl_bytes"))
+    size_out = F.lit(total_bytes) if total_bytes is not None else F.col("__pl_bytes")
+    rate = F.when((F.col("n_bytes") > 0) & (F.col("__pl_weights") > 0), F.col("weight") / F.col("__pl_weights") * size_out / F.col("n_bytes")).otherwise(0.0)
     out = stats.join(F.broadcast(whole)).withColumn("rate", rate)
     out = out.withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / PART_MEAN)).cast("int"))
     mean = F.col("rate") / F.col("parts")
@@ -66,11 +66,13 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, total_bytes: int | No
     shuffle_key are replaced.
     """
     own = [c for c in docs.columns if c not in ("copy", "n_copies", "rate", "shuffle_key")]
-    table = rates(docs, weights, total_bytes, source, text).select(F.col("src").alias("_src"), "rate", F.col("parts").alias("_parts"), F.col("cdf").alias("_cdf"))
+    table = rates(docs, weights, total_bytes, source, text).select(F.col("src").alias("__pl_src"), "rate", F.col("parts").alias("__pl_parts"), F.col("cdf").alias("__pl_cdf"))
     few = docs.select(source).distinct().limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    row = docs.select(*own).join(F.broadcast(table) if few else table, F.col(source).eqNullSafe(F.col("_src")))
+    row = docs.select(*own).join(F.broadcast(table) if few else table, F.col(source).eqNullSafe(F.col("__pl_src")))
     name = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    draws = F.transform(F.sequence(F.lit(1), F.col("_parts")), lambda j: F.size(F.filter("_cdf", lambda c: c < _unit(F.lit(seed), name, j.cast("string")))))
+    # each number is hashed once, then compared with the distribution's steps
+    number = F.transform(F.sequence(F.lit(1), F.col("__pl_parts")), lambda j: _unit(F.lit(seed), name, j.cast("string")))
+    draws = F.transform(number, lambda u: F.size(F.filter("__pl_cdf", lambda c: c < u)))
     n = F.aggregate(draws, F.lit(0), lambda a, b: a + b)
     row = row.select(*own, "rate", n.alias("n_copies")).filter("n_copies > 0")
     row = row.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
