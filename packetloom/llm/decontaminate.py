@@ -193,8 +193,8 @@ def _search(index, words: int):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` whose documents contain no benchmark item."""
-    bad = contamination(docs, benchmark, **how).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    bad = contamination(docs, benchmark, **how).select(F.col("doc_id").alias("__pl_bad")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__pl_bad"]), "left_anti")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

@@ -167,8 +167,8 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, most: int = TRAIN_SYMBOLS) ->
     w = Window.partitionBy("lang").orderBy("k")
     ids = pool.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= rows).select("doc_id", "lang").distinct()
     # at most rows * languages ids
-    ids = ids.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
-    take = docs.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang")), "left_semi")
+    ids = ids.select(F.col("doc_id").alias("__pl_id"), F.col("lang").alias("__pl_lang"))
+    take = docs.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("__pl_id")) & (F.col("lang") == F.col("__pl_lang")), "left_semi")
     got = take.select("doc_id", "lang", F.substring("text", 1, 4 * most).alias("text")).dropDuplicates(["doc_id", "lang", "text"]).orderBy("lang", "doc_id", "text").collect()
     samples: dict[str, list[str]] = {}
     for r in got:

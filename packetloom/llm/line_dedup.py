@@ -134,20 +134,20 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     gone = gone.withColumn("fresh", F.when(F.col("pos") <= reach + 1, 0).otherwise(1))
     gone = gone.withColumn("part", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     gone = gone.groupBy("d", "v", "part").agg(F.struct(F.min("pos").alias("first"), F.max("end").alias("last")).alias("run"))
-    gone = ws.save(gone.groupBy("d", "v").agg(F.array_sort(F.collect_list("run")).alias("_runs")), "removed")
-    row = docs.select(*own, F.col("doc_id").alias("_d"), _variant(F.col("text")).alias("_v"))
+    gone = ws.save(gone.groupBy("d", "v").agg(F.array_sort(F.collect_list("run")).alias("__pl_runs")), "removed")
+    row = docs.select(*own, F.col("doc_id").alias("__pl_d"), _variant(F.col("text")).alias("__pl_v"))
     # one shuffle of the texts at any size: how many documents lose lines does not change the plan
-    gone = gone.select(F.col("d").alias("_gd"), F.col("v").alias("_gv"), "_runs")
-    row = row.join(gone.hint("merge"), F.col("_d").eqNullSafe(F.col("_gd")) & (F.col("_v") == F.col("_gv")), "left")
+    gone = gone.select(F.col("d").alias("__pl_gd"), F.col("v").alias("__pl_gv"), "__pl_runs")
+    row = row.join(gone.hint("merge"), F.col("__pl_d").eqNullSafe(F.col("__pl_gd")) & (F.col("__pl_v") == F.col("__pl_gv")), "left")
     line = _lines(F.col("text"))
-    kept = F.filter(line, lambda x, i: ~F.exists("_runs", lambda r: (r["first"] <= i) & (r["last"] >= i)))
-    text = F.when(F.col("_runs").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    lost = F.aggregate("_runs", F.lit(0), lambda a, r: a + r["last"] - r["first"] + 1)
+    kept = F.filter(line, lambda x, i: ~F.exists("__pl_runs", lambda r: (r["first"] <= i) & (r["last"] >= i)))
+    text = F.when(F.col("__pl_runs").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    lost = F.aggregate("__pl_runs", F.lit(0), lambda a, r: a + r["last"] - r["first"] + 1)
     return row.select(
         *[text.alias(c) if c == "text" else F.col(c) for c in own],
         F.when(F.col("text").isNull(), 0).otherwise(F.size(line)).alias("n_lines"),
         F.coalesce(lost, F.lit(0)).alias("n_removed"),
-        F.coalesce("_runs", F.array().cast("array<struct<first:int,last:int>>")).alias("removed"),
+        F.coalesce("__pl_runs", F.array().cast("array<struct<first:int,last:int>>")).alias("removed"),
     )
 
 

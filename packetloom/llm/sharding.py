@@ -58,11 +58,11 @@ def directory(light: DataFrame, limit: int, ws: Workspace) -> tuple[list[tuple[i
         passes.append((deep, found))
         if deep == BITS:
             return passes, not found.filter((F.col("shard_bytes") > limit)).isEmpty()
-        large = sums.join(found, "at", "left_anti").select(F.col("at").alias("_at"))
+        large = sums.join(found, "at", "left_anti").select(F.col("at").alias("__pl_at"))
         large = ws.save(large, f"large-{deep}")
         if large.isEmpty():
             return passes, False
-        rest = ws.save(rest.join(large, prefix(F.col("bits"), deep) == F.col("_at"), "left_semi"), f"rest-{deep}")
+        rest = ws.save(rest.join(large, prefix(F.col("bits"), deep) == F.col("__pl_at"), "left_semi"), f"rest-{deep}")
         start, deep = deep + 1, min(BITS, deep + 16)
 
 
@@ -81,16 +81,16 @@ def shard(docs: DataFrame, limit: int = LIMIT_BYTES, key: str = "doc_id", text:
     size = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long")
     light = ws.save(docs.select(hash_bits(key).alias("bits"), size.alias("bytes")), "light")
     passes, overflow = directory(light, limit, ws)
-    row = docs.select(*own, hash_bits(key).alias("_bits"))
+    row = docs.select(*own, hash_bits(key).alias("__pl_bits"))
     leaf = [F.lit(None).cast("int"), F.lit(None).cast("long"), F.lit(None).cast("long")]
     for deep, found in passes:
-        t = found.select(F.col("at").alias("_at"), F.struct("depth", "prefix", "shard_bytes").alias(f"_leaf{deep}"))
+        t = found.select(F.col("at").alias("__pl_at"), F.struct("depth", "prefix", "shard_bytes").alias(f"__pl_leaf{deep}"))
         t = F.broadcast(t) if found.count() <= BROADCAST_ROWS else t
-        row = row.join(t, prefix(F.col("_bits"), deep) == F.col("_at"), "left").drop("_at")
-        here = F.col(f"_leaf{deep}")
+        row = row.join(t, prefix(F.col("__pl_bits"), deep) == F.col("__pl_at"), "left").drop("__pl_at")
+        here = F.col(f"__pl_leaf{deep}")
         leaf = [F.coalesce(leaf[0], here["depth"]), F.coalesce(leaf[1], here["prefix"]), F.coalesce(leaf[2], here["shard_bytes"])]
     name = F.concat_ws(":", leaf[0].cast("string"), leaf[1].cast("string"))
-    out = row.select(*own, "_bits", name.alias("shard_id"), leaf[0].alias("shard_depth"), leaf[1].alias("shard_prefix"), leaf[2].alias("shard_bytes"))
+    out = row.select(*own, "__pl_bits", name.alias("shard_id"), leaf[0].alias("shard_depth"), leaf[1].alias("shard_prefix"), leaf[2].alias("shard_bytes"))
     if overflow:
         full = (F.col("shard_depth") == BITS) & (F.col("shard_bytes") > limit)
         paged = _pages(out.filter(full), limit, size, own)
@@ -101,13 +101,13 @@ def shard(docs: DataFrame, limit: int = LIMIT_BYTES, key: str = "doc_id", text:
 def _pages(rows: DataFrame, limit: int, size, own: list[str]) -> DataFrame:
     from pyspark.sql import Window
 
-    w = Window.partitionBy("_bits")
-    fit = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.lit(1), F.max("_size").over(w))))
-    numbered = rows.withColumn("_size", size).withColumn("_fit", fit)
-    numbered = numbered.withColumn("_page", F.floor((F.row_number().over(w.orderBy("_size")) - 1) / F.col("_fit")))
+    w = Window.partitionBy("__pl_bits")
+    fit = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.lit(1), F.max("__pl_size").over(w))))
+    numbered = rows.withColumn("__pl_size", size).withColumn("__pl_fit", fit)
+    numbered = numbered.withColumn("__pl_page", F.floor((F.row_number().over(w.orderBy("__pl_size")) - 1) / F.col("__pl_fit")))
     return numbered.select(
-        *own, F.concat_ws(":", F.col("shard_id"), F.col("_page").cast("string")).alias("shard_id"), "shard_depth", "shard_prefix",
-        F.sum("_size").over(Window.partitionBy("_bits", "_page")).alias("shard_bytes"),
+        *own, F.concat_ws(":", F.col("shard_id"), F.col("__pl_page").cast("string")).alias("shard_id"), "shard_depth", "shard_prefix",
+        F.sum("__pl_size").over(Window.partitionBy("__pl_bits", "__pl_page")).alias("shard_bytes"),
     )
 
 

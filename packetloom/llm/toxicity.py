@@ -121,8 +121,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, grades: in
     spark = docs.sparkSession
     key = F.xxhash64(F.col("doc_id"), F.lit(4))
     pick = labels.filter(F.col("grade").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("grade").alias("grade"))
-    pick = pick.orderBy(key, "doc_id").limit(rows).select(F.col("doc_id").alias("_id"), F.col("grade").cast("int").alias("_grade"))
-    texts = docs.join(F.broadcast(pick), F.col("doc_id") == F.col("_id")).select("doc_id", F.col("_grade").alias("grade"), "text")
+    pick = pick.orderBy(key, "doc_id").limit(rows).select(F.col("doc_id").alias("__pl_id"), F.col("grade").cast("int").alias("__pl_grade"))
+    texts = docs.join(F.broadcast(pick), F.col("doc_id") == F.col("__pl_id")).select("doc_id", F.col("__pl_grade").alias("grade"), "text")
 
     def run(batches):
         for batch in batches:

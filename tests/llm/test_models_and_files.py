@@ -197,3 +197,26 @@ def test_pipeline_stages(spark):
 def test_registry_names():
     assert sorted(int(k[2:].split("_")[0]) for k in registry.QUERIES) == list(range(1, 11))
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES)
+
+
+ODD = [
+    (1, "plain words of a text that has some length to it", "en", "a", 5), (2, None, None, None, None), (None, "words without an identity", "en", None, 3), (3, "", "de", "a", 0), (4, "42 -- !", None, "b", 9),
+    (5, "plain words of a text that has some length to it", "en", "b", 5), (5, "plain words of a text that has some length to it", "en", "b", 5), (6, "long " * 60_000, "en", "a", 1), (6, "other text under one identity", "xx", "a", 1),
+]
+
+
+@pytest.mark.parametrize("rows", [ODD, []], ids=["odd", "empty"])
+def test_pipeline_stages_take_odd_documents(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("node", "n", "d", "v", "sig", "_bits", "item_id", "src", "rate2"):
+        docs = docs.withColumn(name, F.lit("extra"))
+    ws, now = Workspace(spark, "odd"), docs
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        now = ws.save(stage(spark, now, SMALL), str(i))
+        assert i == len(corpus_pipeline.STAGES) - 1 or now.columns == docs.columns, name
+        texts = [r.text for r in now.collect()]
+        if i == 0:
+            assert None not in texts and "" not in texts and "42 -- !" not in texts and len(texts) == (6 if rows else 0)
+        if i == 1 and rows:
+            assert sorted(r.doc_id or 0 for r in now.collect() if (r.text or "").startswith("plain")) == [1]
+    assert set(now.columns) == {*docs.columns, "shard_id", "shard_depth", "shard_prefix", "shard_bytes"}
