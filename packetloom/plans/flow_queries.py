@@ -347,7 +347,7 @@ def ja4_novelty(t):
     return out.select("entity", "fp", "n_fleet", "severity", F.col("confidence").cast("double").alias("confidence"))
 
 
-@query("""WITH w AS (SELECT event_type AS cohort, user_id, floor(epoch(ts) / 86400)::BIGINT * 86400 AS start, sum(value) AS b FROM events GROUP BY ALL),
+@query("""WITH w AS (SELECT event_type || '/' || user_id // 8 AS cohort, user_id, floor(epoch(ts) / 86400)::BIGINT * 86400 AS start, sum(value) AS b FROM events GROUP BY ALL),
  j AS (SELECT w.cohort, w.user_id, w.start, w.b, h.user_id = w.user_id AS own, h.user_id AS who, h.b AS v FROM w JOIN w h ON h.cohort = w.cohort AND h.start >= w.start - 20 * 86400 AND h.start + 86400 <= w.start),
  m AS (SELECT *, median(v) OVER (PARTITION BY cohort, user_id, start, own) AS med FROM j),
  s AS (SELECT cohort, user_id, start, b, own, count(*) AS n, count(DISTINCT who) AS k, any_value(med) AS med, greatest(1.4826 * median(abs(v - med)), 4.0, any_value(med) * 0.1) AS sc FROM m GROUP BY ALL),
@@ -356,7 +356,8 @@ def ja4_novelty(t):
  SELECT cohort, user_id, start, round(CASE WHEN d0 IS NULL THEN dp ELSE least(d0, dp) END, 4) AS score, CASE WHEN d0 IS NULL THEN 'peer-only-cold-start' ELSE 'entity-and-peer' END AS mode
  FROM r WHERE CASE WHEN d0 IS NULL THEN dp ELSE least(d0, dp) END > 3.0""")
 def outbound_baseline(t):
-    w = baseline.outbound_windows(t("events").withColumnRenamed("event_type", "cohort"), ["cohort"], "user_id", "ts", "value", 86400)
+    e = t("events").withColumn("cohort", F.concat_ws("/", "event_type", F.floor(F.col("user_id") / 8).cast("string")))
+    w = baseline.outbound_windows(e, ["cohort"], "user_id", "ts", "value", 86400)
     out = baseline.outbound_anomalies(w, ["cohort"], "user_id", 86400, history=20, threshold=3.0, floor=4.0)
     return out.select("cohort", "user_id", "start", F.round("score", 4).alias("score"), "mode")
 
