@@ -41,6 +41,10 @@ BAND = 1.4
 SKETCH_LONGS = 16
 #: Rounds in which members of open groups meet one member that a hash picks.
 ROUNDS = 2
+#: Signatures that more rows than this share, as a sample of one row in SAMPLE estimates it, are grouped by aggregates instead of in one task.
+HEAVY_ROWS, SAMPLE = 1_000_000, 100
+#: Heavy signatures up to which their table is broadcast (24 bytes each).
+BROADCAST_SIGNATURES = 1_000_000
 #: Chance that a set of a band's smallest size has too many weak partitions.
 RARE = 1e-3
 #: Bits of the filter that picks the documents to read again, 2 MB whatever the input.
@@ -218,6 +222,26 @@ def _reread(words: int, seed: int, wanted):
     return run
 
 
+def _in_tasks(row: DataFrame) -> DataFrame:
+    """Groups of signatures that fit a task each."""
+    w = Window.partitionBy("sig")
+    row = row.withColumn("h1", F.min("node").over(w)).filter("node <> h1")
+    row = row.withColumn("h2", F.min("node").over(w))
+    rest = F.when(F.col("node") != F.col("h2"), F.col("node"))
+    return row.withColumn("more", F.min(rest).over(w) < F.max(rest).over(w)).select("sig", "node", "h1", "h2", "more")
+
+
+def _by_aggregates(row: DataFrame, small) -> DataFrame:
+    """The same for heavy signatures: what a group needs comes from aggregates with map-side combining."""
+    first = row.groupBy("sig").agg(F.min("node").alias("h1"))
+    row = row.join(small(first), "sig").filter("node <> h1")
+    second = row.groupBy("sig").agg(F.min("node").alias("h2"))
+    row = row.join(small(second), "sig")
+    rest = F.when(F.col("node") != F.col("h2"), F.col("node"))
+    more = row.groupBy("sig").agg((F.min(rest) < F.max(rest)).alias("more"))
+    return row.join(small(more), "sig").select("sig", "node", "h1", "h2", "more")
+
+
 class JaccardJoin:
     """The steps of the join, over one table of documents."""
 
@@ -250,12 +274,15 @@ class JaccardJoin:
     def _groups(self, scanned: DataFrame) -> DataFrame:
         """Members (sig, node) of signatures that several nodes share, but for the smallest node h1; with h1, the
         second smallest h2, and whether at least two more nodes share the signature."""
-        w = Window.partitionBy("sig")
         row = scanned.select(F.explode("sigs").alias("sig"), "node")
-        row = row.withColumn("h1", F.min("node").over(w)).filter("node <> h1")
-        row = row.withColumn("h2", F.min("node").over(w))
-        rest = F.when(F.col("node") != F.col("h2"), F.col("node"))
-        return self.ws.save(row.withColumn("more", F.min(rest).over(w) < F.max(rest).over(w)), "groups")
+        often = row.sample(1 / SAMPLE, seed=1).groupBy("sig").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > HEAVY_ROWS / SAMPLE)
+        often = self.ws.save(often.select("sig"), "heavy")
+        n = often.count()
+        if not n:
+            return self.ws.save(_in_tasks(row), "groups")
+        small = (lambda df: F.broadcast(df)) if n <= BROADCAST_SIGNATURES else (lambda df: df)
+        light = _in_tasks(row.join(small(often), "sig", "left_anti"))
+        return self.ws.save(light.unionByName(_by_aggregates(row.join(small(often), "sig", "left_semi"), small)), "groups")
 
     def _stars(self) -> DataFrame:
         """Pairs (a < b) of each signature's two smallest nodes with all its others, each once."""

@@ -83,6 +83,16 @@ def test_join_of_one_large_group(spark):
     assert got == sorted(brute_components(rows, 85))
 
 
+def test_heavy_signatures_give_the_same_groups(spark, monkeypatch):
+    r = random.Random(9)
+    base = [f"w{r.randrange(500)}" for _ in range(150)]
+    rows = [(i, " ".join(edited(r, base, r.randrange(9)))) for i in range(70)] + [(100 + i, t) for i, (_, t) in enumerate(corpus(5)[:60])]
+    monkeypatch.setattr(jaccard_join, "HEAVY_ROWS", 4)
+    monkeypatch.setattr(jaccard_join, "SAMPLE", 1)
+    got = sorted(tuple(x) for x in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted(brute_components(rows, 85))
+
+
 def test_join_takes_another_seed_when_two_sets_share_a_name(spark, monkeypatch):
     real = jaccard_join._fingerprints
 
