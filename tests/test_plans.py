@@ -208,3 +208,28 @@ def test_stateful_processors(spark, tmp_path):
     assert sorted((r.member, r["rank"]) for r in got) == [("m15", 15), ("m16", 16), ("m17", 17), ("m18", 18), ("m19", 19)]
     got = stream(spark, tmp_path, df, lambda s: stateful.first_write_counts(s, 10, 5), "count")
     assert [r.n for r in got] == [5, 5]
+
+
+def test_streaming_volumes_count_the_last_record_of_a_flow(spark, tmp_path):
+    base = dt.datetime(2024, 1, 1)
+    data = [("a", "f1", base, 100.0), ("a", "f1", base + dt.timedelta(seconds=5), 300.0), ("a", "f2", base, 20.0), ("z", "f", base + dt.timedelta(hours=5), 0.0), ("z", "f", base + dt.timedelta(hours=9), 0.0)]
+    df = spark.createDataFrame(data, "src string, flow string, event_time timestamp, b double")
+    got = stream(spark, tmp_path, df, lambda s: detect.volumes(s, ["src"], ["flow"], "b"), "volume")
+    assert {(r.src, r.total, r.n_flows) for r in got if r.src == "a"} == {("a", 320.0, 2)}
+    got = stream(spark, tmp_path, df.unionByName(df), lambda s: detect.bursts(detect.once(s, ["src", "flow", "b"]), ["src"], F.col("b") >= 0, "10 minutes", 1, lateness=None), "burst")
+    assert {(r.src, r.n) for r in got if r.src == "a"} == {("a", 3)}
+
+
+def test_pending_findings_time_out_or_reopen(spark, tmp_path):
+    for k, v in stateful.STATE.items():
+        spark.conf.set(k, v)
+    base = dt.datetime(2024, 1, 1)
+    at = lambda s: base + dt.timedelta(seconds=s)
+    src, out = tmp_path / "pending-in", []
+    schema = "key string, kind string, event_time timestamp"
+    batches = [[("a", "candidate", at(0)), ("b", "candidate", at(0))], [("a", "result", at(30))], [("z", "x", at(4000))], [("b", "result", at(4010)), ("z", "x", at(9000))]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(src))
+        q = run.start(stateful.pending_findings(spark.readStream.schema(schema).parquet(str(src)), 600), lambda b, _: out.extend(b.collect()), str(tmp_path / "pending-cp"))
+        q.awaitTermination()
+    assert sorted((r.key, r.revision, r.outcome) for r in out) == [("a", 2, "enriched"), ("b", 2, "timeout"), ("b", 3, "reopened")]
