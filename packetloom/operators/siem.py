@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import rules, text, time
+from ..functions import rules, text
 
 # Names of finding fields in other vocabularies.
 CIM = {"src_ip": "src", "dest_ip": "dest", "category": "category", "severity": "severity_id", "detector_id": "signature", "finding_id": "id"}
@@ -191,7 +191,3 @@ def risk_findings(flows: DataFrame, key: list[str], ndpi: str) -> DataFrame:
         F.max("c.severity").alias("severity"), F.max("c.confidence").alias("confidence"), F.array_sort(F.collect_set(text.squashed(F.col("r.name")))).alias("rules"),
         F.slice(F.array_sort(F.collect_list("r")), 1, MOST_EVIDENCE).alias("evidence"),
     )
-
-
-def age_seconds(ts: Column, now: Column) -> Column:
-    return time.epoch(now) - time.epoch(ts)

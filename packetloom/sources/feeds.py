@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions import ip as ips, rules, text, time
+from ..functions import ip as ips, rules, time
 from ..operators.intel import tlp_name, tlp_rank
 
 HEX = {32: "md5", 40: "sha1", 64: "sha256"}
@@ -131,7 +131,3 @@ def geo_join(df: DataFrame, address: str, networks: DataFrame, network: str, val
     hit = cidr_join(ask, address, networks.select(network, *values), network)
     best = hit.groupBy(address).agg(F.max_by(F.struct(*values), F.struct(ips.net_length(F.col(network)), F.col(network))).alias("_g"))
     return df.join(best, address, "left").select(*df.columns, *[F.col(f"_g.{v}").alias(v) for v in values])
-
-
-def squash_names(df: DataFrame, name: str) -> DataFrame:
-    return df.withColumn(name, text.squashed(F.col(name)))

@@ -12,7 +12,6 @@ import urllib.request
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import MapType, StructType
 
 Writer = Callable[[DataFrame, int], None]
 
@@ -141,8 +140,3 @@ def fan_out(*writers: Writer) -> Writer:
             raise ExceptionGroup("sinks failed", errors)
 
     return write
-
-
-def flat_schema(schema: StructType) -> bool:
-    """Whether a schema has no maps, which JSON sinks cannot sort."""
-    return not any(isinstance(f.dataType, MapType) for f in schema.fields)
