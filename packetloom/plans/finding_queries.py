@@ -179,7 +179,7 @@ def fact_intervals(t):
 
 
 @query("""SELECT o_custkey % 100 AS asset, array_to_string(list_sort(list(DISTINCT o_orderpriority)), ',') AS ips, epoch(min(o_orderdate))::BIGINT AS first_seen, epoch(max(o_orderdate))::BIGINT AS last_seen,
- least(1.0, 0.5 + 0.1 * count(DISTINCT o_orderstatus)) AS confidence FROM orders GROUP BY ALL""")
+ least(1.0::DOUBLE, 0.5::DOUBLE + 0.1::DOUBLE * count(DISTINCT o_orderstatus)) AS confidence FROM orders GROUP BY ALL""")
 def asset_merge(t):
     e = t("orders").select(F.lit("t").alias("tenant"), (F.col("o_custkey") % 100).alias("asset_key"), F.col("o_orderpriority").alias("ip"), F.lit("").alias("mac"), F.lit("h").alias("hostname"), F.col("o_orderstatus").alias("src"), F.col("o_orderdate").alias("ts"))
     out = assets.merged(e)

@@ -338,7 +338,7 @@ _FP = "'t13d' || lpad((o_custkey % 3 * 100 + o_orderkey % 4)::VARCHAR, 4, '0') |
  g AS (SELECT *, row_number() OVER (PARTITION BY entity, ac ORDER BY ts, fp, o_orderkey) > 1 AS alike FROM f),
  h AS (SELECT g.*, (SELECT count(DISTINCT entity) FROM o p WHERE p.fp = g.fp AND p.ts <= g.ts) AS fleet FROM g WHERE k = 1)
  SELECT entity, fp, fleet AS n_fleet, greatest(1, CASE WHEN fleet <= 3 THEN 5 ELSE 2 END - CASE WHEN alike THEN 1 ELSE 0 END)::INT AS severity,
-        CASE WHEN fleet <= 3 THEN 0.5 ELSE 0.3 END * CASE WHEN alike THEN 0.5 ELSE 1.0 END AS confidence FROM h
+        CASE WHEN fleet <= 3 THEN 0.5 ELSE 0.3 END::DOUBLE * CASE WHEN alike THEN 0.5 ELSE 1.0 END::DOUBLE AS confidence FROM h
  WHERE prior >= 1 AND epoch(ts) - epoch(since) >= 86400""")
 def ja4_novelty(t):
     spark_fp = _FP.replace("::VARCHAR", "").replace("lpad((", "lpad(CAST((").replace(", 4, '0')", " AS STRING), 4, '0')").replace(", 12, '0')", " AS STRING), 12, '0')")
