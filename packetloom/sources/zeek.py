@@ -14,7 +14,7 @@ def parse_tsv(lines: DataFrame, value: str = "value", by: list[str] = ()) -> Dat
     head = lines.filter(F.col(value).startswith("#fields")).select(*by, F.slice(F.split(F.col(value), "\t", -1), F.lit(2), F.greatest(F.size(F.split(F.col(value), "\t", -1)) - 1, F.lit(0))).alias("_names"))
     head = head.groupBy(*by).agg(F.first("_names").alias("_names")) if by else head.limit(1)
     row = lines.filter(~F.col(value).startswith("#") & (F.trim(F.col(value)) != ""))
-    row = row.join(F.broadcast(head), list(by)) if by else row.crossJoin(F.broadcast(head))
+    row = row.join(head, list(by)) if by else row.crossJoin(F.broadcast(head))
     cells = F.split(F.col(value), "\t", -1)
     n = F.least(F.size(cells), F.size("_names"))
     clean = F.transform(F.slice(cells, F.lit(1), n), lambda c: F.when(~c.isin("-", "(empty)"), c))
