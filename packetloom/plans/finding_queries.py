@@ -29,9 +29,8 @@ def asof_domain(t):
        WHERE lower(s.sni) <> regexp_replace(split_part(h.host, ':', 1), '^www\\.', ''))
  SELECT event_id, sni FROM j WHERE k = 1""")
 def host_sni_mismatch(t):
-    e = t("events")
-    http = e.filter("event_id % 4 = 0").select("event_id", "user_id", "ts", F.concat(F.lit("www.h"), (F.col("event_id") % 3).cast("string"), F.lit(".org:80")).alias("host"))
-    tls = e.filter("event_id % 4 = 1").select("user_id", F.col("ts").alias("at"), (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("until"), F.concat(F.lit("H"), (F.col("event_id") % 3).cast("string"), F.lit(".org")).alias("sni"), F.col("event_id").alias("sid"))
+    http = t("events", "event_id % 4 = 0", "event_id % 2 = 0").select("event_id", "user_id", "ts", F.concat(F.lit("www.h"), (F.col("event_id") % 3).cast("string"), F.lit(".org:80")).alias("host"))
+    tls = t("events", "event_id % 4 = 1", "event_id % 2 = 1").select("user_id", F.col("ts").alias("at"), (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("until"), F.concat(F.lit("H"), (F.col("event_id") % 3).cast("string"), F.lit(".org")).alias("sni"), F.col("event_id").alias("sid"))
     pair = joins.interval_join(http, tls, ["user_id"], "ts", "at", "until").filter(rules.host_sni_mismatch(F.col("sni"), F.col("host")))
     return pair.groupBy("event_id").agg(F.min_by("sni", F.struct("at", "sid")).alias("sni"))
 
@@ -44,7 +43,7 @@ _ADDR = "('10.' || (p_partkey % 4) || '.' || (p_size % 8) || '.' || (p_partkey %
 def cidr_match(t):
     a = t("part").select("p_partkey", F.expr(_ADDR).alias("ip"))
     net = F.expr("concat('10.', s_suppkey % 4, '.', s_nationkey % 8, '.0/', CASE s_suppkey % 3 WHEN 0 THEN 16 WHEN 1 THEN 24 ELSE 21 END)")
-    n = t("supplier").filter("s_suppkey <= 40").select("s_suppkey", net.alias("net"))
+    n = t("supplier", "s_suppkey <= 40").select("s_suppkey", net.alias("net"))
     return joins.cidr_join(a, "ip", n, "net").select("p_partkey", "s_suppkey")
 
 
@@ -90,7 +89,7 @@ def live_facts(t):
 
 @query("SELECT DISTINCT o_orderstatus AS observation, o_custkey AS who FROM orders WHERE o_custkey < 500 UNION SELECT DISTINCT l_returnflag, l_suppkey FROM lineitem")
 def evidence_distinct(t):
-    a = t("orders").filter("o_custkey < 500").select(F.col("o_orderstatus").alias("observation"), F.col("o_custkey").alias("who"))
+    a = t("orders", "o_custkey < 500").select(F.col("o_orderstatus").alias("observation"), F.col("o_custkey").alias("who"))
     b = t("lineitem").select(F.col("l_returnflag").alias("observation"), F.col("l_suppkey").alias("who"))
     return latest.evidence_union(a, b, a)
 
@@ -145,7 +144,7 @@ _OWNED = f"""WITH {_LEASES}, w AS (SELECT ip, s, arg_min(mac, (obs, mac)) AS mac
 
 
 def _leases(t):
-    rows = t("lineitem").filter("l_orderkey % 40 = 0")
+    rows = t("lineitem", "l_orderkey % 40 = 0")
     end = F.when(F.col("l_linenumber") % 4 > 0, F.col("l_shipdate") + F.make_dt_interval(days=F.col("l_quantity").cast("int")))
     return rows.select((F.col("l_suppkey") % 40).alias("ip"), F.col("l_returnflag").alias("mac"), F.col("l_shipdate").alias("start"), end.alias("expires"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("obs_id"))
 
@@ -171,7 +170,7 @@ def owner_at_instant(t):
  o AS (SELECT k, v, run, part, min(ts) AS s, max(x) AS l, arg_max(struct_pack(n := nx), ts) AS a, count(*) AS n FROM q GROUP BY ALL)
  SELECT k, v, epoch(s)::BIGINT AS valid_from, epoch(CASE WHEN l IS NULL THEN a.n WHEN a.n IS NULL THEN l ELSE least(l, a.n) END)::BIGINT AS valid_to, n FROM o""")
 def fact_intervals(t):
-    rows = t("lineitem").filter("l_orderkey % 30 = 0")
+    rows = t("lineitem", "l_orderkey % 30 = 0")
     end = F.when(F.col("l_linenumber") % 3 > 0, F.col("l_shipdate") + F.make_dt_interval(days=F.col("l_quantity").cast("int")))
     f = rows.select((F.col("l_suppkey") % 30).alias("k"), F.col("l_returnflag").alias("v"), F.col("l_shipdate").alias("ts"), end.alias("x"), "l_linenumber", "l_orderkey", "l_returnflag")
     out = windows.fact_intervals(f, ["k"], "v", "ts", "x", [F.col("l_linenumber"), F.col("l_orderkey"), F.col("l_returnflag")])
@@ -211,7 +210,7 @@ def _findings(t):
     select = body[len("SELECT ") : body.index(" FROM events")]
     parts = ["event_id AS finding_id", "user_id", select[select.index("CASE event_id % 8") : select.index("AS detector_id")] + "AS detector_id",
              select[select.index("CASE event_id % 5") : select.index("AS category")] + "AS category", "CAST(1 + event_id % 10 AS INT) AS severity", "(event_id % 11) / 10.0D AS confidence", "ts"]
-    return t("events").filter("event_id % 7 = 0").selectExpr(*parts)
+    return t("events", "event_id % 7 = 0").selectExpr(*parts)
 
 
 _RISK = f"""s AS (SELECT user_id, detector_id, max(struct_pack(s := severity, t := ts)) AS b FROM f GROUP BY ALL),
@@ -322,7 +321,7 @@ def suppression_antijoin(t):
   round(least(1.0, (p + z * z / (2 * m)) / (1 + z * z / m) + z * sqrt(p * (1 - p) / m + z * z / (4 * m * m)) / (1 + z * z / m)), 6) AS high, tp + fp < 30 AS low_confidence FROM w""")
 def detector_quality(t):
     d = t("labels").select(F.col("doc_id").alias("finding_id"), F.when(F.col("toxic") == 1, "true_positive").when(F.col("quality") == 1, "false_positive").otherwise("other").alias("verdict"))
-    f = t("documents").filter("doc_id % 10 > 0").select(F.col("doc_id").alias("finding_id"), F.col("source").alias("detector_id"), F.lit(1).alias("revision"), F.lit(0).alias("ingested_at"))
+    f = t("documents", "doc_id % 10 > 0").select(F.col("doc_id").alias("finding_id"), F.col("source").alias("detector_id"), F.lit(1).alias("revision"), F.lit(0).alias("ingested_at"))
     out = scoring.detector_quality(d, f)
     return out.withColumns({c: F.round(c, 6) for c in ("rate", "low", "high")})
 
@@ -352,10 +351,10 @@ _EPISODES = """e AS (SELECT o_orderkey AS episode_id, o_custkey % 3 AS tenant, [
 
 
 def _episodes(t):
-    o = t("orders").filter("o_orderkey % 20 = 0")
+    o = t("orders", "o_orderkey % 20 = 0")
     label = F.expr("CASE o_orderkey % 4 WHEN 0 THEN 'benign' WHEN 1 THEN 'unknown' ELSE 'malicious' END")
     e = o.select(F.col("o_orderkey").alias("episode_id"), (F.col("o_custkey") % 3).alias("tenant"), F.expr("array(concat('u', o_custkey % 50), concat('k', o_orderkey % 6))").alias("required"), _secs("o_orderdate").cast("double").alias("start"), (_secs("o_orderdate") + 86400 * 30).cast("double").alias("end"), label.alias("label"))
-    li = t("lineitem").filter("l_orderkey % 10 = 0")
+    li = t("lineitem", "l_orderkey % 10 = 0")
     d = li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("detection_id"), (F.col("l_suppkey") % 3).alias("tenant"), F.expr("array(concat('u', l_suppkey % 50), concat('k', l_partkey % 6), 'z')").alias("entities"), _secs("l_shipdate").cast("double").alias("start"), (_secs("l_shipdate") + 3600).cast("double").alias("end"))
     return d, e
 

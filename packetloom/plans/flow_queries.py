@@ -294,7 +294,7 @@ def ransomware_smb(t):
 @query("""WITH g AS (SELECT user_id, count(DISTINCT event_type) AS n_codes, count(DISTINCT json_extract_string(props, '$.k')) AS n_units FROM events WHERE event_id % 5 = 0 GROUP BY ALL)
  SELECT user_id, n_codes, n_units, CASE WHEN n_codes >= 5 THEN 'fc enumeration: ' || n_codes || ' distinct function codes' ELSE 'unit enumeration: ' || n_units || ' distinct unit IDs' END AS why FROM g WHERE n_codes >= 5 OR n_units >= 9""")
 def fc_enumeration(t):
-    e = t("events").filter("event_id % 5 = 0").withColumn("unit", F.get_json_object("props", "$.k"))
+    e = t("events", "event_id % 5 = 0").withColumn("unit", F.get_json_object("props", "$.k"))
     return counts.modbus_enumeration(e, ["user_id"], "event_type", "unit", 5, 9)
 
 
@@ -342,7 +342,7 @@ _FP = "'t13d' || lpad((o_custkey % 3 * 100 + o_orderkey % 4)::VARCHAR, 4, '0') |
  WHERE prior >= 1 AND epoch(ts) - epoch(since) >= 86400""")
 def ja4_novelty(t):
     spark_fp = _FP.replace("::VARCHAR", "").replace("lpad((", "lpad(CAST((").replace(", 4, '0')", " AS STRING), 4, '0')").replace(", 12, '0')", " AS STRING), 12, '0')")
-    o = t("orders").filter("o_orderkey % 9 > 0").select((F.col("o_custkey") % 20).alias("entity"), F.expr(spark_fp).alias("fp"), F.col("o_orderdate").alias("ts"))
+    o = t("orders", "o_orderkey % 9 > 0").select((F.col("o_custkey") % 20).alias("entity"), F.expr(spark_fp).alias("fp"), F.col("o_orderdate").alias("ts"))
     out = novelty.ja4_novelty(o, [], "entity", "fp", "ts", min_observations=1, rare=3)
     return out.select("entity", "fp", "n_fleet", "severity", F.col("confidence").cast("double").alias("confidence"))
 
