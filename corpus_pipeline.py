@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from packetloom.llm import decontaminate, jaccard_join, langid, mixing, sharding
 from packetloom.llm._store import Workspace
 
+#: Near copies share 80 % of their 5-word shingles; op9_ngram_jaccard_join alone takes the operator's 4 words and 85 %.
+WORDS, PERCENT = 5, 80
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; those without any letter, or without text, go."""
@@ -20,7 +23,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents, the one with the smallest doc_id."""
-    keep = jaccard_join.jaccard_components(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__pl_keep")).distinct()
+    keep = jaccard_join.jaccard_components(docs, WORDS, PERCENT).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__pl_keep")).distinct()
     return docs.join(keep, docs["doc_id"].eqNullSafe(keep["__pl_keep"]), "left_semi")
 
 

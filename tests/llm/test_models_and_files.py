@@ -220,3 +220,12 @@ def test_pipeline_stages_take_odd_documents(spark, rows):
         if i == 1 and rows:
             assert sorted(r.doc_id or 0 for r in now.collect() if (r.text or "").startswith("plain")) == [1]
     assert set(now.columns) == {*docs.columns, "shard_id", "shard_depth", "shard_prefix", "shard_bytes"}
+
+
+def test_pipeline_takes_near_copies_from_80_percent(spark):
+    words = [f"w{i}" for i in range(1000)]
+    edited = ["new" if i % 50 == 0 else w for i, w in enumerate(words)]  # 20 edits, Jaccard 0.82
+    apart = ["new" if i % 40 == 0 else w for i, w in enumerate(words)]  # 25 edits, Jaccard below 0.8
+    rows = [(1, words), (2, words + [f"x{i}" for i in range(200)]), (3, edited), (4, [f"v{i}" for i in range(300)]), (5, apart)]
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in rows], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.ngram_jaccard_join(spark, docs, SMALL).collect()) == [1, 4, 5]
