@@ -5,7 +5,10 @@ text is parsed greedily into the longest phrases that occur in that sample; a sy
 occurs in it is a phrase of its own. With c phrases over n symbols and a sample of N symbols,
 c * log2(N) / n estimates the bits a symbol costs in that language; the cheapest language wins.
 
-Symbols are lower-cased letters; a run of anything else is one separator. Texts are parsed in
+Symbols are lower-cased letters; a run of anything else is one separator. The samples' most frequent
+letters are a symbol each, and each of their other letters is spelt with a few digits, so that the
+tables stay narrow whatever the scripts and no two letters of a sample become one. A letter that no
+sample has is a phrase of its own in every language. Texts are parsed in
 blocks of ``BLOCK`` symbols (a phrase ends where its block does), so that all blocks of a batch
 step through the automata together and memory does not depend on a text's length.
 """
@@ -27,7 +30,11 @@ from ._store import small_batches
 TRAIN_ROWS = 64
 TRAIN_SYMBOLS = 40_000
 TOTAL_SYMBOLS = 200_000
+#: Symbols besides digits, and digits that spell the letters for which there is no symbol.
 ALPHABET = 48
+DIGITS = 16
+#: Places of a long training text that its share of symbols is taken from.
+WINDOWS = 4
 BLOCK = 1024
 SHARPNESS = 4.0
 UND = "und"
@@ -43,11 +50,21 @@ def code_points(text: str) -> np.ndarray:
 
 
 def symbols(points: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Symbols of code points: 0 for each run of non-letters, 1 for a letter outside the alphabet."""
+    """Symbols of code points: 0 for each run of non-letters, 1 for a letter that no sample has."""
     s = table[points]
     return s[(s != 0) | np.concatenate([[True], s[:-1] != 0])] if len(s) else s
 
 
+def spread(s: np.ndarray, most: int) -> np.ndarray:
+    """At most ``most`` symbols of a text: windows at equal distances from its start to its end."""
+    k = min(WINDOWS, most // 2)
+    if len(s) <= most or k < 2:
+        return s[:most]
+    wide = most // k - 1
+    starts = [i * (len(s) - wide) // (k - 1) for i in range(k)]
+    return np.concatenate([x for a in starts for x in (s[a : a + wide], s[:0] if a == starts[-1] else np.zeros(1, s.dtype))])
+
+
 def suffix_automaton(text: list[int], size: int) -> np.ndarray:
     """Transitions of the suffix automaton of a symbol list, -1 where there is none; state 0 is the root."""
     nxt, link, length, last = [[-1] * size], [-1], [0], 0
@@ -94,15 +111,20 @@ class Model:
         every = np.concatenate([np.empty(0, np.uint32), *(p for v in points.values() for p in v)])
         every = every[_letters()[every]]
         found, count = np.unique(every, return_counts=True)
-        best = found[np.argsort(-count, kind="stable")][: alphabet - 2]
-        self.table = _letters().astype(np.uint8)
+        order = found[np.argsort(-count, kind="stable")]
+        best, rare = order[: alphabet - 2], np.sort(order[alphabet - 2 :])  # letters of one script share leading digits
+        self.alphabet, self.places = alphabet, 1
+        while DIGITS**self.places < len(rare):
+            self.places += 1
+        self.size = alphabet + (DIGITS if len(rare) else 0)
+        self.table = _letters().astype(np.uint32)
         self.table[best] = np.arange(2, 2 + len(best))
-        self.size = alphabet
+        self.table[rare] = self.size + np.arange(len(rare))
         tables, self.roots, self.bits, at = [], [], [], 0
         for k in self.languages:
             share = max(1, most // max(1, len(points[k]) // 2))
-            flat = np.concatenate([np.zeros(1, np.uint8), *(np.concatenate([symbols(p, self.table)[:share], [0]]) for p in points[k])])[:most]
-            t = parsing_table(suffix_automaton(flat.tolist(), alphabet))
+            flat = np.concatenate([np.zeros(1, np.uint8), *(np.concatenate([spread(self.symbols(p), share), [0]]) for p in points[k])])[:most]
+            t = parsing_table(suffix_automaton(flat.tolist(), self.size))
             tables.append(t + 2 * at)
             self.roots.append(at)
             self.bits.append(math.log2(max(2, len(flat))))
@@ -110,6 +132,18 @@ class Model:
         self.steps = np.concatenate(tables).reshape(-1) if tables else np.empty(0, np.int32)
         self.roots, self.bits = np.array(self.roots, np.int64), np.array(self.bits)
 
+    def symbols(self, points: np.ndarray) -> np.ndarray:
+        """Symbols of code points, with rare letters spelt."""
+        s = symbols(points, self.table)
+        spelt = s >= self.size
+        if not spelt.any():
+            return s.astype(np.uint8)
+        width = np.where(spelt, self.places, 1)
+        nth = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
+        code = np.repeat(s, width)
+        digit = (code - self.size) // DIGITS ** (self.places - 1 - nth) % DIGITS + self.alphabet
+        return np.where(code >= self.size, digit, code).astype(np.uint8)
+
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases of each symbol array (rows) in each language (columns)."""
         flat = np.concatenate([np.empty(0, np.uint8), *texts])
@@ -137,7 +171,7 @@ class Model:
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         symbol = []
         for t in texts:
-            s = symbols(code_points(t or ""), self.table)
+            s = self.symbols(code_points(t or ""))
             symbol.append(s if s.any() else s[:0])
         n = np.array([len(s) for s in symbol])
         cost = self.phrases(symbol) * self.bits / np.maximum(n, 1)[:, None]
@@ -154,11 +188,19 @@ def held_out(doc_id="doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
+def _windows(text: str, wide: int):
+    """A text of up to WINDOWS * wide characters, or as many of a longer one, from start to end."""
+    n, apart = F.length(text), (F.length(text) - wide) / (WINDOWS - 1)
+    parts = [F.substring(F.col(text), (1 + F.floor(apart * i)).cast("int"), F.lit(wide)) for i in range(WINDOWS)]
+    return F.when(n > WINDOWS * wide, F.concat_ws(" ", *parts)).otherwise(F.col(text))
+
+
 def train(docs: DataFrame, rows: int = TRAIN_ROWS, most: int = TRAIN_SYMBOLS) -> Model:
     """A model from at most ``rows`` labelled rows a language that are not held out.
 
     The rows are those whose ids hash lowest. A text adds at most a share of ``most`` symbols,
-    so that a few long texts do not fill a language's sample.
+    so that a few long texts do not fill a language's sample; of longer ones, windows from start to end.
+    With more than TOTAL_SYMBOLS / ``most`` languages a sample holds TOTAL_SYMBOLS / languages symbols.
     """
     from pyspark.sql import Window
 
@@ -169,7 +211,7 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, most: int = TRAIN_SYMBOLS) ->
     # at most rows * languages ids
     ids = ids.select(F.col("doc_id").alias("__pl_id"), F.col("lang").alias("__pl_lang"))
     take = docs.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("__pl_id")) & (F.col("lang") == F.col("__pl_lang")), "left_semi")
-    got = take.select("doc_id", "lang", F.substring("text", 1, 4 * most).alias("text")).dropDuplicates(["doc_id", "lang", "text"]).orderBy("lang", "doc_id", "text").collect()
+    got = take.select("doc_id", "lang", _windows("text", most).alias("text")).dropDuplicates(["doc_id", "lang", "text"]).orderBy("lang", "doc_id", "text").collect()
     samples: dict[str, list[str]] = {}
     for r in got:
         if r["text"]:

@@ -229,3 +229,24 @@ def test_pipeline_takes_near_copies_from_80_percent(spark):
     rows = [(1, words), (2, words + [f"x{i}" for i in range(200)]), (3, edited), (4, [f"v{i}" for i in range(300)]), (5, apart)]
     docs = spark.createDataFrame([(d, " ".join(t)) for d, t in rows], "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.ngram_jaccard_join(spark, docs, SMALL).collect()) == [1, 4, 5]
+
+
+def test_language_id_of_many_scripts():
+    r = random.Random(4)
+    first = {"el": (0x3B1, 24), "ru": (0x430, 32), "ar": (0x627, 20), "hi": (0x915, 36), "zh": (0x4E00, 600), "zz": (0x6E00, 600), "ja": (0x3041, 80), "ko": (0xAC00, 600), "en": (0x61, 26), "fr": (0x61, 26)}
+    words = {k: ["".join(chr(a + r.randrange(n)) for _ in range(r.randrange(2, 7))) for _ in range(150)] for k, (a, n) in first.items()}
+    draw = lambda k, n: " ".join(r.choice(words[k]) for _ in range(n))
+    model = langid.Model({k: [draw(k, 400) for _ in range(10)] for k in first}, langid.TOTAL_SYMBOLS // len(first))
+    asked = [(k, draw(k, 30)) for k in first for _ in range(10)]
+    assert model.predict([t for _, t in asked])[0] == [k for k, _ in asked]
+    letters = sorted({c for v in words.values() for w in v for c in w if c.isalpha()})
+    assert len({tuple(model.symbols(langid.code_points(c)).tolist()) for c in letters}) == len(letters)
+
+
+def test_language_samples_come_from_whole_texts(spark):
+    kept = next(i for i in range(9) if zlib.crc32(str(i).encode()) % 3 != 1)
+    text = "abc " * 3000 + "def " * 3000 + "xyz " * 3000
+    model = langid.train(spark.createDataFrame([(kept, text, "en")], "doc_id long, text string, lang string"), most=300)
+    assert all(model.table[ord(c)] > 1 for c in "abcxyz")
+    assert model.phrases([model.symbols(langid.code_points("xyz xyz"))]).tolist() == [[1]]
+    assert len(langid.spread(np.arange(1000), 100)) <= 100 and langid.spread(np.arange(1000), 100)[-1] == 999
