@@ -102,9 +102,12 @@ def later_copies(docs: DataFrame, min_words: int, ws: Workspace) -> DataFrame:
                 break
         # runs of 2^k to 2^(k+1) - 1 lines, named by the ranks of their first and last 2^k lines
         here = run.filter(F.col("n").between(1 << k, (2 << k) - 1))
-        named = here.join(level, ["d", "v", "pos"]).withColumn("tail", F.col("pos") + F.col("n") - (1 << k))
-        tail = level.select("d", "v", F.col("pos").alias("tail"), F.col("r").alias("r2"))
-        named = ws.save(named.join(tail, ["d", "v", "tail"]).select("d", "v", "pos", "n", "r", "r2"), f"named-{k}")
+        same = F.col("d").eqNullSafe(F.col("d2")) & (F.col("v") == F.col("v2"))  # d may be null
+        head = level.select(F.col("d").alias("d2"), F.col("v").alias("v2"), F.col("pos").alias("at"), "r")
+        named = here.join(head, same & (F.col("pos") == F.col("at"))).select("d", "v", "pos", "n", "r")
+        tail = level.select(F.col("d").alias("d2"), F.col("v").alias("v2"), F.col("pos").alias("at"), F.col("r").alias("r2"))
+        named = named.join(tail, same & (F.col("pos") + F.col("n") - (1 << k) == F.col("at")))
+        named = ws.save(named.select("d", "v", "pos", "n", "r", "r2"), f"named-{k}")
         place = F.struct("d", "v", "pos")
         first = named.groupBy("n", "r", "r2").agg(F.min(place).alias("first"))
         found.append(named.join(first, ["n", "r", "r2"]).filter(place > F.col("first")).select("d", "v", "pos", "n"))

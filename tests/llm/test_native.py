@@ -183,3 +183,14 @@ def test_line_dedup_keeps_first_and_short_runs(spark):
     rows = [(1, f"top\n{passage}\nend", "s"), (2, f"start\n{passage}", "s"), (3, "top\nend", "s"), (4, f"{passage}\n{passage}", "s")]
     got = {r.doc_id: r.text for r in line_dedup.line_dedup(docs(spark, rows)).collect()}
     assert got == {1: rows[0][1], 2: "start", 3: "top\nend", 4: ""}
+
+
+def test_line_dedup_of_null_ids(spark):
+    run = "\n".join(f"line {i} of a repeated passage" for i in range(3))
+    rows = [(None, f"own words here\n{run}"), (7, f"{run}\nother words"), (None, f"{run}\n{run}")]
+    got = {r.doc_id: [] for r in docs(spark, [(d, t, "s") for d, t in rows]).collect()}
+    for r in line_dedup.line_dedup(docs(spark, [(d, t, "s") for d, t in rows]), 8).collect():
+        got[r.doc_id].append((r.text, r.n_removed))
+    assert got[7] == [("other words", 3)]
+    # texts under one id are in the order of their hashes, so either null-id document may be first
+    assert sorted(got[None]) in (sorted([("own words here", 3), (run, 3)]), sorted([(rows[0][1], 0), ("", 6)]))
