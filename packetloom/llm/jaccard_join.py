@@ -53,11 +53,11 @@ _PART = np.uint64(0xA24BAED4963EE407)
 _SIDE = np.uint64(0x9FB21C651E98DF25)
 
 
-def band_bounds(most: int) -> list[tuple[int, int]]:
-    """Bands (least, most) of set sizes, up to the one that holds ``most``."""
+def band_bounds(most: int, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Bands (least, most) of set sizes, up to the one that holds ``most``; linked sets are one band apart at most."""
     out, low = [], 1
     while not out or out[-1][1] < most:
-        high = max(low, int(low * BAND))
+        high = max(low, int(low * BAND), low * 100 // percent)
         out.append((low, high))
         low = high + 1
     return out
@@ -177,7 +177,7 @@ def _scan(words: int, percent: int, seed: int):
             sigs: list[list[np.ndarray]] = [[] for _ in texts]
             if new:
                 if not schemes or schemes[-1].high < n.max():
-                    schemes = [Scheme(i, a, b, percent) for i, (a, b) in enumerate(band_bounds(int(n.max())))]
+                    schemes = [Scheme(i, a, b, percent) for i, (a, b) in enumerate(band_bounds(int(n.max()), percent))]
                 own = np.searchsorted([s.high for s in schemes], n)
                 for tag in range(max(0, own[new].min() - 1), own[new].max() + 1):
                     s = schemes[tag]

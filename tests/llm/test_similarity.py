@@ -277,3 +277,17 @@ def test_license_scan_finds_templates(spark):
         assert k is None or k in got[d]
     assert not any(d >= 900 for d in got)
     assert license_scan.license_scan(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("percent", [50, 60, 70, 71, 85])
+def test_linked_sets_are_one_band_apart_at_most(percent):
+    bands = jaccard_join.band_bounds(5000, percent)
+    assert all(high * 100 // percent <= after for (_, high), (_, after) in zip(bands, bands[1:], strict=False))
+    assert percent < 85 or bands == jaccard_join.band_bounds(5000)
+
+
+def test_join_links_sets_at_band_edges(spark):
+    words = [f"w{i}" for i in range(138)]
+    rows = [(1, " ".join(words[:98])), (2, " ".join(words))]  # 95 of 135 shingles
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.component_id for r in jaccard_join.jaccard_components(frame, percent=70).collect()] == [1, 1]
