@@ -3,21 +3,26 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _OPEN: list["Workspace"] = []
+#: Keys with more than one row in so many are hot; there are at most so many of them.
+HOT_SHARE = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder in ``spark.checkpoint.dir``. Where that is unset, a temporary one in local mode (tests); on a cluster, an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isDefined():
             where = known.get()
+        elif not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         else:
             where = "file://" + tempfile.mkdtemp(prefix="packetloom-")
             spark.sparkContext.setCheckpointDir(where)
@@ -31,6 +36,20 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(4 << 20))
 
 
+def join_counted(rows: DataFrame, keyed: DataFrame, on: list[str], count: str = "c") -> DataFrame:
+    """``rows`` joined to ``keyed``, which has one row a key of ``on`` and says how many of ``rows`` have it.
+
+    Keys that hold more than one row in HOT_SHARE are at most HOT_SHARE in number: they are broadcast, and
+    so stay where they are. The others meet by shuffle, in groups of bounded share.
+    """
+    hot = keyed.filter(F.col(count) * HOT_SHARE > rows.count())
+    if hot.isEmpty():
+        return rows.join(keyed.drop(count), on)
+    names = hot.select(*on)
+    rest = rows.join(F.broadcast(names), on, "left_anti").join(keyed.join(F.broadcast(names), on, "left_anti").drop(count), on)
+    return rows.join(F.broadcast(hot.drop(count)), on).unionByName(rest)
+
+
 class Workspace:
     """Tables of one operator call: ``save`` writes and rereads, ``drop`` deletes early.
 

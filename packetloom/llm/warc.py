@@ -1,17 +1,20 @@
 """Deterministic sharded WARC writer and reader.
 
 Writing: records are range-sorted by page_id into shards whose bounds depend on the pages alone
-(byte counts per page_id range, refined where a range is heavy), not on sampling. A shard's task
-streams its records in order into gzip members, one a record, and rolls to the next file when the
+(byte counts per page_id range, refined where a range is heavy), not on sampling. Rows of one page_id
+that exceed a shard are dealt to several by payload digest, and so are rows without a page_id. A shard's
+task streams its records in order into gzip members, one a record, and rolls to the next file when the
 compressed size passes a limit. Every header is made anew: record ids and dates come from the
-content, digests and lengths from the payload. A file is written under a temporary name and
+content, digests and lengths from the payload. Every file starts with a warcinfo record; a response holds
+an HTTP message whose body is the page. A file is written under a temporary name and
 renamed when complete; a task then reports its files, and the table of all reports, the
 manifest, is what commits the archive. Readers read files that the manifest names and check
 their sizes, so what a lost or repeated task leaves behind is never read.
 
 A payload of at least ``REVISIT_BYTES`` that an earlier page has is not stored again, but written
-as a revisit record. Which page that is comes from an aggregate over digests; it reaches the
-writer as a light row sorted right before the page, so that payloads are shuffled only once.
+as a revisit record that names the other's record id, URI and date. Which page that is comes from an aggregate
+over digests; it reaches the writer as a light row sorted right before the page, so that payloads are shuffled
+only once.
 """
 
 from __future__ import annotations
@@ -25,14 +28,14 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ._store import Workspace, small_batches
+from ._store import Workspace, join_counted, small_batches
 
 REVISIT_BYTES = 100
-#: Payload bytes a shard holds at most, where page_ids allow; compressed bytes after which a file is rolled.
+#: Payload bytes a shard holds at most, but for a row that repeats page_id and payload; compressed bytes after which a
+#: file is rolled. A shard is a task: for very large inputs give larger shards, as there are input / SHARD_BYTES of them
+#: (8 bytes each on the driver).
 SHARD_BYTES = 64 << 20
 ROLL_BYTES = 32 << 20
-#: Shards at most; larger inputs get larger shards, in as many files as rolling gives.
-MOST_SHARDS = 20_000
 #: Ranges counted in one pass; what the driver holds of a pass.
 RANGES = 16_384
 DATE = "1970-01-01T00:00:00Z"
@@ -42,11 +45,12 @@ def _open(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path if "://" in path else re.sub(r"^(file:)?/*", "file:///", path))
 
 
-def shard_bounds(weight: DataFrame, limit: int, ranges: int = RANGES) -> list[int]:
+def shard_bounds(weight: DataFrame, limit: int, ranges: int = RANGES, heavy: list[tuple[int, int]] | None = None) -> list[int]:
     """Upper ends (inclusive) of page_id ranges of at most ``limit`` bytes, from rows (page_id, bytes).
 
     Ranges are counted in at most ``ranges`` equal steps; steps over the limit are counted again,
-    finer, several of them in one pass. A single page_id is never divided.
+    finer, several of them in one pass. A single page_id is not divided; those over the limit are
+    added to ``heavy`` with their bytes.
     """
     low, high, total = weight.agg(F.min("page_id"), F.max("page_id"), F.sum("bytes")).first()
     if low is None or (total or 0) <= limit:
@@ -67,6 +71,8 @@ def shard_bounds(weight: DataFrame, limit: int, ranges: int = RANGES) -> list[in
                 todo.append((r["at"], r["at"] + r["step"] - 1))
             else:
                 known.append((r["at"], r["at"] + r["step"] - 1, r["n"]))
+                if heavy is not None and r["n"] > limit:
+                    heavy.append((r["at"], r["n"]))
     out, run = [], 0
     known.sort()
     for i, (_, _, n) in enumerate(known):
@@ -92,18 +98,39 @@ def _place(value: Column, ends: list[int]) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(len(ends).bit_length() + 1)), span, halve, lambda s: s["a"])
 
 
-def _head(kind: str, page_id: int | None, uri: str, digest: str, length: int, refers: int | None, body: int, record_id: str) -> bytes:
-    lines = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {uri}",
-        f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {length}", "Content-Type: text/html; charset=utf-8",
-    ]
+def _uri(url: bytes | None) -> str:
+    return re.sub(rb"[\r\n]+", b"", url or b"").decode("utf-8", "replace")
+
+
+def _record_id(page_id: int | None, uri: str, digest: str, twin: int) -> str:
+    return f"urn:sha256:{hashlib.sha256(f'{page_id}|{uri}|{digest}|{twin}'.encode()).hexdigest()}"
+
+
+def _record(kind: str, record_id: str, lines: list[str], content: str, block: bytes) -> bytes:
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id}>", f"WARC-Date: {DATE}", *lines, f"Content-Type: {content}", f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def _page_record(page_id: int | None, uri: str, digest: str, body: bytes, twin: int, first: tuple[int | None, str] | None) -> bytes:
+    """A response, or with ``first`` (page_id and URI of the record that holds the payload) a revisit."""
+    lines = [f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(body)}"]
     if page_id is not None:
         lines.append(f"X-Page-ID: {page_id}")
-    if kind == "revisit":
-        lines.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-        if refers is not None:
-            lines.append(f"X-Refers-To-Page-ID: {refers}")
-    return ("\r\n".join([*lines, f"Content-Length: {body}"]) + "\r\n\r\n").encode("utf-8", "surrogatepass")
+    if first is not None:
+        lines += [
+            "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+            f"WARC-Refers-To: <{_record_id(*first, digest, 0)}>", f"WARC-Refers-To-Target-URI: {first[1]}", f"WARC-Refers-To-Date: {DATE}",
+        ]
+        if first[0] is not None:
+            lines.append(f"X-Refers-To-Page-ID: {first[0]}")
+    message = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode()
+    kind = "response" if first is None else "revisit"
+    return _record(kind, _record_id(page_id, uri, digest, twin), lines, "application/http; msgtype=response", message + (body if first is None else b""))
+
+
+def _file_record(name: str) -> bytes:
+    fields = b"software: packetloom\r\nformat: WARC File Format 1.1\r\n"
+    return _record("warcinfo", f"urn:sha256:{hashlib.sha256(name.encode()).hexdigest()}", [f"WARC-Filename: {name}"], "application/warc-fields", fields)
 
 
 class _Roller:
@@ -120,14 +147,18 @@ class _Roller:
             self.name = f"shard-{self.shard:06d}-{len(self.files):04d}.warc.gz"
             self.temporary = f"{self.folder}/.{self.name}.{self.attempt}"
             self.out, self.size, self.records, self.sum = self.store.open_output_stream(self.temporary, compression=None), 0, 0, hashlib.sha256()
+            self._write(_file_record(self.name))
+        self._write(record)
+        self.records += 1
+        if self.size >= self.roll:
+            self.close()
+
+    def _write(self, record: bytes) -> None:
         packer = zlib.compressobj(6, zlib.DEFLATED, 31)
         member = packer.compress(record) + packer.flush()
         self.out.write(member)
         self.sum.update(member)
         self.size += len(member)
-        self.records += 1
-        if self.size >= self.roll:
-            self.close()
 
     def close(self) -> None:
         if self.out is not None:
@@ -154,22 +185,18 @@ def _writer(folder: str, roll: int):
                 done.extend((shard, *f) for f in roller.files)
 
         for batch in batches:
-            for s, page_id, digest, page, url, html, refers in zip(*(batch.column(c).to_pylist() for c in ("shard", "page_id", "digest", "page", "url", "html", "refers")), strict=True):
+            for s, page_id, digest, page, url, html, refers in zip(*((batch.column(c).cast(pa.binary()) if c in ("url", "html") else batch.column(c)).to_pylist() for c in ("shard", "page_id", "digest", "page", "url", "html", "refers")), strict=True):
                 if s != shard:
                     end()
                     roller, shard, last = _Roller(folder, s, attempt, roll), s, None
                 if not page:
-                    decided = (page_id, digest, refers)
+                    decided = (page_id, digest, refers, _uri(url))
                     continue
-                body = (html or "").encode("utf-8", "surrogatepass")
+                body = html or b""
                 twins = twins + 1 if last == (page_id, digest) else 0
                 last = (page_id, digest)
                 again = decided is not None and decided[:2] == last and (decided[2] != page_id or twins > 0)
-                kind = "revisit" if again else "response"
-                own = b"" if again else body
-                uri = re.sub(r"[\r\n]+", "", url or "")
-                record_id = f"urn:sha256:{hashlib.sha256(f'{page_id}|{uri}|{digest}|{twins}'.encode('utf-8', 'surrogatepass')).hexdigest()}"
-                roller.add(_head(kind, page_id, uri, digest, len(body), decided[2] if again else None, len(own), record_id) + own + b"\r\n\r\n")
+                roller.add(_page_record(page_id, _uri(url), digest, body, twins, decided[2:] if again else None))
         end()
         cols = list(zip(*done, strict=True)) or [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["shard", "file", "records", "bytes", "sha256"])
@@ -180,32 +207,42 @@ def _writer(folder: str, roll: int):
 def write_warc(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
     """Writes ``pages`` (page_id, url, html) below ``folder`` and returns the manifest.
 
-    A null html is an empty payload, a null url an empty one; line ends in a url are dropped. Of
+    A null html is an empty payload, a null url an empty one; line ends in a url are dropped. Payloads
+    are bytes: what is no UTF-8 is stored as it is; in a url it becomes replacement characters. Of
     equal payloads of at least ``revisit_bytes``, the record with the smallest page_id holds the
-    payload (a null page_id is larger than any other); where rows repeat that page_id, the first.
-    Rows with one page_id lie in one shard, ordered by digest and url. The archive is complete
-    once ``folder``/manifest is.
+    payload (a null page_id is larger than any other); where rows repeat that page_id, the one whose url
+    sorts first. page_id must be a whole number. Rows with one page_id and payload lie in one shard, ordered
+    by url. The archive is complete once ``folder``/manifest is.
     """
     spark = pages.sparkSession
     small_batches(spark)
     ws = Workspace(spark, "warc-work")
     html = F.coalesce(F.col("html"), F.lit(""))
-    light = ws.save(pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha2(html, 256).alias("digest"), F.octet_length(html).cast("long").alias("bytes")), "light")
-    total = light.agg(F.sum("bytes")).first()[0] or 0
-    bounds = shard_bounds(light.select("page_id", "bytes"), max(shard_bytes, -(-total // MOST_SHARDS)))
+    light = ws.save(pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha2(html, 256).alias("digest"), F.octet_length(html).cast("long").alias("bytes"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url")), "light")
+    heavy: list[tuple[int, int]] = []
+    bounds = shard_bounds(light.filter("page_id IS NOT NULL").select("page_id", "bytes"), shard_bytes, heavy=heavy)
+    unnamed = light.filter("page_id IS NULL").agg(F.sum("bytes")).first()[0] or 0
     store, at = _open(folder)
     store.create_dir(at, recursive=True)
-    many = light.filter(F.col("bytes") >= revisit_bytes).groupBy("digest").agg(F.min("page_id").alias("refers"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    note = light.join(many, "digest").select("page_id", "digest", "refers").distinct()
+    first = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url")).alias("f")
+    many = light.filter(F.col("bytes") >= revisit_bytes).groupBy("digest").agg(first, F.count(F.lit(1)).alias("c")).filter("c > 1")
+    many = many.select("digest", "c", F.col("f.page_id").alias("refers"), F.col("f.url").alias("first_url"))
+    note = join_counted(light.filter(F.col("bytes") >= revisit_bytes).select("page_id", "digest"), many, ["digest"]).distinct()
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.sha2(html, 256).alias("digest"), F.lit(1).alias("page"),
-        F.col("url").cast("string").alias("url"), html.alias("html"), F.lit(None).cast("long").alias("refers"),
+        F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), html.alias("html"), F.lit(None).cast("long").alias("refers"),
     ).unionByName(
-        note.select("page_id", "digest", F.lit(0).alias("page"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "refers")
+        note.select("page_id", "digest", F.lit(0).alias("page"), F.col("first_url").alias("url"), F.lit(None).cast("string").alias("html"), "refers")
     )
-    # a null page_id goes to the first shard
-    rows = rows.withColumn("shard", F.when(F.col("page_id").isNull(), 0).otherwise(_place(F.col("page_id"), bounds)).cast("int"))
-    dealt = rows.repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("shard", "page_id", "digest", "page", "url")
+    # rows without a page_id, and of page_ids over the limit, are dealt by digest to shards of their own
+    shard, shards = _place(F.col("page_id"), bounds), len(bounds) + 1
+    for key, n in [(None, unnamed), *sorted(heavy)]:
+        k = -(-n // shard_bytes)
+        if k > (key is not None):
+            shard = F.when(F.col("page_id").eqNullSafe(F.lit(key)), shards + F.pmod(F.xxhash64("digest"), F.lit(k))).otherwise(shard)
+            shards += k
+    rows = rows.withColumn("shard", F.coalesce(shard, F.lit(0)).cast("int"))
+    dealt = rows.repartitionById(shards, "shard").sortWithinPartitions("shard", "page_id", "digest", "page", "url")
     made = dealt.mapInArrow(_writer(folder, roll_bytes), MANIFEST)
     made.write.mode("overwrite").parquet(f"{folder}/manifest")
     ws.drop("light")
@@ -234,7 +271,7 @@ def _records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
         if not unpack.eof:
             raise ValueError("a record is cut off")
         head, _, rest = b"".join(parts).partition(b"\r\n\r\n")
-        lines = head.decode("utf-8", "surrogatepass").split("\r\n")
+        lines = head.decode("utf-8", "replace").split("\r\n")
         if lines[0] != "WARC/1.1":
             raise ValueError("not a WARC record")
         fields = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
@@ -251,8 +288,11 @@ def _reader(folder: str):
                     raise ValueError(f"{name} is not as the manifest says")
                 rows, held = [], 0
                 with store.open_input_stream(f"{at}/{name}", compression=None) as stream:
-                    for f, body in _records(stream):
+                    for f, block in _records(stream):
                         kind = f["WARC-Type"]
+                        if kind == "warcinfo":
+                            continue
+                        body = block.partition(b"\r\n\r\n")[2]
                         digest = hashlib.sha256(body).hexdigest() if kind == "response" else f["WARC-Payload-Digest"].removeprefix("sha256:")
                         if f["WARC-Payload-Digest"] != f"sha256:{digest}":
                             raise ValueError(f"{name}: a payload does not match its digest")
