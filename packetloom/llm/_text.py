@@ -8,6 +8,7 @@ bounded by the slab, plus 8 bytes a word of the text at hand.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 SLAB = 2 << 20
 _Q = np.uint64(0x9E3779B97F4A7C15)
@@ -20,6 +21,11 @@ SPACED = bytes(0x20 if b in (0x20, *range(0x09, 0x0E)) else b + 32 if 65 <= b <=
 ALNUM = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 0x20 for b in range(256))
 
 
+def strings(column: pa.Array) -> list[str | None]:
+    """A text column's values; bytes that are no UTF-8 become replacement characters."""
+    return [None if b is None else b.decode("utf-8", "replace") for b in column.cast(pa.binary()).to_pylist()]
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit numbers (the finaliser of splitmix64)."""
     x = x ^ (x >> np.uint64(30))

@@ -20,7 +20,8 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import _text
 from ._store import small_batches
@@ -31,10 +32,12 @@ RADIUS = 20
 BLOCKS = 8
 #: Items that are held in memory and broadcast at once (about 10 kB each); more are searched block by block.
 BLOCK_ITEMS = 20_000
+#: Bytes of such a block's texts, but for a single longer item.
+BLOCK_BYTES = 64 << 20
 
 
 def prepare(text: str | None) -> bytes:
-    return (text or "").lower().encode("utf-8", "surrogatepass")
+    return (text or "").lower().encode("utf-8", "replace")
 
 
 def simhash(bits: np.ndarray, weights: np.ndarray) -> int:
@@ -143,58 +146,83 @@ class Index:
         return np.concatenate(out)
 
 
-FOUND = "doc_id long, item_id long, similarity double, start_word long, n_words long"
+FOUND = "similarity double, start_word long, n_words long"
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, radius: int = RADIUS, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def _indexes(benchmark: DataFrame, words: int, similarity: float, radius: int, block_items: int, block_bytes: int):
+    """Broadcast indexes of the benchmark's blocks; each is gathered only when it is asked for."""
+    bench = benchmark.select("item_id", "text").distinct()
+    n, size = bench.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    blocks = max(1, -(-n // block_items), -(-(size or 0) // block_bytes))
+    for block in range(blocks):
+        part = bench if blocks == 1 else bench.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
+        got = part.orderBy("item_id", "text").select("item_id", F.col("text").cast("binary")).collect()
+        items = [(r[0], None if r[1] is None else bytes(r[1]).decode("utf-8", "replace")) for r in got]
+        yield benchmark.sparkSession.sparkContext.broadcast(Index(items, words, similarity, radius))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, radius: int = RADIUS, block_items: int = BLOCK_ITEMS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, similarity, start_word, n_words): each item that a document contains, at its best window.
 
     Of equally similar windows the first counts. Items and documents without words match nothing;
     an item of fewer than five words is one shingle, and so matches only a document that is the
     same few words. Items with one text are all reported. Repeated rows of ``docs`` give repeated
-    rows. The benchmark is searched in blocks of ``block_items`` items, each against all documents.
+    rows. Both ids keep their types. Bytes that are no UTF-8 count as replacement characters. The
+    benchmark is searched in blocks of ``block_items`` items and ``block_bytes`` bytes at most, each
+    against all documents.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
-    n_blocks = max(1, -(-bench.count() // block_items))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    small_batches(docs.sparkSession)
+    own = docs.select("doc_id", "text")
+    schema = T.StructType([docs.schema["doc_id"], benchmark.schema["item_id"], *T._parse_datatype_string(FOUND).fields])
     out = None
-    for block in range(n_blocks):
-        part = bench if n_blocks == 1 else bench.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block)
-        items = [(r[0], r[1]) for r in part.orderBy("item_id", "text").collect()]
-        index = spark.sparkContext.broadcast(Index(items, words, similarity, radius))
-        found = own.mapInArrow(_search(index, words), FOUND)
+    for index in _indexes(benchmark, words, similarity, radius, block_items, block_bytes):
+        found = own.mapInArrow(_report(index, words, to_arrow_schema(schema)), schema)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _search(index, words: int):
+def _matches(text: pa.Array, index: Index, words: int):
+    """(row, item, similarity, first word, words) of what each text of a column contains."""
+    sizes = pc.fill_null(pc.binary_length(text.cast(pa.binary())), 0).to_pylist()
+    for a, b in _text.groups_of(sizes, _text.SLAB):
+        h, at = _text.word_hashes([prepare(t) for t in _text.strings(text.slice(a, b - a))], _text.ALNUM)
+        sh, off = _text.shingles(h, at, words)
+        hit = index.hits(sh)
+        count = np.concatenate([[0], np.cumsum(hit)])[off]
+        for i in np.flatnonzero(np.diff(count)).tolist():
+            for item, value, s, n in index.search(sh[off[i] : off[i + 1]], hit[off[i] : off[i + 1]]):
+                yield a + i, item, value, s, min(n + words - 1, int(at[i + 1] - at[i]))
+
+
+def _report(index, words: int, schema: pa.Schema):
+    def run(batches):
+        for batch in batches:
+            found = list(zip(*_matches(batch.column("text"), index.value, words), strict=True)) or [[]] * 5
+            ids = batch.column("doc_id").take(pa.array(found[0], pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, f.type) for c, f in zip(found[1:], list(schema)[1:], strict=True))], schema.names)
+
+    return run
+
+
+def _clean(index, words: int):
     def run(batches):
-        names = ["doc_id", "item_id", "similarity", "start_word", "n_words"]
-        types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
         for batch in batches:
-            rows: list[tuple] = []
-            sizes = pc.fill_null(pc.binary_length(batch.column("text").cast(pa.binary())), 0).to_pylist()
-            for a, b in _text.groups_of(sizes, _text.SLAB):
-                part = batch.slice(a, b - a)
-                ids = part.column("doc_id").to_pylist()
-                h, at = _text.word_hashes([prepare(t) for t in part.column("text").to_pylist()], _text.ALNUM)
-                sh, off = _text.shingles(h, at, words)
-                hit = index.value.hits(sh)
-                count = np.concatenate([[0], np.cumsum(hit)])[off]
-                for i in np.flatnonzero(np.diff(count)).tolist():
-                    for item, value, s, n in index.value.search(sh[off[i] : off[i + 1]], hit[off[i] : off[i + 1]]):
-                        rows.append((ids[i], item, value, s, min(n + words - 1, int(at[i + 1] - at[i]))))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, types, strict=True)], names)
+            keep = np.ones(batch.num_rows, bool)
+            keep[[i for i, *_ in _matches(batch.column("text"), index.value, words)]] = False
+            yield batch.filter(pa.array(keep))
 
     return run
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` whose documents contain no benchmark item."""
-    bad = contamination(docs, benchmark, **how).select(F.col("doc_id").alias("__pl_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__pl_bad"]), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, radius: int = RADIUS, block_items: int = BLOCK_ITEMS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` whose texts contain no benchmark item, by the same search; each row is judged by its own text.
+
+    Rows go where they are read: no text is shuffled.
+    """
+    small_batches(docs.sparkSession)
+    for index in _indexes(benchmark, words, similarity, radius, block_items, block_bytes):
+        docs = docs.mapInArrow(_clean(index, words), docs.schema)
+    return docs
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
