@@ -7,7 +7,8 @@ the suffix array cut at that depth, and equal ranks are the LCP intervals of tha
 ranks of two overlapping blocks name an interval of any depth in between.
 
 A run of lines is removed where it has at least ``min_words`` words and occurs at an earlier
-place too, places ordered by (doc_id, line). A maximal repeated run is removed whole: it is
+place too, places ordered by (doc_id, line); a run that overlaps its first place is no copy of it, so
+one whole copy stays of a line that repeats on and on. A maximal repeated run is removed whole: it is
 covered by the shortest runs of ``min_words`` words that start, or end, at each of its lines, and
 how far those reach depends on their content alone, so that all copies have the same. Doubling
 stops at the longest of them.
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ._store import Workspace
+from ._store import Workspace, join_counted
 
 MIN_WORDS = 50
 
@@ -33,7 +34,7 @@ def _variant(text: Column) -> Column:
 
 def _ranked(rows: DataFrame, by: list[str]) -> DataFrame:
     """A rank, in sorted order, for each combination of values that occurs more than once."""
-    many = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(*by)
+    many = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     return many.orderBy(*by).withColumn("rank", F.monotonically_increasing_id())
 
 
@@ -51,7 +52,7 @@ def repeated_lines(docs: DataFrame, ws: Workspace) -> DataFrame:
         "lines",
     )
     names = ws.save(_ranked(line, ["h1", "h2"]), "names-0")
-    base = line.join(names, ["h1", "h2"]).select("d", "v", "pos", "words", F.col("rank").alias("r"))
+    base = join_counted(line, names, ["h1", "h2"]).select("d", "v", "pos", "words", F.col("rank").alias("r"))
     base = ws.save(base.dropDuplicates(["d", "v", "pos"]), "level-0")
     ws.drop("lines", "names-0")
     return base
@@ -63,7 +64,7 @@ def double(level: DataFrame, k: int, ws: Workspace) -> DataFrame:
     w = Window.partitionBy("d", "v").orderBy("pos").rangeBetween(half, half)
     pair = ws.save(level.select("d", "v", "pos", "r", F.max("r").over(w).alias("s")).filter("s IS NOT NULL"), f"pairs-{k}")
     names = ws.save(_ranked(pair, ["r", "s"]), f"names-{k}")
-    out = ws.save(pair.join(names, ["r", "s"]).select("d", "v", "pos", F.col("rank").alias("r")), f"level-{k}")
+    out = ws.save(join_counted(pair, names, ["r", "s"]).select("d", "v", "pos", F.col("rank").alias("r")), f"level-{k}")
     ws.drop(f"pairs-{k}", f"names-{k}")
     return out
 
@@ -109,8 +110,9 @@ def later_copies(docs: DataFrame, min_words: int, ws: Workspace) -> DataFrame:
         named = named.join(tail, same & (F.col("pos") + F.col("n") - (1 << k) == F.col("at")))
         named = ws.save(named.select("d", "v", "pos", "n", "r", "r2"), f"named-{k}")
         place = F.struct("d", "v", "pos")
-        first = named.groupBy("n", "r", "r2").agg(F.min(place).alias("first"))
-        found.append(named.join(first, ["n", "r", "r2"]).filter(place > F.col("first")).select("d", "v", "pos", "n"))
+        first = ws.save(named.groupBy("n", "r", "r2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1"), f"first-{k}")
+        inside = F.col("d").eqNullSafe(F.col("first.d")) & (F.col("v") == F.col("first.v")) & (F.col("pos") < F.col("first.pos") + F.col("n"))
+        found.append(join_counted(named, first, ["n", "r", "r2"]).filter((place > F.col("first")) & ~inside).select("d", "v", "pos", "n"))
         k += 1
     out = found[0] if found else run.filter("false")
     for more in found[1:]:
@@ -166,8 +168,8 @@ WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_
  s AS (SELECT a.doc_id, a.pos, min(b.pos) AS e FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.pos >= a.pos AND b.upto - (a.upto - a.words) >= {MIN_WORDS} GROUP BY ALL
        UNION SELECT b.doc_id, max(a.pos), b.pos FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.pos >= a.pos AND b.upto - (a.upto - a.words) >= {MIN_WORDS} GROUP BY b.doc_id, b.pos),
  x AS (SELECT s.doc_id, s.pos, s.e, string_agg(l.line, chr(10) ORDER BY l.pos) AS body FROM s JOIN l ON l.doc_id = s.doc_id AND l.pos BETWEEN s.pos AND s.e GROUP BY ALL),
- y AS (SELECT *, min(row(doc_id, pos)) OVER (PARTITION BY body) AS first FROM x),
- gone AS (SELECT DISTINCT y.doc_id, l.pos FROM y JOIN l ON l.doc_id = y.doc_id AND l.pos BETWEEN y.pos AND y.e WHERE row(y.doc_id, y.pos) > y.first)
+ y AS (SELECT *, min(struct_pack(d := doc_id, p := pos, e := e)) OVER (PARTITION BY body) AS first FROM x),
+ gone AS (SELECT DISTINCT y.doc_id, l.pos FROM y JOIN l ON l.doc_id = y.doc_id AND l.pos BETWEEN y.pos AND y.e WHERE y.doc_id > y.first.d OR (y.doc_id = y.first.d AND y.pos > y.first.e))
 SELECT l.doc_id, coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL), '') AS text, count(*)::INT AS n_lines, count(g.pos)::INT AS n_removed
 FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.pos = l.pos GROUP BY l.doc_id
 """
