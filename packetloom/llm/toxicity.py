@@ -35,7 +35,7 @@ PENALTY = 1e-4
 
 def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct word places of each text, one text after another, with offsets."""
-    data = [(t or "").lower().encode("utf-8", "surrogatepass") for t in texts]
+    data = [(t or "").lower().encode("utf-8", "replace") for t in texts]
     h, off = _text.word_hashes(data, _text.ALNUM)
     key = (np.repeat(np.arange(len(texts)), np.diff(off)) << BITS) | (h >> np.uint64(64 - BITS)).astype(np.int64)
     key = np.unique(key)
@@ -115,7 +115,7 @@ class CumulativeLink:
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, grades: int | None = None) -> CumulativeLink:
     """A model from labels (doc_id, grade from 0), on at most ``rows`` of them; null grades are left out.
 
-    Labels with the grades 0 and 1 alone are refined. Without two grades among the labels every
+    An id counts once: with its highest grade and, of several texts under it, one. Labels with the grades 0 and 1 alone are refined. Without two grades among the labels every
     text gets the labels' only grade, or 0.
     """
     spark = docs.sparkSession
@@ -126,12 +126,14 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, grades: in
 
     def run(batches):
         for batch in batches:
-            text = batch.column("text").to_pylist()
+            text = _text.strings(batch.column("text"))
             for a, b in _text.groups_of([len(t or "") for t in text], _text.SLAB):
                 places, off = features(text[a:b])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a).cast(pa.int64()), batch.column("grade").slice(a, b - a), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(places))], ["doc_id", "grade", "places"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("grade").slice(a, b - a), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(places))], ["doc_id", "grade", "places"])
 
-    got = texts.mapInArrow(run, "doc_id long, grade int, places array<int>").orderBy("doc_id", "places").toArrow()
+    schema = T.StructType([texts.schema["doc_id"], *T._parse_datatype_string("grade int, places array<int>").fields])
+    got = texts.mapInArrow(run, schema).groupBy("doc_id").agg(F.max("grade").alias("grade"), F.min("places").alias("places"))
+    got = got.orderBy("doc_id").toArrow()
     grade = got.column("grade").to_numpy()
     top = grades or (int(grade.max()) + 1 if len(grade) else 1)
     if len(np.unique(grade)) < 2:
@@ -149,7 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, grades: in
 def score(docs: DataFrame, model: CumulativeLink, cut: float = 0.5) -> DataFrame:
     """``docs`` with severity (expected grade), p_toxic (of grade 1 or more) and toxic (p_toxic >= cut).
 
-    A null or empty text is scored as one without words. Columns of ``docs`` with these names are
+    A null or empty text is scored as one without words; bytes that are no UTF-8 as replacement characters. Columns of ``docs`` with these names are
     replaced.
     """
     kept = docs.select([c for c in docs.columns if c not in ("severity", "p_toxic", "toxic")])
@@ -159,7 +161,7 @@ def score(docs: DataFrame, model: CumulativeLink, cut: float = 0.5) -> DataFrame
 
     def run(batches):
         for batch in batches:
-            text = batch.column("text").to_pylist()
+            text = _text.strings(batch.column("text"))
             for a, b in _text.groups_of([len(t or "") for t in text], _text.SLAB):
                 value, p = shared.value.severity(text[a:b])
                 part = batch.slice(a, b - a)
