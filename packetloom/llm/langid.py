@@ -26,10 +26,12 @@ from . import _text
 from ._store import small_batches
 
 #: Labelled rows a language's sample is drawn from, and the symbols it holds at most. The tables of
-#: all languages together hold at most TOTAL_SYMBOLS symbols (about 300 bytes each).
+#: all languages together hold at most TOTAL_SYMBOLS symbols (about 300 bytes each). LANGUAGES: values of
+#: lang that are learned, the most frequent ones. All four are parameters of ``train``.
 TRAIN_ROWS = 64
 TRAIN_SYMBOLS = 40_000
 TOTAL_SYMBOLS = 200_000
+LANGUAGES = 200
 #: Symbols besides digits, and digits that spell the letters for which there is no symbol.
 ALPHABET = 48
 DIGITS = 16
@@ -188,42 +190,46 @@ def held_out(doc_id="doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def _windows(text: str, wide: int):
+def _windows(text: str, wide):
     """A text of up to WINDOWS * wide characters, or as many of a longer one, from start to end."""
     n, apart = F.length(text), (F.length(text) - wide) / (WINDOWS - 1)
-    parts = [F.substring(F.col(text), (1 + F.floor(apart * i)).cast("int"), F.lit(wide)) for i in range(WINDOWS)]
+    parts = [F.substring(F.col(text), (1 + F.floor(apart * i)).cast("int"), wide) for i in range(WINDOWS)]
     return F.when(n > WINDOWS * wide, F.concat_ws(" ", *parts)).otherwise(F.col(text))
 
 
-def train(docs: DataFrame, rows: int = TRAIN_ROWS, most: int = TRAIN_SYMBOLS) -> Model:
+def train(docs: DataFrame, rows: int = TRAIN_ROWS, most: int = TRAIN_SYMBOLS, total: int = TOTAL_SYMBOLS, languages: int = LANGUAGES) -> Model:
     """A model from at most ``rows`` labelled rows a language that are not held out.
 
-    The rows are those whose ids hash lowest. A text adds at most a share of ``most`` symbols,
-    so that a few long texts do not fill a language's sample; of longer ones, windows from start to end.
-    With more than TOTAL_SYMBOLS / ``most`` languages a sample holds TOTAL_SYMBOLS / languages symbols.
+    The rows are those whose ids hash lowest; of several texts under an id and language one counts. A text
+    adds at most a share of ``most`` symbols, so that a few long texts do not fill a language's sample; of
+    longer ones, windows from start to end. With more than ``total`` / ``most`` languages a sample holds
+    ``total`` / languages symbols. Of more than ``languages`` values of lang those with the most rows are learned.
+    The driver gathers about 8 * ``most`` characters a language.
     """
     from pyspark.sql import Window
 
     key = F.struct(F.xxhash64(F.col("doc_id"), F.lit(5)), F.col("doc_id"))
     pool = docs.filter(F.col("lang").isNotNull() & ~held_out()).select("doc_id", "lang", key.alias("k"))
     w = Window.partitionBy("lang").orderBy("k")
-    ids = pool.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= rows).select("doc_id", "lang").distinct()
+    named = docs.filter(F.col("lang").isNotNull() & ~held_out()).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).select(F.col("lang").alias("__pl_known"))
+    ids = pool.join(F.broadcast(named), F.col("lang") == F.col("__pl_known"), "left_semi").withColumn("r", F.row_number().over(w)).filter(F.col("r") <= rows).select("doc_id", "lang").distinct()
     # at most rows * languages ids
-    ids = ids.select(F.col("doc_id").alias("__pl_id"), F.col("lang").alias("__pl_lang"))
-    take = docs.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("__pl_id")) & (F.col("lang") == F.col("__pl_lang")), "left_semi")
-    got = take.select("doc_id", "lang", _windows("text", most).alias("text")).dropDuplicates(["doc_id", "lang", "text"]).orderBy("lang", "doc_id", "text").collect()
+    ids = ids.select(F.col("doc_id").alias("__pl_id"), F.col("lang").alias("__pl_lang"), F.count(F.lit(1)).over(Window.partitionBy("lang")).alias("__pl_n"))
+    take = docs.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("__pl_id")) & (F.col("lang") == F.col("__pl_lang")))
+    wide = F.ceil(F.lit(2 * most) / F.col("__pl_n")).cast("int")
+    part = take.select("doc_id", "lang", _windows("text", wide).alias("text")).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
     samples: dict[str, list[str]] = {}
-    for r in got:
+    for r in part.orderBy("lang", "doc_id").select("lang", F.col("text").cast("binary").alias("text")).collect():
         if r["text"]:
-            samples.setdefault(r["lang"], []).append(r["text"])
-    return Model({k: v[: 2 * rows] for k, v in samples.items()}, min(most, TOTAL_SYMBOLS // max(1, len(samples))))
+            samples.setdefault(r["lang"], []).append(bytes(r["text"]).decode("utf-8", "replace"))
+    return Model(samples, min(most, total // max(1, len(samples))))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with lang_pred and score (0 to 1), from the column text alone.
 
     A null text, or one without letters, is ``und`` with score 0. Ties go to the language whose
-    name sorts first. Columns of ``docs`` named lang_pred or score are replaced.
+    name sorts first. Bytes that are no UTF-8 are no letters. Columns of ``docs`` named lang_pred or score are replaced.
     """
     kept = docs.select([c for c in docs.columns if c not in ("lang_pred", "score")])
     schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
@@ -232,7 +238,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            text = batch.column("text").to_pylist()
+            text = _text.strings(batch.column("text"))
             for a, b in _text.groups_of([len(t or "") for t in text], 2 * _text.SLAB):
                 lang, score = shared.value.predict(text[a:b])
                 part = batch.slice(a, b - a)
