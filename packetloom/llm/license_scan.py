@@ -4,7 +4,7 @@ Words are runs of ASCII letters and digits and of non-ASCII characters, lower-ca
 are five words. Templates fall into size classes. For a class of up to T shingles, windows of
 T + s shingles start every s = max(1, T // 4) shingles, so that any T consecutive shingles lie in
 one of them. A window that contains 0.8 of a template of at least 0.8 T shingles has a Jaccard
-similarity of at least J = 0.8 * 0.8 T / (T + s + 0.2 * 0.8 T) with it; the number of bands (one
+similarity of at least J = 0.8 * 0.8 T / (W + 0.2 * 0.8 T) with it, W being T + s in whole steps; the number of bands (one
 MinHash each) is set so that 1 - (1 - J) ** bands is at least ``RECALL``. Retrieved templates are
 verified: the window must contain at least ``CONTAINMENT`` of the template's distinct shingles.
 
@@ -18,7 +18,8 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import _text
 from ._store import small_batches
@@ -59,6 +60,34 @@ TEMPLATES = {
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
         "copyright notice and this permission notice appear in all copies."
     ),
+    "GPL-2.0-header": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+        "the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope "
+        "that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
+    ),
+    "LGPL-3.0-header": (
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
+    "AGPL-3.0-header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
+    "MPL-2.0-header": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
+        "You can obtain one at http://mozilla.org/MPL/2.0/."
+    ),
+    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute "
+        "this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+    ),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising "
+        "from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to "
+        "alter it and redistribute it freely, subject to the following restrictions."
+    ),
 }
 
 
@@ -71,10 +100,15 @@ class Class:
         self.size = most + self.step
         least = min(map(len, sets))
         inside = containment * least
-        similar = inside / (self.size + least - inside)
+        #: shingles of a window: whole steps
+        self.width = -(-self.size // self.step) * self.step
+        similar = inside / (self.width + least - inside)
         self.bands = math.ceil(math.log(1 - recall) / math.log(1 - similar)) if similar < 1 else 1
         self.salts = _text.mix64(np.arange(1, self.bands + 1, dtype=np.uint64))
-        self.prints = np.stack([_text.mix64(s[:, None] ^ self.salts).min(axis=0) for s in sets])
+        prints = np.stack([_text.mix64(s[:, None] ^ self.salts).min(axis=0) for s in sets], axis=1)
+        #: per band: the templates in the order of their minima, and these
+        self.order = np.argsort(prints, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(prints, self.order, axis=1)
 
     def starts(self, n: int) -> np.ndarray:
         """Window starts: every step, the last one reaching the end."""
@@ -83,16 +117,18 @@ class Class:
     def retrieve(self, own: np.ndarray) -> list[tuple[int, int]]:
         """(start, template) of windows that share a band."""
         n, start = len(own), self.starts(len(own))
-        found = np.zeros((len(start), len(self.sets)), bool)
-        for j, salt in enumerate(self.salts):
+        found: set[tuple[int, int]] = set()
+        for salt, prints, order in zip(self.salts, self.sorted, self.order, strict=True):
             h = _text.mix64(own ^ salt)
             # minima over steps, then over the steps of a window
             low = np.minimum.reduceat(h, np.arange(0, n, self.step))
-            span = -(-self.size // self.step)
+            span = self.width // self.step
             low = np.concatenate([low, np.full(span, ~np.uint64(0))])
             least = np.lib.stride_tricks.sliding_window_view(low, span)[: len(start)].min(axis=1)
-            found |= least[:, None] == self.prints[:, j]
-        return list(zip(*(x.tolist() for x in np.nonzero(found)), strict=True))
+            a, b = np.searchsorted(prints, least, "left"), np.searchsorted(prints, least, "right")
+            for w in np.flatnonzero(a < b).tolist():
+                found.update((w, i) for i in order[a[w] : b[w]].tolist())
+        return sorted(found)
 
 
 class Templates:
@@ -128,35 +164,40 @@ class Templates:
             for w, i in c.retrieve(own):
                 s = w * c.step
                 # the window as retrieved: whole steps
-                part = own[s : s + -(-c.size // c.step) * c.step]
+                part = own[s : s + c.width]
                 value = np.isin(c.sets[i], part).sum() / len(c.sets[i])
                 if value >= self.containment and (c.names[i] not in best or value > best[c.names[i]][1]):
                     best[c.names[i]] = (c.names[i], float(value), s, len(part))
         return [best[k] for k in sorted(best)]
 
 
-FOUND = "doc_id long, license string, containment double, start_word long, n_words long"
+FOUND = "license string, containment double, start_word long, n_words long"
 
 
-def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, containment: float = CONTAINMENT, recall: float = RECALL) -> DataFrame:
+def license_scan(docs: DataFrame, templates: dict[str, str] | DataFrame | None = None, containment: float = CONTAINMENT, recall: float = RECALL) -> DataFrame:
     """(doc_id, license, containment, start_word, n_words): each template found, at its best window.
 
     Of windows that contain equally much the first counts. Null and empty texts match nothing; a
-    text of fewer than five words only a template that is the same words. Templates are a
-    parameter held in memory. Repeated rows of ``docs`` give repeated rows.
+    text of fewer than five words only a template that is the same words. Templates are a mapping, or
+    a table (name, text) of which nulls are left out, and are held in memory; default: TEMPLATES, which
+    names what is covered. Repeated rows of ``docs`` give repeated rows. Bytes that are no UTF-8 count as
+    replacement characters. doc_id keeps its type.
     """
     small_batches(docs.sparkSession)
-    known = docs.sparkSession.sparkContext.broadcast(Templates(templates or TEMPLATES, WORDS, containment, recall))
+    if isinstance(templates, DataFrame):
+        templates = {r[0]: r[1] for r in templates.select("name", "text").filter("name IS NOT NULL AND text IS NOT NULL").orderBy("name", "text").collect()}
+    known = docs.sparkSession.sparkContext.broadcast(Templates(TEMPLATES if templates is None else templates, WORDS, containment, recall))
+    schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string(FOUND).fields])
+    types = [f.type for f in to_arrow_schema(schema)]
 
     def run(batches):
-        types = [pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64()]
         for batch in batches:
             rows: list[tuple] = []
             sizes = pc.fill_null(pc.binary_length(batch.column("text").cast(pa.binary())), 0).to_pylist()
             for a, b in _text.groups_of(sizes, _text.SLAB):
                 part = batch.slice(a, b - a)
                 ids = part.column("doc_id").to_pylist()
-                h, at = _text.word_hashes([prepare(t) for t in part.column("text").to_pylist()], _text.ALNUM)
+                h, at = _text.word_hashes([prepare(t) for t in _text.strings(part.column("text"))], _text.ALNUM)
                 sh, off = _text.shingles(h, at, WORDS)
                 count = np.concatenate([[0], np.cumsum(known.value.hits(sh))])[off]
                 for i in np.flatnonzero(np.diff(count)).tolist():
@@ -164,7 +205,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, conta
                         rows.append((ids[i], name, value, s, min(n + WORDS - 1, int(at[i + 1] - at[i]) - s)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, types, strict=True)], ["doc_id", "license", "containment", "start_word", "n_words"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, FOUND)
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
