@@ -25,13 +25,13 @@ def chunks(text, min_chars: int = 1024, max_chars: int = 8192, boundary: str = B
 
 
 def recipes(docs: DataFrame, min_chars: int = 1024, max_chars: int = 8192) -> DataFrame:
-    """doc_id, text_sha256, and per chunk its ``id`` (64-bit hash) and SHA-256 ``digest``."""
+    """doc_id, text_sha256, whether the text is valid UTF-8, and per chunk its ``id`` (64-bit hash) and SHA-256 ``digest``."""
     text = F.coalesce(F.col("text"), F.lit(""))
     parts = F.transform(
         chunks(text, min_chars, max_chars),
         lambda c: F.struct(F.xxhash64(c).alias("id"), F.unhex(F.sha2(c, 256)).alias("digest")),
     )
-    return docs.select("doc_id", F.sha2(text, 256).alias("text_sha256"), parts.alias("parts"))
+    return docs.select("doc_id", F.sha2(text, 256).alias("text_sha256"), F.is_valid_utf8(text).alias("valid"), parts.alias("parts"))
 
 
 def dictionary(recipe: DataFrame) -> DataFrame:
@@ -48,13 +48,15 @@ def exact_dedup(docs: DataFrame, min_chars: int = 1024, max_chars: int = 8192) -
 
     Of equal texts (byte for byte; null is the empty text) the row with the largest doc_id
     stays. group_size counts rows, repeated ones too. Repeated rows of the largest doc_id are
-    all ``kept``, as they are one document. A null doc_id is smaller than any other.
+    all ``kept``, as they are one document. A null doc_id is smaller than any other. Chunks are cut
+    from decoded characters, so texts that are no valid UTF-8 are told apart by their own digest besides.
     """
     ws = Workspace(docs.sparkSession, "exact-dedup")
     recipe = ws.save(recipes(docs, min_chars, max_chars), "recipes")
     # identifiers with more than one digest: none in practice, told apart exactly if there are any
     clash = ws.save(dictionary(recipe).filter(F.col("lo") != F.col("hi")).select("id"), "clashes")
-    row = recipe.select("doc_id", "text_sha256", F.col("parts.id").alias("ids"), F.lit(None).cast("string").alias("told"))
+    raw = F.when(~F.col("valid"), F.col("text_sha256"))
+    row = recipe.select("doc_id", "text_sha256", F.col("parts.id").alias("ids"), raw.alias("told"))
     if not clash.isEmpty():
         hit = (
             recipe.select("doc_id", "text_sha256", F.explode("parts.id").alias("id"))
@@ -64,7 +66,7 @@ def exact_dedup(docs: DataFrame, min_chars: int = 1024, max_chars: int = 8192) -
         )
         told = F.sha2(F.concat_ws(",", F.transform("parts.digest", F.hex)), 256)
         row = recipe.join(hit, recipe["text_sha256"] == hit["hit"], "left").select(
-            "doc_id", "text_sha256", F.col("parts.id").alias("ids"), F.when(F.col("hit").isNotNull(), told).alias("told")
+            "doc_id", "text_sha256", F.col("parts.id").alias("ids"), F.coalesce(raw, F.when(F.col("hit").isNotNull(), told)).alias("told")
         )
     group = row.groupBy("ids", "told").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     a, b = row.alias("a"), group.alias("b")
