@@ -18,13 +18,14 @@ BITS = 60
 LIMIT_BYTES = 64 << 20
 #: Directory rows up to which the directory is broadcast (about 40 bytes each); beyond, it is joined by shuffle.
 BROADCAST_ROWS = 100_000
+NAMES = ("shard_id", "shard_depth", "shard_prefix", "shard_bytes")
 #: Bits that a pass looks beyond the depth at which even hashing would fit.
 SLACK_BITS = 6
 
 
 def hash_bits(key):
     """60 hash bits of a key column, as a non-negative long; a null key counts as ''."""
-    digest = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
+    digest = F.md5(F.coalesce(key.cast("string"), F.lit("")))
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
@@ -71,17 +72,30 @@ def shard(docs: DataFrame, limit: int = LIMIT_BYTES, key: str = "doc_id", text:
 
     Every shard's texts fit ``limit`` bytes of UTF-8 (null: none), but for a single text that is
     larger than the limit itself. Rows with one key share all hash bits; where they exceed the
-    limit, they are dealt to numbered overflow pages (``:page`` in shard_id) of as many rows as
-    fit by the largest of them, and shard_bytes is the page's. Columns of ``docs`` with these
-    names are replaced.
+    limit, a second directory splits them by the hash of key and text (``text:`` in shard_id, and
+    depth and prefix are those of that hash). Rows that repeat key and text are then dealt to numbered
+    pages (``:page`` in shard_id) of as many rows as fit, and shard_bytes is the page's; one task
+    numbers the repetitions of a row. Columns of ``docs`` with these names are replaced.
     """
-    ws = Workspace(docs.sparkSession, "sharding")
-    names = ("shard_id", "shard_depth", "shard_prefix", "shard_bytes")
-    own = [c for c in docs.columns if c not in names]
+    own = [c for c in docs.columns if c not in NAMES]
     size = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long")
-    light = ws.save(docs.select(hash_bits(key).alias("bits"), size.alias("bytes")), "light")
+    out, full = _assigned(docs.select(own), hash_bits(F.col(key)), size, limit, "")
+    if full is not None:
+        whole = F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("")), F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+        split, still = _assigned(full.select(own), hash_bits(whole), size, limit, "text:")
+        out = out.unionByName(split)
+        if still is not None:
+            out = out.unionByName(_pages(still, limit, size, own))
+    return out.select(*own, *NAMES)
+
+
+def _assigned(docs: DataFrame, bits, size, limit: int, mark: str) -> tuple[DataFrame, DataFrame | None]:
+    """Rows with their shards by a hash, and, apart, the rows of hash values that exceed the limit, if there are any."""
+    ws = Workspace(docs.sparkSession, "sharding")
+    own = docs.columns
+    light = ws.save(docs.select(bits.alias("bits"), size.alias("bytes")), "light")
     passes, overflow = directory(light, limit, ws)
-    row = docs.select(*own, hash_bits(key).alias("__pl_bits"))
+    row = docs.select(*own, bits.alias("__pl_bits"))
     leaf = [F.lit(None).cast("int"), F.lit(None).cast("long"), F.lit(None).cast("long")]
     for deep, found in passes:
         t = found.select(F.col("at").alias("__pl_at"), F.struct("depth", "prefix", "shard_bytes").alias(f"__pl_leaf{deep}"))
@@ -89,13 +103,12 @@ def shard(docs: DataFrame, limit: int = LIMIT_BYTES, key: str = "doc_id", text:
         row = row.join(t, prefix(F.col("__pl_bits"), deep) == F.col("__pl_at"), "left").drop("__pl_at")
         here = F.col(f"__pl_leaf{deep}")
         leaf = [F.coalesce(leaf[0], here["depth"]), F.coalesce(leaf[1], here["prefix"]), F.coalesce(leaf[2], here["shard_bytes"])]
-    name = F.concat_ws(":", leaf[0].cast("string"), leaf[1].cast("string"))
+    name = F.concat(F.lit(mark), leaf[0].cast("string"), F.lit(":"), leaf[1].cast("string"))
     out = row.select(*own, "__pl_bits", name.alias("shard_id"), leaf[0].alias("shard_depth"), leaf[1].alias("shard_prefix"), leaf[2].alias("shard_bytes"))
-    if overflow:
-        full = (F.col("shard_depth") == BITS) & (F.col("shard_bytes") > limit)
-        paged = _pages(out.filter(full), limit, size, own)
-        out = out.filter(~full | full.isNull()).select(*own, *names).unionByName(paged)
-    return out.select(*own, *names)
+    if not overflow:
+        return out.select(*own, *NAMES), None
+    full = (F.col("shard_depth") == BITS) & (F.col("shard_bytes") > limit)
+    return out.filter(~full).select(*own, *NAMES), out.filter(full)
 
 
 def _pages(rows: DataFrame, limit: int, size, own: list[str]) -> DataFrame:
