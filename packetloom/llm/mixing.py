@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, functions as F
 PART_MEAN = 32.0
 #: Entries of a part's cumulative distribution; beyond, the probability is under 1e-40.
 TERMS = 160
+#: Copies of a document that one task makes.
+BLOCK_COPIES = 1_000
 #: Sources up to which the rate table (about 1.4 kB a row) is broadcast; beyond, it is joined by shuffle.
 BROADCAST_SOURCES = 5_000
 SEED = "mix-1"
@@ -62,7 +64,8 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, total_bytes: int | No
 
     Rows drawn 0 times go. A null source is a source of its own; a null key counts as ''. Rows
     with one key are drawn alike. Rows of a partition lie in the order of shuffle_key, a random
-    hash by which they were dealt out. Columns of ``docs`` named copy, n_copies, rate or
+    hash by which they were dealt out. A source's rate has no bound: one short document may stand for
+    a source's whole share, in as many copies as that takes. Columns of ``docs`` named copy, n_copies, rate or
     shuffle_key are replaced.
     """
     own = [c for c in docs.columns if c not in ("copy", "n_copies", "rate", "shuffle_key")]
@@ -75,7 +78,14 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, total_bytes: int | No
     draws = F.transform(number, lambda u: F.size(F.filter("__pl_cdf", lambda c: c < u)))
     n = F.aggregate(draws, F.lit(0), lambda a, b: a + b)
     row = row.select(*own, "rate", n.alias("n_copies")).filter("n_copies > 0")
-    row = row.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
+    few, many = row.filter(F.col("n_copies") <= BLOCK_COPIES), row.filter(F.col("n_copies") > BLOCK_COPIES)
+    few = few.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
+    # documents with very many copies are dealt out in blocks of copies first, so that no task makes all of one
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    last = F.least(F.col("n_copies"), (F.col("__pl_block") + 1) * BLOCK_COPIES)
+    many = many.withColumn("__pl_block", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_copies") - 1) / BLOCK_COPIES).cast("int"))))
+    many = many.repartition(tasks, F.xxhash64(key, "__pl_block")).withColumn("copy", F.explode(F.sequence(F.col("__pl_block") * BLOCK_COPIES + 1, last))).drop("__pl_block")
+    row = few.unionByName(many)
     row = row.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), name, F.col("copy").cast("string"))))
     if shuffle:
         row = row.repartition("shuffle_key").sortWithinPartitions("shuffle_key", key)
