@@ -11,7 +11,7 @@ def _signature(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def components(edges: DataFrame, ws: Workspace, name: str = "cc", most: int = 60) -> DataFrame:
+def components(edges: DataFrame, ws: Workspace, name: str = "cc") -> DataFrame:
     """(node, root) for every node of an edge table (a, b); root is the component's smallest node.
 
     Each step links a node's neighbours to the smallest of them. Edges only ever go to a smaller
@@ -36,9 +36,7 @@ def components(edges: DataFrame, ws: Workspace, name: str = "cc", most: int = 60
         ws.drop(f"{name}-{i}")
         now, i, was = after, i + 1, before
         before = _signature(now)
-        if before == was or i >= most:
-            if before != was:
-                raise RuntimeError(f"components did not settle in {most} steps")
+        if before == was:
             break
     roots = now.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)

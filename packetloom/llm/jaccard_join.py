@@ -7,17 +7,21 @@ partitions of n2 parts, some partition has at most k2 differing elements, and th
 agree on some n2 - k2 parts. A signature is the content of such a subset of parts; linked sets
 share one for certain. Every pair that the signatures bring together is then checked exactly.
 
-Empty subsets would bring unrelated sets together. n1 is therefore larger than needed by t, so
-that t + 1 partitions must be good; a set emits its empty subsets only if more than t of its
-partitions are *weak* (have an empty subset). If at least one of two linked sets has no more
-than t weak partitions, one good partition is not weak, and a non-empty subset is shared.
+Empty subsets, and subsets that very many sets share, would bring unrelated sets together. n1 is
+therefore larger than needed by t, so that t + 1 partitions must be good, and linked sets share at
+least t + 1 subsets of different partitions. Each set may then leave out as many as t partitions:
+those that are *weak* (have an empty subset) if there are no more, and beside them its most frequent
+signatures, up to t in all. No link is lost: all sets rank signatures alike (empty ones first, then
+by how many sets share them, then by value), so a set that leaves out the least frequent one of the
+t + 1 that it shares with another would have to leave out all of them.
 
 Equal sets are one *node*, named by a 64-bit hash of the set (another seed is taken if two sets
-ever share one). Pairs are formed without listing all pairs of a signature's group: each member
-meets the group's two smallest nodes; where a group is then still in several components, its
-members meet one more of them in each of a few rounds; only members that are in different
-components after that meet each other. Links inside a component cannot change it. Pairs whose
-parity sketches already prove that the two sets differ too much go unverified.
+ever share one). For components, pairs are formed without listing all pairs of a signature's group:
+each member meets the group's two smallest nodes; where a group is then still in several components,
+its members meet one more of them; only members that are in different components after that meet
+each other, block by block, so that no task gets a whole large group. Links inside a component cannot
+change it. Pairs whose parity sketches already prove that the two sets differ too much go unverified.
+``jaccard_links`` gives the links themselves, between all candidates of every group.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from . import _text
 from ._store import Workspace, small_batches
@@ -39,8 +43,14 @@ PERCENT = 85
 BAND = 1.4
 #: Words of a parity sketch (64 bits each).
 SKETCH_LONGS = 16
+#: Longs of it that are compared first.
+SHORT_SKETCH = 4
 #: Rounds in which members of open groups meet one member that a hash picks.
-ROUNDS = 2
+ROUNDS = 1
+#: Members of a group that meet in one task.
+BLOCK = 512
+#: Low bits of a signature that hold its band.
+TAG_BITS = 8
 #: Signatures that more rows than this share, as a sample of one row in SAMPLE estimates it, are grouped by aggregates instead of in one task.
 HEAVY_ROWS, SAMPLE = 1_000_000, 100
 #: Heavy signatures up to which their table is broadcast (24 bytes each).
@@ -92,8 +102,8 @@ class Scheme:
         self.n1 = self.distance // (self.k2 + 1) + 1 + self.spare
         self.subsets = list(combinations(range(self.n2), self.n2 - self.k2))
 
-    def signatures(self, elements: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Signatures of sets that lie one after another in ``elements``, with offsets."""
+    def signatures(self, elements: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Signatures of sets that lie one after another in ``elements``, with offsets, and how many more each set may leave out."""
         sets, parts = len(off) - 1, self.n1 * self.n2
         h = _text.mix64(elements ^ _PART)
         where = ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
@@ -103,7 +113,8 @@ class Scheme:
         sums = sums.reshape(sets, self.n1, self.n2)
         empty = sums == 0
         void = np.stack([empty[:, :, list(c)].all(axis=2) for c in self.subsets], axis=2)
-        rare = void.any(axis=2).sum(axis=1) > self.spare
+        weak = void.any(axis=2).sum(axis=1)
+        rare = weak > self.spare
         sigs = np.empty((sets, self.n1, len(self.subsets)), np.uint64)
         for j, c in enumerate(self.subsets):
             v = np.zeros((sets, self.n1), np.uint64)
@@ -111,8 +122,9 @@ class Scheme:
                 v += sums[:, :, p] * np.uint64(2 * m + 1)
             salt = (self.tag << 40) + np.arange(self.n1) * 8 + j
             sigs[:, :, j] = _text.mix64(v ^ _text.mix64(salt.astype(np.uint64)))
+        sigs = sigs >> np.uint64(TAG_BITS) << np.uint64(TAG_BITS) | np.uint64(self.tag)
         keep = (~void | rare[:, None, None]).reshape(sets, -1)
-        return sigs.reshape(sets, -1)[keep], np.concatenate([[0], np.cumsum(keep.sum(axis=1))])
+        return sigs.reshape(sets, -1)[keep], np.concatenate([[0], np.cumsum(keep.sum(axis=1))]), np.where(rare, 0, self.spare - weak)
 
 
 def sketches(elements: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -158,7 +170,7 @@ def _batches(batches, slab: int = _text.SLAB):
             yield batch.slice(a, b - a), text.slice(a, b - a).to_pylist()
 
 
-SETS = "doc_id long, n int, node long, hi long, sketch array<long>, sigs array<long>"
+SETS = "n int, node long, hi long, sketch array<long>, tag int, spare int, spare_below int, sigs array<long>"
 
 
 def _scan(words: int, percent: int, seed: int):
@@ -175,6 +187,7 @@ def _scan(words: int, percent: int, seed: int):
                     seen.add(key)
                     new.append(i)
             sigs: list[list[np.ndarray]] = [[] for _ in texts]
+            own, spare = np.zeros(len(texts), np.int64), np.full((2, len(texts)), -1, np.int64)
             if new:
                 if not schemes or schemes[-1].high < n.max():
                     schemes = [Scheme(i, a, b, percent) for i, (a, b) in enumerate(band_bounds(int(n.max()), percent))]
@@ -187,20 +200,22 @@ def _scan(words: int, percent: int, seed: int):
                     in_it = [i for i in new if own[i] == tag or own[i] == tag + 1 and -(-int(n[i]) * percent // 100) <= s.high]
                     for a, b in _text.groups_of([int(n[i]) for i in in_it], _text.SLAB >> 3):
                         some = in_it[a:b]
-                        got, cut = s.signatures(np.concatenate([el[off[i] : off[i + 1]] for i in some]), np.cumsum([0] + [int(n[i]) for i in some]))
+                        got, cut, left = s.signatures(np.concatenate([el[off[i] : off[i + 1]] for i in some]), np.cumsum([0] + [int(n[i]) for i in some]))
                         for j, i in enumerate(some):
                             sigs[i].append(got[cut[j] : cut[j + 1]])
+                            spare[own[i] - tag, i] = left[j]
             flat = [x for own_sigs in sigs for x in own_sigs]
             counts = np.cumsum([0] + [sum(map(len, x)) for x in sigs])
             # a text seen before in this partition has its sketch there
             sketch = sketches(el, off)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id").cast(pa.int64()), pa.array(n.astype(np.int32)), _longs(lo), _longs(hi),
+                    batch.column("doc_id"), batch.column("v"), pa.array(n.astype(np.int32)), _longs(lo), _longs(hi),
                     _lists(sketch.reshape(-1), np.arange(len(texts) + 1) * SKETCH_LONGS),
+                    pa.array(own.astype(np.int32)), pa.array(spare[0].astype(np.int32)), pa.array(spare[1].astype(np.int32)),
                     _lists(np.concatenate([np.empty(0, np.uint64), *flat]), counts),
                 ],
-                ["doc_id", "n", "node", "hi", "sketch", "sigs"],
+                ["doc_id", "v", "n", "node", "hi", "sketch", "tag", "spare", "spare_below", "sigs"],
             )
 
     return run
@@ -222,6 +237,18 @@ def _reread(words: int, seed: int, wanted):
     return run
 
 
+def _counted_in_tasks(row: DataFrame) -> DataFrame:
+    """(sig, node, c) of signatures that several nodes share; c is how often they occur."""
+    w = Window.partitionBy("sig")
+    row = row.withColumn("c", F.count(F.lit(1)).over(w)).withColumn("p", F.min("node").over(w)).withColumn("q", F.max("node").over(w))
+    return row.filter("p <> q").select("sig", "node", "c")
+
+
+def _counted_by_aggregates(row: DataFrame, small) -> DataFrame:
+    count = row.groupBy("sig").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("p"), F.max("node").alias("q"))
+    return row.join(small(count.filter("p <> q").select("sig", "c")), "sig").select("sig", "node", "c")
+
+
 def _in_tasks(row: DataFrame) -> DataFrame:
     """Groups of signatures that fit a task each."""
     w = Window.partitionBy("sig")
@@ -249,40 +276,59 @@ class JaccardJoin:
         self.words, self.percent, self.seed = words, percent, 0
         self.ws = Workspace(docs.sparkSession, "jaccard-join")
         small_batches(docs.sparkSession)
-        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        self.docs = docs.select("doc_id", variant(F.col("text")).alias("v"), "text")
 
     def run(self) -> DataFrame:
         """doc_id, n_shingles and component_id of every row."""
+        self.prepare()
+        rows = self.ws.save(self.named(), "named")
+        name = rows.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("root", "_root")
+        out = rows.join(name, F.col("root") == F.col("_root"), "left")
+        return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+    def prepare(self) -> None:
+        """Scans the texts: ``rows`` (doc_id, v, n, node), ``nodes`` with sketches, and ``groups`` of nodes by signature."""
         ws = self.ws
+        schema = T.StructType([*self.docs.schema.fields[:2], *T._parse_datatype_string(SETS).fields])
         while True:
-            scanned = ws.save(self.docs.mapInArrow(_scan(self.words, self.percent, self.seed), SETS), "scan")
+            scanned = ws.save(self.docs.mapInArrow(_scan(self.words, self.percent, self.seed), schema), "scan")
             some = scanned.filter("n > 0")
             key = some.groupBy("node").agg(
                 F.min("doc_id").alias("least"), F.min("n").alias("n"), F.max("n").alias("n2"), F.min("hi").alias("hi"), F.max("hi").alias("hi2"),
+                F.max("tag").alias("tag"), F.max("spare").alias("spare"), F.max("spare_below").alias("spare_below"),
             )
             key = ws.save(key, "keys")
             if key.filter("n <> n2 OR hi <> hi2").isEmpty():
                 break
             self.seed += 1  # two sets share a name
-        self.rows = ws.save(scanned.select("doc_id", "n", "node"), "rows")
+        self.rows = ws.save(scanned.select("doc_id", "v", "n", "node"), "rows")
         sketch = some.select("node", "sketch").dropDuplicates(["node"])
         self.nodes = ws.save(key.select("node", "n", "hi", "least").join(sketch, "node"), "nodes")
-        self.groups = self._groups(scanned)
-        ws.drop("scan", "keys")
-        return self._link()
+        self.groups = self._groups(scanned, key.select("node", "tag", "spare", "spare_below"))
+        ws.drop("scan", "keys", "shared")
 
-    def _groups(self, scanned: DataFrame) -> DataFrame:
+    def _groups(self, scanned: DataFrame, spare: DataFrame) -> DataFrame:
         """Members (sig, node) of signatures that several nodes share, but for the smallest node h1; with h1, the
         second smallest h2, and whether at least two more nodes share the signature."""
         row = scanned.select(F.explode("sigs").alias("sig"), "node")
         often = row.sample(1 / SAMPLE, seed=1).groupBy("sig").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > HEAVY_ROWS / SAMPLE)
         often = self.ws.save(often.select("sig"), "heavy")
         n = often.count()
-        if not n:
-            return self.ws.save(_in_tasks(row), "groups")
         small = (lambda df: F.broadcast(df)) if n <= BROADCAST_SIGNATURES else (lambda df: df)
-        light = _in_tasks(row.join(small(often), "sig", "left_anti"))
-        return self.ws.save(light.unionByName(_by_aggregates(row.join(small(often), "sig", "left_semi"), small)), "groups")
+
+        def split(rows, light, heavy):
+            if not n:
+                return light(rows)
+            return light(rows.join(small(often), "sig", "left_anti")).unionByName(heavy(rows.join(small(often), "sig", "left_semi"), small))
+
+        shared = self.ws.save(split(row, _counted_in_tasks, _counted_by_aggregates), "shared")
+        # each set leaves out its most frequent signatures, as many as it may
+        tag = F.col("sig").bitwiseAND(F.lit((1 << TAG_BITS) - 1))
+        row = shared.join(spare, "node").withColumn("band", tag)
+        order = Window.partitionBy("node", "band").orderBy(F.col("c").desc(), "sig")
+        row = row.withColumn("rank", F.dense_rank().over(order))
+        row = row.filter(F.col("rank") > F.when(F.col("band") == F.col("tag"), F.col("spare")).otherwise(F.col("spare_below")))
+        return self.ws.save(split(row.select("sig", "node").distinct(), _in_tasks, _by_aggregates), "groups")
 
     def _stars(self) -> DataFrame:
         """Pairs (a < b) of each signature's two smallest nodes with all its others, each once."""
@@ -291,12 +337,12 @@ class JaccardJoin:
         return pair.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
     def _open(self, roots: DataFrame | None, name: str) -> DataFrame:
-        """(sig, node, root) of groups whose members, other than those two, are in several components."""
-        row = self.groups.filter("more AND node <> h2").select("sig", "node").distinct()
+        """(sig, node, root, c) of groups whose c members, other than those two, are in several components."""
+        row = self.groups.filter("more AND node <> h2").select("sig", "node")
         row = row.join(roots, "node", "left") if roots is not None else row.withColumn("root", F.col("node"))
         row = row.withColumn("root", F.coalesce("root", "node"))
-        apart = row.groupBy("sig").agg(F.min("root").alias("p"), F.max("root").alias("q")).filter("p <> q").select("sig")
-        return self.ws.save(row.join(apart, "sig", "left_semi"), name)
+        apart = row.groupBy("sig").agg(F.min("root").alias("p"), F.max("root").alias("q"), F.count(F.lit(1)).alias("c")).filter("p <> q")
+        return self.ws.save(row.join(apart.select("sig", "c"), "sig"), name)
 
     def _round(self, rows: DataFrame, i: int) -> DataFrame:
         """Pairs (a < b) of the members of each open group with one of them, picked by a hash, in other components."""
@@ -305,12 +351,20 @@ class JaccardJoin:
         pair = rows.join(hub, "sig").filter("root <> hub_root")
         return pair.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
-    def _rest(self, rows: DataFrame) -> DataFrame:
-        """All pairs (a < b) of members of open groups that are in different components and that sketches leave possible."""
-        row = rows.join(self.nodes.select("node", "n", "sketch"), "node")
+    def _meet(self, rows: DataFrame) -> DataFrame:
+        """Pairs (a < b) of members of a group (sig, node, root, c) that have different roots and that sketches leave possible.
+
+        A group of more than BLOCK members is dealt into blocks, and each pair of blocks meets by itself.
+        """
+        k = F.ceil(F.col("c") / BLOCK)
+        row = rows.join(self.nodes.select("node", "n", "sketch"), "node").withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), k))
+        row = row.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), k - 1)))
+        row = row.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("c", "other")
         x, y = row.alias("x"), row.alias("y")
-        cond = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
-        pair = x.join(y, cond & self._may_link("x", "y", 4) & self._may_link("x", "y", SKETCH_LONGS))
+        cond = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
+        cond &= (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
+        cond &= (F.col("x.i") == F.col("x.j")) | (F.col("x.block") != F.col("y.block"))
+        pair = x.join(y, cond & self._may_link("x", "y", SHORT_SKETCH) & self._may_link("x", "y", SKETCH_LONGS))
         return pair.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
     def _may_link(self, x: str, y: str, longs: int):
@@ -334,67 +388,107 @@ class JaccardJoin:
         out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
         return out
 
-    def _sets(self, ids: DataFrame, name: str) -> DataFrame:
-        """(node, elements) of some nodes, made again from the texts of one document each."""
+    def _sets(self, pairs: DataFrame, name: str) -> DataFrame:
+        """(node, elements) of the nodes of some pairs, made again from the texts of one document each."""
         ws = self.ws
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         key = ws.save(self.nodes.join(ids, "node", "left_semi").select("node", "hi", F.col("least").alias("doc_id")), f"{name}-keys")
         wanted = self.docs.sparkSession.sparkContext.broadcast(self._filter(key))
         texts = self.docs.select("text", _slot(F.col("doc_id")).alias("slot"))
         got = texts.mapInArrow(_reread(self.words, self.seed, wanted), "node long, hi long, elements array<long>")
         return ws.save(got.join(key.select("node", "hi"), ["node", "hi"]).dropDuplicates(["node", "hi"]).select("node", "elements"), name)
 
-    def _verify(self, pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
-        """The pairs that are linked, by exact intersection of their sets."""
-        s = F.col("same")
+    def _verify(self, pairs: DataFrame, i: int) -> DataFrame:
+        """(a, b, same, similarity) of the pairs that are linked, by exact intersection of their sets."""
+        s, sets = F.col("same"), self._sets(pairs, f"sets-{i}")
         both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
         both = both.select("a", "b", F.size("x").alias("p"), F.size("y").alias("q"), F.size(F.array_intersect("x", "y")).alias("same"))
-        return self.ws.save(both.filter(s * 100 >= (F.col("p") + F.col("q") - s) * self.percent).select("a", "b"), name)
+        linked = both.filter(s * 100 >= (F.col("p") + F.col("q") - s) * self.percent)
+        out = self.ws.save(linked.select("a", "b", (s / (F.col("p") + F.col("q") - s)).alias("similarity")), f"links-{i}")
+        self.ws.drop(f"sets-{i}", f"sets-{i}-keys")
+        return out
 
-    def _link(self) -> DataFrame:
+    def named(self) -> DataFrame:
+        """``rows`` with the root of their component; null for rows without shingles."""
         ws, roots, links = self.ws, None, None
-        nodes_of = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         tested = ws.save(self._possible(self._stars()), "pairs-0")
         if not tested.isEmpty():
-            links = self._verify(tested, self._sets(nodes_of(tested), "sets-0"), "links-0")
+            links = self._verify(tested, 0).select("a", "b")
             roots = components(links, ws, "cc-0")
-            ws.drop("sets-0")
         rows = self._open(roots, "open-0")
-        sets = self._sets(rows.select("node").distinct(), "sets-1") if not rows.isEmpty() else None
         for i in range(1, ROUNDS + 2):
-            if sets is None or rows.isEmpty():
+            if rows.isEmpty():
                 break
-            pairs = self._possible(self._round(rows, i)) if i <= ROUNDS else self._rest(rows)
+            pairs = self._possible(self._round(rows, i)) if i <= ROUNDS else self._meet(rows)
             pairs = ws.save(pairs.join(tested, ["a", "b"], "left_anti"), f"pairs-{i}")
+            if pairs.isEmpty():
+                continue
             tested = tested.unionByName(pairs)
-            found = self._verify(pairs, sets, f"links-{i}")
+            found = self._verify(pairs, i).select("a", "b")
             if not found.isEmpty():
-                links = found if links is None else links.unionByName(found)
+                links = links.unionByName(found) if links is not None else found
                 roots = components(links, ws, f"cc-{i}")
-                rows = self._open(roots, f"open-{i}")
-        ws.drop("groups", "sets-1", *(f"{kind}-{j}" for kind in ("pairs", "links", "open") for j in range(ROUNDS + 2)))
-        out = self.nodes.select("node", "least")
-        out = out.join(roots, "node", "left") if roots is not None else out.withColumn("root", F.col("node"))
-        out = out.withColumn("root", F.coalesce("root", "node"))
-        name = out.groupBy("root").agg(F.min("least").alias("component_id"))
-        named = out.join(name, "root").select("node", "component_id")
-        rows = self.rows.join(named, (self.rows["node"] == named["node"]) & (self.rows["n"] > 0), "left")
-        return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+                rows = self._open(roots, f"open-{i}") if i <= ROUNDS else rows
+        ws.drop("groups", *(f"{kind}-{j}" for kind in ("pairs", "links", "open") for j in range(ROUNDS + 2)))
+        out = self.nodes.select(F.col("node").alias("_node"), "least")
+        out = out.join(roots.withColumnRenamed("node", "_node"), "_node", "left") if roots is not None else out.withColumn("root", F.col("_node"))
+        out = out.withColumn("root", F.coalesce("root", "_node"))
+        return self.rows.join(out.select("_node", "root"), (self.rows["node"] == F.col("_node")) & (self.rows["n"] > 0), "left").drop("_node")
+
+    def links(self) -> DataFrame:
+        """(a, b, similarity) of all linked pairs of nodes."""
+        members = self.groups.select("sig", F.explode(F.array("node", "h1")).alias("node")).distinct()
+        count = members.groupBy("sig").agg(F.count(F.lit(1)).alias("c"))
+        rows = self.ws.save(members.join(count, "sig").withColumn("root", F.col("node")), "members")
+        return self._verify(self.ws.save(self._meet(rows), "pairs"), 0)
 
 
 def _slot(doc_id):
     return F.pmod(F.xxhash64(doc_id), F.lit(1 << FILTER_BITS))
 
 
+def variant(text):
+    """Tells texts under one doc_id apart."""
+    return F.xxhash64(text)
+
+
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id.
 
     component_id is the smallest doc_id that links reach. A null or empty text, or one without
     words, has no shingles and no link. Rows with one doc_id but different texts are different
     sets; each row gets its own set's component. A null doc_id never names a component unless it
-    has no other.
+    has no other. doc_id may be of any type that has an order. Texts are compared as bytes, so
+    bytes that are no UTF-8 are parts of words like any others.
     """
     return JaccardJoin(docs, words, percent).run()
 
 
+def jaccard_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """(links, members). links: (a, b, similarity) of all linked pairs of different sets, a set being
+    named by a number; members: doc_id, n_shingles and set of every row of ``docs`` (null without shingles).
+
+    Copies of one set are not expanded into pairs: they are linked by having the same set.
+    """
+    join = JaccardJoin(docs, words, percent)
+    join.prepare()
+    return join.links(), join.rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("set"))
+
+
+def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` that stay when one document of each component does: the one of the smallest doc_id.
+
+    Of several texts under that doc_id one stays; rows that repeat both are one document, and all stay.
+    Rows without shingles stay. A null doc_id is larger than any other.
+    """
+    join = JaccardJoin(docs, words, percent)
+    join.prepare()
+    rows = join.ws.save(join.named(), "named")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("v"))
+    best = rows.filter("root IS NOT NULL").groupBy("root").agg(F.min(place).alias("k")).select(F.col("k.doc_id").alias("__pl_id"), F.col("k.v").alias("__pl_v"))
+    keep = best.unionByName(rows.filter("root IS NULL").select(F.col("doc_id").alias("__pl_id"), F.col("v").alias("__pl_v"))).distinct()
+    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["__pl_id"]) & variant(docs["text"]).eqNullSafe(keep["__pl_v"]), "left_semi")
+
+
 def op9(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")

@@ -107,6 +107,36 @@ def test_join_takes_another_seed_when_two_sets_share_a_name(spark, monkeypatch):
     assert got == {i: 3 if i == 20 else i for i, _ in rows}
 
 
+def test_links_and_classes_equal_brute_force(spark):
+    rows = [(i, t) for i, (_, t) in enumerate(corpus(4))]
+    links, members = jaccard_join.jaccard_links(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    named = {r.set: r.doc_id for r in members.collect() if r.set is not None}
+    assert {r.doc_id for r in members.filter("set IS NULL").collect()} == {i for i, t in rows if not sets_of(t)}
+    got = {tuple(sorted((named[r.a], named[r.b]))): r.similarity for r in links.collect()}
+    one = {sets_of(t): named_id for named_id in named.values() for i, t in rows if i == named_id}
+    want = {}
+    for a, i in one.items():
+        for b, j in one.items():
+            if i < j and 100 * len(a & b) >= 85 * len(a | b):
+                want[i, j] = len(a & b) / len(a | b)
+    assert len(want) > 20 and got.keys() == want.keys() and all(abs(got[k] - v) < 1e-12 for k, v in want.items())
+
+
+def test_keep_one_decides_by_row(spark):
+    near = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, near), (2, near), (2, "other words stand under this same identity"), (None, near + " x"), (None, "own words of nobody in particular here"), (3, None), (4, ""), (1, near), (5, near + " y")]
+    for t in ("string", "long"):
+        got = jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast(t)))
+        assert sorted((int(r.doc_id or 0), r.text or "") for r in got.collect()) == sorted((d or 0, t or "") for d, t in [rows[0], rows[7], rows[2], rows[4], rows[5], rows[6]])
+
+
+def test_blocks_of_a_group_meet_each_pair_once(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    rows = corpus(6)
+    got = sorted(tuple(r) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted(brute_components(rows, 85))
+
+
 def test_join_of_empty_table_and_null_ids(spark):
     assert jaccard_join.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     rows = [(None, "a b c d e"), (4, "a b c d e"), (None, None)]
@@ -132,6 +162,8 @@ def test_signatures_are_shared_by_all_linked_sets():
                 s = schemes[t]
                 if s.distance:
                     got = [set(s.signatures(x, np.array([0, len(x)]))[0].tolist()) for x in (a, b)]
+                    spare = [int(s.signatures(x, np.array([0, len(x)]))[2][0]) for x in (a, b)]
+                    assert all(0 <= k <= s.spare for k in spare)
                     shared |= got[0] & got[1]
             assert shared, (size, cut, add)
 
@@ -218,7 +250,8 @@ def test_decontamination_equals_brute_force(spark):
     assert got == want and len(want) > 10
     blocks = decontaminate.contamination(frame, bench, block_items=4).select("doc_id", "item_id").distinct().count()
     assert blocks == len(want)
-    left = decontaminate.decontaminate(frame, bench)
+    left = decontaminate.decontaminate(frame, bench, block_items=5)
+    assert "Exchange" not in left._jdf.queryExecution().executedPlan().toString().replace("Exchange RoundRobin", "")
     assert {x.doc_id for x in left.collect()} == {d for d, _ in docs} - {d for d, _ in want}
     assert left.columns == frame.columns
 
