@@ -16,6 +16,7 @@ step through the automata together and memory does not depend on a text's length
 from __future__ import annotations
 
 import math
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -69,39 +70,41 @@ def spread(s: np.ndarray, most: int) -> np.ndarray:
 
 def suffix_automaton(text: list[int], size: int) -> np.ndarray:
     """Transitions of the suffix automaton of a symbol list, -1 where there is none; state 0 is the root."""
-    nxt, link, length, last = [[-1] * size], [-1], [0], 0
+    # one flat table, as an automaton of n symbols has at most 2n states
+    none = array("i", [-1]) * size
+    nxt, link, length, last = none[:], array("i", [-1]), array("i", [0]), 0
     for c in text:
-        cur = len(nxt)
-        nxt.append([-1] * size)
+        cur = len(link)
+        nxt.extend(none)
         length.append(length[last] + 1)
         link.append(0)
         p = last
-        while p >= 0 and nxt[p][c] < 0:
-            nxt[p][c] = cur
+        while p >= 0 and nxt[p * size + c] < 0:
+            nxt[p * size + c] = cur
             p = link[p]
         if p >= 0:
-            q = nxt[p][c]
+            q = nxt[p * size + c]
             if length[q] == length[p] + 1:
                 link[cur] = q
             else:
-                copy = len(nxt)
-                nxt.append(nxt[q][:])
+                copy = len(link)
+                nxt.extend(nxt[q * size : (q + 1) * size])
                 length.append(length[p] + 1)
                 link.append(link[q])
-                while p >= 0 and nxt[p][c] == q:
-                    nxt[p][c] = copy
+                while p >= 0 and nxt[p * size + c] == q:
+                    nxt[p * size + c] = copy
                     p = link[p]
                 link[q] = link[cur] = copy
         last = cur
-    return np.array(nxt, np.int32).reshape(-1, size)
+    return np.frombuffer(nxt, np.int32).reshape(-1, size)
 
 
 def parsing_table(trans: np.ndarray) -> np.ndarray:
     """Entry (state, symbol): twice the next state, plus 1 if a new phrase starts with that symbol."""
     root = np.where(trans[0] < 0, 0, trans[0])
-    out = np.where(trans < 0, 2 * root + 1, 2 * trans)
+    out = np.where(trans < 0, 2 * root + 1, 2 * trans).astype(np.int32)
     out[0] = 2 * root + 1
-    return out.astype(np.int32)
+    return out
 
 
 class Model:
@@ -122,16 +125,17 @@ class Model:
         self.table = _letters().astype(np.uint32)
         self.table[best] = np.arange(2, 2 + len(best))
         self.table[rare] = self.size + np.arange(len(rare))
-        tables, self.roots, self.bits, at = [], [], [], 0
+        self.steps, self.roots, self.bits, at = np.empty(0, np.int32), [], [], 0
         for k in self.languages:
             share = max(1, most // max(1, len(points[k]) // 2))
             flat = np.concatenate([np.zeros(1, np.uint8), *(np.concatenate([spread(self.symbols(p), share), [0]]) for p in points[k])])[:most]
             t = parsing_table(suffix_automaton(flat.tolist(), self.size))
-            tables.append(t + 2 * at)
+            t += np.int32(2 * at)
+            self.steps.resize(self.steps.size + t.size, refcheck=False)
+            self.steps[-t.size :] = t.reshape(-1)
             self.roots.append(at)
             self.bits.append(math.log2(max(2, len(flat))))
             at += len(t)
-        self.steps = np.concatenate(tables).reshape(-1) if tables else np.empty(0, np.int32)
         self.roots, self.bits = np.array(self.roots, np.int64), np.array(self.bits)
 
     def symbols(self, points: np.ndarray) -> np.ndarray:
