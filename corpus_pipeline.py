@@ -13,18 +13,21 @@ from packetloom.llm._store import Workspace
 
 #: Near copies share 80 % of their 5-word shingles; op9_ngram_jaccard_join alone takes the operator's 4 words and 85 %.
 WORDS, PERCENT = 5, 80
+PLACE = "__pl_place"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; those without any letter, or without text, go."""
-    named = langid.identify(docs, langid.train(docs))
+    """Documents with a language; those without any letter, or without text, go. Without labels to learn from, those with letters stay."""
+    model = langid.train(docs)
+    if not model.languages:
+        return docs.filter(F.col("text").rlike("\\p{L}"))
+    named = langid.identify(docs, model)
     return named.filter(F.col("lang_pred") != langid.UND).select(docs.columns)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents, the one with the smallest doc_id."""
-    keep = jaccard_join.jaccard_components(docs, WORDS, PERCENT).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__pl_keep")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["__pl_keep"]), "left_semi")
+    return jaccard_join.keep_one(docs, WORDS, PERCENT)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +41,13 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def sharding_by_hash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their shard."""
-    return sharding.shard(docs)
+    """Documents with their shard. The copies that mixing made are dealt apart: by doc_id and the row's place in the stage's table."""
+    if docs.inputFiles():
+        part = F.regexp_extract(F.col("_metadata.file_name"), "part-([0-9]+)", 1)
+        place = F.concat_ws(":", F.col("doc_id").cast("string"), part, F.col("_metadata.row_index").cast("string"))
+    else:
+        place = F.col("doc_id").cast("string")
+    return sharding.shard(docs.withColumn(PLACE, place), key=PLACE).drop(PLACE)
 
 
 STAGES = [
