@@ -41,9 +41,29 @@ def strobe(t):
     return flows.strobes(e, key, flows.beacons(e, key, size="value", threshold=0.6), 16)
 
 
-@query()
+@query("""WITH p AS (SELECT user_id, event_type, count(*)::INT AS n_conns, list(epoch_us(ts) / 1e6 ORDER BY ts) AS t, list_sort(list(value)) AS v FROM events GROUP BY ALL HAVING count(*) >= 8),
+ g AS (SELECT *, list_sort(list_transform(range(1, len(t)), lambda i: t[i + 1] - t[i])) AS gaps FROM p),
+ w AS (SELECT *, list_aggregate(gaps[1:greatest(1, len(gaps) // 2)], 'median') / 2 AS width FROM g),
+ b AS (SELECT user_id, event_type, floor((unnest(t) - t[1]) / width)::BIGINT AS bin FROM w WHERE width > 0),
+ c AS (SELECT user_id, event_type, bin, count(*) AS k FROM b GROUP BY ALL),
+ z AS (SELECT user_id, event_type, n_conns, width, max(bin) + 1 AS n, n_conns / (max(bin) + 1)::DOUBLE AS mu, sum(k * k) AS sq, least((max(bin) + 1) // 2, floor((t[len(t)] - t[1]) / width / 4)::BIGINT) AS most
+       FROM c JOIN w USING (user_id, event_type) GROUP BY user_id, event_type, n_conns, width, t),
+ l AS (SELECT x.user_id, x.event_type, y.bin - x.bin AS lag, sum(x.k * y.k) AS pairs FROM c x JOIN c y ON x.user_id = y.user_id AND x.event_type = y.event_type AND y.bin > x.bin JOIN z ON z.user_id = x.user_id AND z.event_type = x.event_type AND y.bin - x.bin <= z.most GROUP BY ALL),
+ e AS (SELECT l.user_id, l.event_type, l.lag, l.pairs, sum(CASE WHEN c.bin < z.n - l.lag THEN c.k ELSE 0 END) + sum(CASE WHEN c.bin >= l.lag THEN c.k ELSE 0 END) AS edges
+       FROM l JOIN z USING (user_id, event_type) JOIN c USING (user_id, event_type) GROUP BY ALL),
+ a AS (SELECT e.*, width, round((pairs - mu * edges + (n - lag) * mu * mu) / (sq - n * mu * mu), 9) AS s FROM e JOIN z USING (user_id, event_type) WHERE sq - n * mu * mu > 0),
+ m AS (SELECT user_id, event_type, width, arg_max(struct_pack(l := lag, p := pairs, s := s), (s, -lag)) AS best FROM a GROUP BY ALL),
+ f AS (SELECT a.user_id, a.event_type, min(a.lag) AS lag FROM a JOIN m USING (user_id, event_type) WHERE best.s > 0 AND best.l % a.lag = 0 AND a.pairs >= 0.5 * best.p GROUP BY ALL),
+ r AS (SELECT w.user_id, w.event_type, w.n_conns, CASE WHEN f.lag IS NULL THEN 0.0 ELSE least(1.0, best.s) END AS s, coalesce(f.lag * w.width, 0.0) AS period, v, len(v) AS n, len(v) // 2 AS h
+       FROM w LEFT JOIN m USING (user_id, event_type) LEFT JOIN f USING (user_id, event_type)),
+ q AS (SELECT *, list_aggregate(v, 'median') AS q2, list_aggregate(v[1:h], 'median') AS q1, list_aggregate(v[n-h+1:n], 'median') AS q3 FROM r),
+ d AS (SELECT *, (CASE WHEN q3 = q1 THEN 1.0 ELSE greatest(0.0, 1.0 - abs((q3 + q1 - 2.0 * q2) / (q3 - q1))) END
+                  + CASE WHEN q2 <= 0 THEN 0.0 ELSE 1.0 - least(list_aggregate(list_transform(v, lambda x: abs(x - q2)), 'median') / q2, 1.0) END) / 2.0 AS reg FROM q),
+ o AS (SELECT user_id, event_type, n_conns, period, round(s, 3) AS timing, CASE WHEN s > 0 THEN round((2.0 * (0.5 * round(s, 3) + 0.5 * reg) + least(1.0, n_conns / 12.0)) / 3.0, 3) ELSE 0.0 END AS score FROM d)
+ SELECT user_id, event_type, n_conns, round(period, 3) AS period, score, timing >= 0.2 AND score >= 0.4 AS is_beacon FROM o""")
 def beacon_autocorr(t):
-    return flows.autocorr_beacons(t("events"), ["user_id", "event_type"], size="value", threshold=0.4, strength=0.2)
+    out = flows.autocorr_beacons(t("events"), ["user_id", "event_type"], size="value", threshold=0.4, strength=0.2)
+    return out.withColumn("period", F.round("period", 3))
 
 
 @query("""WITH m AS (SELECT event_type AS domain, user_id, (value)::INT % 5 AS ip, ts, value FROM events)
@@ -291,10 +311,10 @@ def ransomware_smb(t):
     return counts.smb_ransomware(t("lineitem"), ["l_suppkey"], "l_partkey", F.col("l_returnflag") == "N", min_share=0.5)
 
 
-@query("""WITH g AS (SELECT user_id, count(DISTINCT event_type) AS n_codes, count(DISTINCT json_extract_string(props, '$.k')) AS n_units FROM events WHERE event_id % 5 = 0 GROUP BY ALL)
+@query("""WITH g AS (SELECT user_id, count(DISTINCT event_type) AS n_codes, count(DISTINCT json_extract_string(props, '$.k')) AS n_units FROM events GROUP BY ALL)
  SELECT user_id, n_codes, n_units, CASE WHEN n_codes >= 5 THEN 'fc enumeration: ' || n_codes || ' distinct function codes' ELSE 'unit enumeration: ' || n_units || ' distinct unit IDs' END AS why FROM g WHERE n_codes >= 5 OR n_units >= 9""")
 def fc_enumeration(t):
-    e = t("events", "event_id % 5 = 0").withColumn("unit", F.get_json_object("props", "$.k"))
+    e = t("events").withColumn("unit", F.get_json_object("props", "$.k"))
     return counts.modbus_enumeration(e, ["user_id"], "event_type", "unit", 5, 9)
 
 
@@ -332,7 +352,7 @@ def transition_burst(t):
 _FP = "'t13d' || lpad((o_custkey % 3 * 100 + o_orderkey % 4)::VARCHAR, 4, '0') || 'h2_' || lpad((o_orderkey % 4)::VARCHAR, 12, '0') || '_' || lpad((o_custkey % 2)::VARCHAR, 12, '0')"
 
 
-@query(f"""WITH o AS (SELECT o_custkey % 20 AS entity, {_FP} AS fp, o_orderdate AS ts, o_orderkey FROM orders WHERE o_orderkey % 9 > 0),
+@query(f"""WITH o AS (SELECT o_custkey % 20 AS entity, {_FP} AS fp, o_orderdate AS ts, o_orderkey FROM orders),
  f AS (SELECT *, row_number() OVER (PARTITION BY entity, fp ORDER BY ts, o_orderkey) AS k, row_number() OVER (PARTITION BY entity ORDER BY ts, fp, o_orderkey) - 1 AS prior, min(ts) OVER (PARTITION BY entity) AS since,
          split_part(fp, '_', 1) || split_part(fp, '_', 3) AS ac FROM o),
  g AS (SELECT *, row_number() OVER (PARTITION BY entity, ac ORDER BY ts, fp, o_orderkey) > 1 AS alike FROM f),
@@ -342,7 +362,7 @@ _FP = "'t13d' || lpad((o_custkey % 3 * 100 + o_orderkey % 4)::VARCHAR, 4, '0') |
  WHERE prior >= 1 AND epoch(ts) - epoch(since) >= 86400""")
 def ja4_novelty(t):
     spark_fp = _FP.replace("::VARCHAR", "").replace("lpad((", "lpad(CAST((").replace(", 4, '0')", " AS STRING), 4, '0')").replace(", 12, '0')", " AS STRING), 12, '0')")
-    o = t("orders", "o_orderkey % 9 > 0").select((F.col("o_custkey") % 20).alias("entity"), F.expr(spark_fp).alias("fp"), F.col("o_orderdate").alias("ts"))
+    o = t("orders").select((F.col("o_custkey") % 20).alias("entity"), F.expr(spark_fp).alias("fp"), F.col("o_orderdate").alias("ts"))
     out = novelty.ja4_novelty(o, [], "entity", "fp", "ts", min_observations=1, rare=3)
     return out.select("entity", "fp", "n_fleet", "severity", F.col("confidence").cast("double").alias("confidence"))
 

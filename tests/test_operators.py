@@ -29,15 +29,41 @@ def test_beacons_find_callbacks_only(spark):
     assert not got["h2"].is_beacon and "h3" not in got
 
 
-def test_autocorrelation_survives_missed_beats_and_noise():
-    gapped = [60.0 * i for i in range(45) if i % 3 != 2]
-    score, period, hit = flows.autocorrelation(gapped)
-    assert hit and score > 0.9 and abs(period - 60) <= 30
-    for seed in range(20):
-        r = np.random.default_rng(seed)
-        assert not flows.autocorrelation(np.cumsum(r.exponential(60, 40)))[2]
-    assert flows.autocorrelation([1.0] * 20) == (0.0, 0.0, False)
-    assert flows.autocorrelation(list(range(5))) == (0.0, 0.0, False)
+def autocorrelated(spark, *series):
+    rows = [(i, float(t)) for i, ts in enumerate(series) for t in ts]
+    frame = spark.createDataFrame(rows, "pair int, at double").select("pair", F.timestamp_micros((F.col("at") * 1e6).cast("long")).alias("ts"))
+    got = {r.pair: r for r in flows.autocorr_beacons(frame, ["pair"]).collect()}
+    return [got.get(i) for i in range(len(series))]
+
+
+def test_autocorrelation_on_documented_outcomes(spark):
+    missed = [[60.0 * i for i in range(46) if i % 3 != phase] for phase in range(3)]
+    jitter = random.Random(4242)
+    shaken = [60.0 * i + jitter.uniform(-9, 9) for i in range(90) if i % 3]
+    walk, w = [], random.Random(99)
+    for _ in range(40):
+        walk.append((walk[-1] if walk else 0.0) + 60 * (1 + w.uniform(-0.5, 0.5)))
+    dense = random.Random(11)
+    quiet = [np.cumsum(np.random.default_rng(s).exponential(60, n)).tolist() for n in (40, 12) for s in range(20)]
+    got = autocorrelated(spark, *missed, shaken, walk, sorted(dense.uniform(0, 600) for _ in range(600)), *quiet, [1.0] * 20, list(range(5)))
+    assert all(g.is_beacon and g.score > 0.9 and abs(g.period - 60) <= 30 for g in got[:3])
+    assert got[3].is_beacon and got[3].score >= 0.7
+    assert not any(g.is_beacon for g in got[4:-1]) and got[-2].score == 0 and got[-1] is None
+
+
+def test_autocorrelation_takes_the_whole_series():
+    early = [10.0 * i for i in range(200)]
+    far = [1e7 + 10.0 * i for i in range(200)]  # a million bins between two bursts of callbacks
+    strength, period = flows.periodicity(early + far)
+    assert period == 10.0 and strength > 0.9
+    r = np.random.default_rng(3)
+    places, counts = np.unique(r.integers(0, 400, 150), return_counts=True)
+    line = np.bincount(places, counts, 401)
+    want = {k: int((line[:-k] * line[k:]).sum()) for k in range(1, 150)}
+    want = {k: v for k, v in want.items() if v}
+    for tail in ([], [10**9]):  # by transform, and by pairs
+        lags, pairs = flows.pair_counts(np.concatenate([places, tail]).astype(int), np.concatenate([counts, [1] * len(tail)]), 149)
+        assert dict(zip(lags.tolist(), pairs.tolist(), strict=True)) == want
 
 
 def test_autocorr_operator(spark):
