@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from ..functions import stats
+from ..functions.core import let
 
 
 def outbound_windows(obs: DataFrame, key: list[str], entity: str, ts: str, value: str, seconds: int = 300, identity: str | None = None) -> DataFrame:
@@ -12,13 +15,14 @@ def outbound_windows(obs: DataFrame, key: list[str], entity: str, ts: str, value
     return rows.groupBy(*key, entity, start.alias("start")).agg(F.sum(value).alias("bytes_out"))
 
 
-def _robust(values: DataFrame, by: list[str], value: str, prefix: str, floor: float) -> DataFrame:
-    """Per group: n, median, and scale = max(1.4826 MAD, floor, median / 10)."""
-    mid = values.groupBy(*by).agg(F.median(value).alias(f"{prefix}_median"), F.count(value).alias(f"{prefix}_n"))
-    both = values.join(mid, by)
-    mad = both.groupBy(*by).agg(F.median(F.abs(F.col(value) - F.col(f"{prefix}_median"))).alias("_mad"))
-    scale = F.greatest(1.4826 * F.col("_mad"), F.lit(float(floor)), F.col(f"{prefix}_median") * 0.1)
-    return mid.join(mad, by).withColumn(f"{prefix}_scale", scale).drop("_mad")
+def _robust(values: Column, floor: float) -> Column:
+    """Struct (n, median, scale) of an array of numbers; scale = max(1.4826 MAD, floor, median / 10)."""
+
+    def scaled(xs: Column, mid: Column) -> Column:
+        mad = stats.sorted_median(F.array_sort(F.transform(xs, lambda x: F.abs(x - mid))))
+        return F.struct(F.size(xs).alias("n"), mid.alias("median"), F.greatest(1.4826 * mad, F.lit(float(floor)), mid * 0.1).alias("scale"))
+
+    return let(F.array_sort(values), lambda xs: let(stats.sorted_median(xs), lambda mid: scaled(xs, mid)))
 
 
 def outbound_anomalies(
@@ -30,24 +34,25 @@ def outbound_anomalies(
     before it is learned. The peer baseline is required (samples and distinct peers); without an own
     baseline the peers decide alone. windows: cohort, entity, start (epoch seconds), bytes_out.
 
-    The self-join is an equi-join on cohort and coarse time block (each scored window meets two
-    blocks of history), so a cohort's whole history never meets itself.
+    A cohort's windows are gathered once per coarse time block, together with those of the block before; each
+    scored window meets that one row and picks its history from it. So no pair of windows is ever a row, and
+    nothing is aggregated after the join. A cohort is a group of peers, of a size that fits a row for two blocks.
     """
     span = history * seconds
-    block = lambda c: F.floor(c / span)
-    now = windows.select(*cohort, entity, "start", "bytes_out", F.explode(F.array(block(F.col("start")), block(F.col("start")) - 1)).alias("_block"))
-    old = windows.select(*[F.col(c).alias(f"_{c}") for c in cohort], F.col(entity).alias("_who"), F.col("start").alias("_start"), F.col("bytes_out").cast("double").alias("_value"), block(F.col("start")).alias("_old_block"))
-    cond = (F.col("_block") == F.col("_old_block")) & (F.col("_start") >= F.col("start") - span) & (F.col("_start") + seconds <= F.col("start"))
-    for c in cohort:
-        cond = cond & (F.col(c) == F.col(f"_{c}"))
-    pair = now.join(old, cond).withColumn("_own", F.col("_who") == F.col(entity))
-    by = [*cohort, entity, "start"]
-    own = _robust(pair.filter("_own"), by, "_value", "own", floor)
-    peer = _robust(pair.filter("NOT _own"), by, "_value", "peer", floor)
-    peers = pair.filter("NOT _own").groupBy(*by).agg(F.countDistinct("_who").alias("n_peers"))
-    row = windows.join(peer.join(peers, by), by).join(own, by, "left").filter((F.col("peer_n") >= min_samples) & (F.col("n_peers") >= min_peers))
+    value = F.col("bytes_out").cast("double")
+    block = F.floor(F.col("start") / span)
+    seen = windows.select(*cohort, F.explode(F.array(block, block + 1)).alias("_block"), F.struct("start", F.col(entity).alias("who"), value.alias("v")).alias("_h"))
+    pool = seen.groupBy(*cohort, "_block").agg(F.collect_list("_h").alias("_pool"))
+    row = windows.withColumn("_block", block).join(pool, [*cohort, "_block"])
+    before = F.filter("_pool", lambda h: (h["start"] >= F.col("start") - span) & (h["start"] + seconds <= F.col("start")))
+    row = row.withColumn("_past", before).filter(F.size("_past") >= min_samples)
+    own, peers = F.filter("_past", lambda h: h["who"] == F.col(entity)), F.filter("_past", lambda h: h["who"] != F.col(entity))
+    row = row.select(*windows.columns, own["v"].alias("_own"), peers["v"].alias("_peers"), F.size(F.array_distinct(peers["who"])).alias("n_peers"))
+    row = row.filter((F.size("_peers") >= min_samples) & (F.col("n_peers") >= min_peers))
+    row = row.withColumn("_o", _robust(F.col("_own"), floor)).withColumn("_p", _robust(F.col("_peers"), floor))
+    row = row.select(*windows.columns, "n_peers", *[F.col(f"_{p[0]}.{c}").alias(f"{p}_{c}") for p in ("peer", "own") for c in ("median", "n", "scale")])
     far = lambda p: F.greatest(F.lit(0.0), (F.col("bytes_out") - F.col(f"{p}_median")) / F.col(f"{p}_scale"))
-    has_own = F.coalesce(F.col("own_n") >= min_samples, F.lit(False))
+    has_own = F.col("own_n") >= min_samples
     score = F.when(has_own, F.least(far("own"), far("peer"))).otherwise(far("peer"))
     mode = F.when(has_own, F.lit("entity-and-peer")).otherwise(F.lit("peer-only-cold-start"))
     out = row.withColumn("score", score).filter(F.col("score") > threshold).withColumn("mode", mode)
