@@ -135,15 +135,13 @@ HIGH_RISKS = (
     "malicious", "suspicious dga", "dga domain", "self-signed", "malformed", "clear-text credential", "cleartext", "known proto on non std port",
     "binary application transfer", "susp", "possible exploit", "obfuscated", "tls certificate expired", "tls suspicious", "punycode", "anonymous subscriber",
 )
-MOST_RISKS = 64
-MOST_EVIDENCE = 16
 
 
 def parsed_risks(ndpi: Column, field: str = "$.flow_risk") -> Column:
     """Array of (id, name, severity, score) of a deep-inspection record (JSON), over the shapes that sensors send.
 
-    An object of objects, an object of names, an object of flags (the key is the name), a list of either, or one name;
-    at most MOST_RISKS entries. A field that an entry lacks is null.
+    An object of objects, an object of names, an object of flags (the key is the name), a list of either, or one name.
+    A field that an entry lacks is null.
     """
     raw = F.get_json_object(ndpi, field)
     shape = "struct<id:string,name:string,severity:string,score:long>"
@@ -160,8 +158,8 @@ def parsed_risks(ndpi: Column, field: str = "$.flow_risk") -> Column:
     items = F.from_json(raw, "array<string>")
     no_key = F.lit(None).cast("string")
     out = (
-        F.when(raw.startswith("{"), F.transform(F.slice(pairs, 1, MOST_RISKS), lambda kv: one(kv["key"], kv["value"])))
-        .when(raw.startswith("["), F.transform(F.slice(items, 1, MOST_RISKS), lambda v: one(no_key, v)))
+        F.when(raw.startswith("{"), F.transform(pairs, lambda kv: one(kv["key"], kv["value"])))
+        .when(raw.startswith("["), F.transform(items, lambda v: one(no_key, v)))
         .when(F.coalesce(raw, F.lit("")) != "", F.array(one(no_key, raw)))
     )
     return F.coalesce(out.cast(f"array<{shape}>"), none)
@@ -183,11 +181,14 @@ def classified_risk(name: Column, tier: Column) -> Column:
     return F.struct(category.alias("category"), severity.cast("int").alias("severity"), rules.lookup(RISK_CONFIDENCE, category).alias("confidence"))
 
 
-def risk_findings(flows: DataFrame, key: list[str], ndpi: str) -> DataFrame:
-    """Per flow and category of its classified risks: severity (of the worst), confidence, rules, bounded evidence."""
+def risk_findings(flows: DataFrame, key: list[str], ndpi: str, most_evidence: int = 16) -> DataFrame:
+    """Per flow and category of its classified risks: severity (of the worst), confidence, rules, evidence.
+
+    Of the evidence the first ``most_evidence`` risks are listed; n_risks counts all, and truncated tells that there are more.
+    """
     row = flows.select(*key, F.explode(parsed_risks(F.col(ndpi))).alias("r")).filter(F.coalesce(F.col("r.name"), F.lit("")) != "")
     row = row.withColumn("c", classified_risk(F.col("r.name"), F.col("r.severity")))
     return row.groupBy(*key, F.col("c.category").alias("category")).agg(
         F.max("c.severity").alias("severity"), F.max("c.confidence").alias("confidence"), F.array_sort(F.collect_set(text.squashed(F.col("r.name")))).alias("rules"),
-        F.slice(F.array_sort(F.collect_list("r")), 1, MOST_EVIDENCE).alias("evidence"),
+        F.slice(F.array_sort(F.collect_list("r")), 1, most_evidence).alias("evidence"), F.count(F.lit(1)).alias("n_risks"), (F.count(F.lit(1)) > most_evidence).alias("truncated"),
     )

@@ -7,38 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-#: Functions of a table reader, by query.
-FUNCTIONS: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
 class Tables:
-    """Reads a folder's tables: the rows that a query's SQL takes, or with ``whole`` every row."""
+    """Reads a folder's tables."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, whole: bool = False):
-        self.spark, self.sf_dir, self.whole = spark, sf_dir, whole
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
 
-    def __call__(self, name: str, cut: str | None = None, role: str | None = None) -> DataFrame:
-        """A table; ``cut`` is the SQL's filter, and ``role`` the rows that play the same part among all."""
-        rows = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        where = role if self.whole else cut
-        return rows.filter(where) if where else rows
+    def __call__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
 
 def query(sql: str | None = None):
     """Registers a function of a table reader under its name, with the SQL that gives the same rows."""
 
     def add(f):
-        FUNCTIONS[f.__name__] = f
         QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         if sql:
             ORACLE_SQL[f.__name__] = sql
         return f
 
     return add
-
-
-def register_whole(*names: str) -> None:
-    """Registers NAME_whole, over every row, for queries whose SQL takes a part of the ids. SQL has no form of these."""
-    for name in names:
-        QUERIES[f"{name}_whole"] = lambda spark, sf_dir, f=FUNCTIONS[name]: f(Tables(spark, sf_dir, whole=True))

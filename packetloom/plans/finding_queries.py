@@ -24,13 +24,13 @@ def asof_domain(t):
     return joins.asof_join(left, right, ["user_id"], "ts", "at", ["v"], within=200_000).select("event_id", "v")
 
 
-@query("""WITH h AS (SELECT event_id, user_id, ts, 'www.h' || (event_id % 3) || '.org:80' AS host FROM events WHERE event_id % 4 = 0), s AS (SELECT user_id, ts AS at, 'H' || (event_id % 3) || '.org' AS sni, event_id AS sid FROM events WHERE event_id % 4 = 1),
+@query("""WITH h AS (SELECT event_id, user_id, ts, 'www.h' || (event_id % 3) || '.org:80' AS host FROM events WHERE event_id % 2 = 0), s AS (SELECT user_id, ts AS at, 'H' || (event_id % 3) || '.org' AS sni, event_id AS sid FROM events WHERE event_id % 2 = 1),
  j AS (SELECT h.event_id, s.sni, row_number() OVER (PARTITION BY h.event_id ORDER BY s.at, s.sid) AS k FROM h JOIN s ON h.user_id = s.user_id AND s.at <= h.ts AND h.ts < s.at + INTERVAL 1 DAY
        WHERE lower(s.sni) <> regexp_replace(split_part(h.host, ':', 1), '^www\\.', ''))
  SELECT event_id, sni FROM j WHERE k = 1""")
 def host_sni_mismatch(t):
-    http = t("events", "event_id % 4 = 0", "event_id % 2 = 0").select("event_id", "user_id", "ts", F.concat(F.lit("www.h"), (F.col("event_id") % 3).cast("string"), F.lit(".org:80")).alias("host"))
-    tls = t("events", "event_id % 4 = 1", "event_id % 2 = 1").select("user_id", F.col("ts").alias("at"), (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("until"), F.concat(F.lit("H"), (F.col("event_id") % 3).cast("string"), F.lit(".org")).alias("sni"), F.col("event_id").alias("sid"))
+    http = t("events").filter("event_id % 2 = 0").select("event_id", "user_id", "ts", F.concat(F.lit("www.h"), (F.col("event_id") % 3).cast("string"), F.lit(".org:80")).alias("host"))
+    tls = t("events").filter("event_id % 2 = 1").select("user_id", F.col("ts").alias("at"), (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("until"), F.concat(F.lit("H"), (F.col("event_id") % 3).cast("string"), F.lit(".org")).alias("sni"), F.col("event_id").alias("sid"))
     pair = joins.interval_join(http, tls, ["user_id"], "ts", "at", "until").filter(rules.host_sni_mismatch(F.col("sni"), F.col("host")))
     return pair.groupBy("event_id").agg(F.min_by("sni", F.struct("at", "sid")).alias("sni"))
 
@@ -38,12 +38,12 @@ def host_sni_mismatch(t):
 _ADDR = "('10.' || (p_partkey % 4) || '.' || (p_size % 8) || '.' || (p_partkey % 200))"
 
 
-@query(f"""WITH a AS (SELECT p_partkey, p_partkey % 4 AS b, p_size % 8 AS c FROM part), n AS (SELECT s_suppkey, s_suppkey % 4 AS b, s_nationkey % 8 AS c, CASE s_suppkey % 3 WHEN 0 THEN 16 WHEN 1 THEN 24 ELSE 21 END AS len FROM supplier WHERE s_suppkey <= 40)
+@query(f"""WITH a AS (SELECT p_partkey, p_partkey % 4 AS b, p_size % 8 AS c FROM part), n AS (SELECT s_suppkey, s_suppkey % 4 AS b, s_nationkey % 8 AS c, CASE s_suppkey % 3 WHEN 0 THEN 16 WHEN 1 THEN 24 ELSE 21 END AS len FROM supplier)
  SELECT p_partkey, s_suppkey FROM a JOIN n ON a.b = n.b AND (n.len = 16 OR (n.len = 24 AND a.c = n.c) OR (n.len = 21 AND a.c // 8 = n.c // 8))""")
 def cidr_match(t):
     a = t("part").select("p_partkey", F.expr(_ADDR).alias("ip"))
     net = F.expr("concat('10.', s_suppkey % 4, '.', s_nationkey % 8, '.0/', CASE s_suppkey % 3 WHEN 0 THEN 16 WHEN 1 THEN 24 ELSE 21 END)")
-    n = t("supplier", "s_suppkey <= 40").select("s_suppkey", net.alias("net"))
+    n = t("supplier").select("s_suppkey", net.alias("net"))
     return joins.cidr_join(a, "ip", n, "net").select("p_partkey", "s_suppkey")
 
 
@@ -87,9 +87,9 @@ def live_facts(t):
     return latest.live_facts(f, ["user_id", "event_type"], "version", "gone").drop("gone")
 
 
-@query("SELECT DISTINCT o_orderstatus AS observation, o_custkey AS who FROM orders WHERE o_custkey < 500 UNION SELECT DISTINCT l_returnflag, l_suppkey FROM lineitem")
+@query("SELECT DISTINCT o_orderstatus AS observation, o_custkey AS who FROM orders UNION SELECT DISTINCT l_returnflag, l_suppkey FROM lineitem")
 def evidence_distinct(t):
-    a = t("orders", "o_custkey < 500").select(F.col("o_orderstatus").alias("observation"), F.col("o_custkey").alias("who"))
+    a = t("orders").select(F.col("o_orderstatus").alias("observation"), F.col("o_custkey").alias("who"))
     b = t("lineitem").select(F.col("l_returnflag").alias("observation"), F.col("l_suppkey").alias("who"))
     return latest.evidence_union(a, b, a)
 
@@ -136,7 +136,7 @@ def graph_nodes(t):
 
 # --- assets ----------------------------------------------------------------------------------
 
-_LEASES = """l AS (SELECT l_suppkey % 40 AS ip, l_returnflag AS mac, l_shipdate AS s, CASE WHEN l_linenumber % 4 > 0 THEN l_shipdate + to_days(l_quantity::INT) END AS x, l_orderkey * 10 + l_linenumber AS obs FROM lineitem WHERE l_orderkey % 40 = 0)"""
+_LEASES = """l AS (SELECT l_suppkey % 40 AS ip, l_returnflag AS mac, l_shipdate AS s, CASE WHEN l_linenumber % 4 > 0 THEN l_shipdate + to_days(l_quantity::INT) END AS x, l_orderkey * 10 + l_linenumber AS obs FROM lineitem)"""
 _OWNED = f"""WITH {_LEASES}, w AS (SELECT ip, s, arg_min(mac, (obs, mac)) AS mac, arg_min(struct_pack(x := x), (obs, mac)) AS e FROM l GROUP BY ALL),
  i AS (SELECT ip, mac, s, CASE WHEN e.x IS NULL THEN lead(s) OVER o WHEN lead(s) OVER o IS NULL THEN e.x ELSE least(lead(s) OVER o, e.x) END AS u FROM w WINDOW o AS (PARTITION BY ip ORDER BY s)),
  g AS (SELECT *, sum(fresh) OVER (PARTITION BY ip ORDER BY s) AS part FROM (SELECT *, CASE WHEN lag(mac) OVER o = mac AND lag(u) OVER o = s THEN 0 ELSE 1 END AS fresh FROM i WINDOW o AS (PARTITION BY ip ORDER BY s))),
@@ -144,7 +144,7 @@ _OWNED = f"""WITH {_LEASES}, w AS (SELECT ip, s, arg_min(mac, (obs, mac)) AS mac
 
 
 def _leases(t):
-    rows = t("lineitem", "l_orderkey % 40 = 0")
+    rows = t("lineitem")
     end = F.when(F.col("l_linenumber") % 4 > 0, F.col("l_shipdate") + F.make_dt_interval(days=F.col("l_quantity").cast("int")))
     return rows.select((F.col("l_suppkey") % 40).alias("ip"), F.col("l_returnflag").alias("mac"), F.col("l_shipdate").alias("start"), end.alias("expires"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("obs_id"))
 
@@ -162,7 +162,7 @@ def owner_at_instant(t):
     return windows.owner_at(asks, owned, ["ip"], "ts", "mac").select("o_orderkey", "mac")
 
 
-@query("""WITH f AS (SELECT l_suppkey % 30 AS k, l_shipdate AS ts, arg_min(struct_pack(v := l_returnflag, x := CASE WHEN l_linenumber % 3 > 0 THEN l_shipdate + to_days(l_quantity::INT) END), (l_linenumber, l_orderkey, l_returnflag)) AS b FROM lineitem WHERE l_orderkey % 30 = 0 GROUP BY ALL),
+@query("""WITH f AS (SELECT l_suppkey % 30 AS k, l_shipdate AS ts, arg_min(struct_pack(v := l_returnflag, x := CASE WHEN l_linenumber % 3 > 0 THEN l_shipdate + to_days(l_quantity::INT) END), (l_linenumber, l_orderkey, l_returnflag)) AS b FROM lineitem GROUP BY ALL),
  r AS (SELECT k, ts, b.v AS v, b.x AS x FROM f), n AS (SELECT *, CASE WHEN lag(v) OVER w = v THEN 0 ELSE 1 END AS nw FROM r WINDOW w AS (PARTITION BY k ORDER BY ts)),
  u AS (SELECT *, sum(nw) OVER (PARTITION BY k ORDER BY ts) AS run, lead(ts) OVER (PARTITION BY k ORDER BY ts) AS nx FROM n),
  p AS (SELECT *, CASE WHEN lag(ts) OVER w IS NOT NULL AND ts >= max(x) OVER (PARTITION BY k, run ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS gap FROM u WINDOW w AS (PARTITION BY k, run ORDER BY ts)),
@@ -170,7 +170,7 @@ def owner_at_instant(t):
  o AS (SELECT k, v, run, part, min(ts) AS s, max(x) AS l, arg_max(struct_pack(n := nx), ts) AS a, count(*) AS n FROM q GROUP BY ALL)
  SELECT k, v, epoch(s)::BIGINT AS valid_from, epoch(CASE WHEN l IS NULL THEN a.n WHEN a.n IS NULL THEN l ELSE least(l, a.n) END)::BIGINT AS valid_to, n FROM o""")
 def fact_intervals(t):
-    rows = t("lineitem", "l_orderkey % 30 = 0")
+    rows = t("lineitem")
     end = F.when(F.col("l_linenumber") % 3 > 0, F.col("l_shipdate") + F.make_dt_interval(days=F.col("l_quantity").cast("int")))
     f = rows.select((F.col("l_suppkey") % 30).alias("k"), F.col("l_returnflag").alias("v"), F.col("l_shipdate").alias("ts"), end.alias("x"), "l_linenumber", "l_orderkey", "l_returnflag")
     out = windows.fact_intervals(f, ["k"], "v", "ts", "x", [F.col("l_linenumber"), F.col("l_orderkey"), F.col("l_returnflag")])
@@ -201,7 +201,7 @@ def finding_entity(t):
 # --- findings --------------------------------------------------------------------------------
 
 _FINDINGS = """f AS (SELECT event_id AS finding_id, user_id, CASE event_id % 8 WHEN 0 THEN 'beacon' WHEN 1 THEN 'strobe' WHEN 2 THEN 'slips_ml' WHEN 3 THEN 'ids_signature' WHEN 4 THEN 'exfil' WHEN 5 THEN 'dga_domain' WHEN 6 THEN 'rare_destination' ELSE 'internal_scan' END AS detector_id,
- CASE event_id % 5 WHEN 0 THEN 'c2' WHEN 1 THEN 'recon' WHEN 2 THEN 'exfil' WHEN 3 THEN 'lateral' ELSE 'other' END AS category, (1 + event_id % 10)::INT AS severity, (event_id % 11) / 10.0 AS confidence, ts FROM events WHERE event_id % 7 = 0)"""
+ CASE event_id % 5 WHEN 0 THEN 'c2' WHEN 1 THEN 'recon' WHEN 2 THEN 'exfil' WHEN 3 THEN 'lateral' ELSE 'other' END AS category, (1 + event_id % 10)::INT AS severity, (event_id % 11) / 10.0 AS confidence, ts FROM events)"""
 _END = "1706745600"
 
 
@@ -210,7 +210,7 @@ def _findings(t):
     select = body[len("SELECT ") : body.index(" FROM events")]
     parts = ["event_id AS finding_id", "user_id", select[select.index("CASE event_id % 8") : select.index("AS detector_id")] + "AS detector_id",
              select[select.index("CASE event_id % 5") : select.index("AS category")] + "AS category", "CAST(1 + event_id % 10 AS INT) AS severity", "(event_id % 11) / 10.0D AS confidence", "ts"]
-    return t("events", "event_id % 7 = 0").selectExpr(*parts)
+    return t("events").selectExpr(*parts)
 
 
 _RISK = f"""s AS (SELECT user_id, detector_id, max(struct_pack(s := severity, t := ts)) AS b FROM f GROUP BY ALL),
@@ -314,14 +314,14 @@ def suppression_antijoin(t):
 
 # --- quality ---------------------------------------------------------------------------------
 
-@query("""WITH d AS (SELECT doc_id AS finding_id, CASE WHEN toxic = 1 THEN 'true_positive' WHEN quality = 1 THEN 'false_positive' ELSE 'other' END AS v FROM labels), f AS (SELECT doc_id AS finding_id, source FROM documents WHERE doc_id % 10 > 0),
+@query("""WITH d AS (SELECT doc_id AS finding_id, CASE WHEN toxic = 1 THEN 'true_positive' WHEN quality = 1 THEN 'false_positive' ELSE 'other' END AS v FROM labels), f AS (SELECT doc_id AS finding_id, source FROM documents),
  g AS (SELECT f.source AS detector_id, count(*) FILTER (v = 'true_positive') AS tp, count(*) FILTER (v = 'false_positive') AS fp, count(*) AS n FROM d LEFT JOIN f USING (finding_id) GROUP BY ALL),
  w AS (SELECT *, tp / (tp + fp)::DOUBLE AS p, (tp + fp)::DOUBLE AS m, 1.959963984540054 AS z FROM g)
  SELECT detector_id, tp, fp, n, round(p, 6) AS rate, round(greatest(0.0, (p + z * z / (2 * m)) / (1 + z * z / m) - z * sqrt(p * (1 - p) / m + z * z / (4 * m * m)) / (1 + z * z / m)), 6) AS low,
   round(least(1.0, (p + z * z / (2 * m)) / (1 + z * z / m) + z * sqrt(p * (1 - p) / m + z * z / (4 * m * m)) / (1 + z * z / m)), 6) AS high, tp + fp < 30 AS low_confidence FROM w""")
 def detector_quality(t):
     d = t("labels").select(F.col("doc_id").alias("finding_id"), F.when(F.col("toxic") == 1, "true_positive").when(F.col("quality") == 1, "false_positive").otherwise("other").alias("verdict"))
-    f = t("documents", "doc_id % 10 > 0").select(F.col("doc_id").alias("finding_id"), F.col("source").alias("detector_id"), F.lit(1).alias("revision"), F.lit(0).alias("ingested_at"))
+    f = t("documents").select(F.col("doc_id").alias("finding_id"), F.col("source").alias("detector_id"), F.lit(1).alias("revision"), F.lit(0).alias("ingested_at"))
     out = scoring.detector_quality(d, f)
     return out.withColumns({c: F.round(c, 6) for c in ("rate", "low", "high")})
 
@@ -345,16 +345,16 @@ def set_prf1(t):
     return out.withColumns({c: F.round(c, 9) for c in ("precision", "recall", "f1", "alerts_per_tp")})
 
 
-_EPISODES = """e AS (SELECT o_orderkey AS episode_id, o_custkey % 3 AS tenant, ['u' || o_custkey % 50, 'k' || o_orderkey % 6] AS required, epoch(o_orderdate) AS s, epoch(o_orderdate) + 86400 * 30 AS x, CASE o_orderkey % 4 WHEN 0 THEN 'benign' WHEN 1 THEN 'unknown' ELSE 'malicious' END AS label FROM orders WHERE o_orderkey % 20 = 0),
- d AS (SELECT l_orderkey * 10 + l_linenumber AS detection_id, l_suppkey % 3 AS tenant, ['u' || l_suppkey % 50, 'k' || l_partkey % 6, 'z'] AS entities, epoch(l_shipdate) AS s, epoch(l_shipdate) + 3600 AS x FROM lineitem WHERE l_orderkey % 10 = 0),
- m AS (SELECT d.detection_id, e.episode_id, e.label FROM d JOIN e ON d.tenant = e.tenant AND d.s <= e.x AND d.x >= e.s AND list_has_all(d.entities, e.required))"""
+_EPISODES = """e AS (SELECT o_orderkey AS episode_id, o_custkey % 3 AS tenant, ['u' || o_custkey % 50, 'k' || o_orderkey % 6] AS required, epoch(o_orderdate) AS s, epoch(o_orderdate) + 86400 * 30 AS x, CASE o_orderkey % 4 WHEN 0 THEN 'benign' WHEN 1 THEN 'unknown' ELSE 'malicious' END AS label FROM orders),
+ d AS (SELECT l_orderkey * 10 + l_linenumber AS detection_id, l_suppkey % 3 AS tenant, ['u' || l_suppkey % 50, 'k' || l_partkey % 6, 'z'] AS entities, epoch(l_shipdate) AS s, epoch(l_shipdate) + 3600 AS x FROM lineitem),
+ m AS (SELECT d.detection_id, e.episode_id, e.label FROM d JOIN e ON d.tenant = e.tenant AND d.entities[1] = e.required[1] AND d.entities[2] = e.required[2] AND d.s <= e.x AND d.x >= e.s)"""
 
 
 def _episodes(t):
-    o = t("orders", "o_orderkey % 20 = 0")
+    o = t("orders")
     label = F.expr("CASE o_orderkey % 4 WHEN 0 THEN 'benign' WHEN 1 THEN 'unknown' ELSE 'malicious' END")
     e = o.select(F.col("o_orderkey").alias("episode_id"), (F.col("o_custkey") % 3).alias("tenant"), F.expr("array(concat('u', o_custkey % 50), concat('k', o_orderkey % 6))").alias("required"), _secs("o_orderdate").cast("double").alias("start"), (_secs("o_orderdate") + 86400 * 30).cast("double").alias("end"), label.alias("label"))
-    li = t("lineitem", "l_orderkey % 10 = 0")
+    li = t("lineitem")
     d = li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("detection_id"), (F.col("l_suppkey") % 3).alias("tenant"), F.expr("array(concat('u', l_suppkey % 50), concat('k', l_partkey % 6), 'z')").alias("entities"), _secs("l_shipdate").cast("double").alias("start"), (_secs("l_shipdate") + 3600).cast("double").alias("end"))
     return d, e
 

@@ -1,12 +1,4 @@
 """All driver queries: importing the modules registers them."""
 
-from . import finding_queries, flow_queries, record_queries  # noqa: F401
-from .catalog import ORACLE_SQL, QUERIES, register_whole  # noqa: F401
-
-#: Queries whose SQL filters ids.
-PARTIAL = (
-    "finding_policy", "entity_risk", "kill_chain", "incidents", "corroboration", "emit_once", "siem_stats", "siem_timechart", "siem_threshold",
-    "cef_lines", "response_actions", "ip_ownership", "owner_at_instant", "fact_intervals", "episode_match", "episode_score", "detector_quality",
-    "cidr_match", "evidence_distinct", "host_sni_mismatch", "fc_enumeration", "ja4_novelty", "normalize_flow", "normalize_dns", "quarantine", "event_routing",
-)
-register_whole(*PARTIAL)
+from . import finding_queries, flow_queries, record_queries, report_queries  # noqa: F401
+from .catalog import ORACLE_SQL, QUERIES  # noqa: F401

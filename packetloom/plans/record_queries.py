@@ -14,7 +14,7 @@ _SRC = "'10.0.' || (user_id % 8) || '.' || (event_id % 250)"
 
 def _records(t):
     """Flow, DNS and broken lines as a sensor writes them."""
-    e = t("events", "event_id % 4 = 0")
+    e = t("events")
     kind = F.when(F.col("event_id") % 12 == 0, "dns").when(F.col("event_id") % 20 == 4, "odd").otherwise("flow")
     flow = F.when(kind == "flow", F.struct(F.floor("value").alias("bytes_toserver"), F.when(F.col("event_id") % 8 == 0, F.lit(7)).alias("bytes_toclient"), F.lit(1.5).alias("age")))
     dns = F.when(kind == "dns", F.struct(F.upper(F.col("event_type")).alias("rrname"), F.lit("nxdomain").alias("rcode"), F.when(F.col("event_id") % 24 == 0, 2).otherwise(3).alias("version")))
@@ -26,7 +26,7 @@ def _records(t):
 
 
 _KIND = "CASE WHEN event_id % 12 = 0 THEN 'dns' WHEN event_id % 20 = 4 THEN 'odd' ELSE 'flow' END"
-_E = f"e AS (SELECT *, {_KIND} AS kind, {_SRC} AS src FROM events WHERE event_id % 4 = 0 AND event_id % 44 > 0)"
+_E = f"e AS (SELECT *, {_KIND} AS kind, {_SRC} AS src FROM events WHERE event_id % 44 > 0)"
 
 
 @query(f"""WITH {_E} SELECT event_id::VARCHAR AS flow_id, src AS src_ip, floor(epoch(ts))::BIGINT AS at, floor(value)::BIGINT AS bytes_toserver, CASE WHEN event_id % 8 = 0 THEN 7 ELSE 0 END::BIGINT AS bytes_toclient, 0::BIGINT AS pkts_toserver, '' AS state
