@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import ids, ip as ips, rules, time
-from ..operators import assets, counts, flows as flow_ops, health, joins, novelty, siem, windows
+from ..operators import assets, baseline, counts, findings, flows as flow_ops, health, intel as intel_ops, joins, novelty, siem, windows
 from ..sources.config import Thresholds
 from . import normalize
 
@@ -16,7 +16,10 @@ WINDOW = 600
 
 
 def finding(df: DataFrame, detector: str | Column, category: str | Column, severity, confidence, src: str = "src_ip", dst: str | None = "dest_ip", first: str = "event_time", last: str | None = None, detail: Column | None = None, bucket: int = WINDOW) -> DataFrame:
-    """Rows as findings; the id is made of tenant, detector, endpoints, detail and the time bucket, so a replay gives the same ids."""
+    """Rows as findings, one for each tenant, detector, category, pair of endpoints, detail and time bucket, whatever is replayed.
+
+    The finding spans its rows and has the highest of their severities and confidences.
+    """
     c = lambda x: x if isinstance(x, Column) else F.lit(x)
     d, why = c(detector), detail if detail is not None else F.lit("")
     to = F.col(dst) if dst else F.lit("")
@@ -24,40 +27,69 @@ def finding(df: DataFrame, detector: str | Column, category: str | Column, sever
         F.col("tenant"), d.alias("detector_id"), c(category).alias("category"), c(severity).cast("int").alias("severity"), c(confidence).cast("double").alias("confidence"),
         F.col(first).alias("first_seen"), F.col(last or first).alias("last_seen"), F.col(src).alias("src_ip"), to.alias("dest_ip"), why.cast("string").alias("detail"),
     )
-    ident = F.concat(F.col("detector_id"), F.lit("-"), ids.stable_number(F.col("tenant"), F.col("detector_id"), F.col("src_ip"), F.col("dest_ip"), F.col("detail")).cast("string"), F.lit("-"), time.bucket(F.col("first_seen"), bucket).cast("string"))
-    return out.withColumn("finding_id", ident).select(*COLUMNS).dropDuplicates(["tenant", "finding_id"])
+    one = ["tenant", "detector_id", "category", "src_ip", "dest_ip", "detail"]
+    out = out.withColumn("_bucket", time.bucket(F.col("first_seen"), bucket)).groupBy(*one, "_bucket").agg(
+        F.max("severity").alias("severity"), F.max("confidence").alias("confidence"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen")
+    )
+    ident = F.concat(F.col("detector_id"), F.lit("-"), ids.stable_number(*map(F.col, one)).cast("string"), F.lit("-"), F.col("_bucket").cast("string"))
+    return out.withColumn("finding_id", ident).select(*COLUMNS)
 
 
 def _span(df: DataFrame, key: list[str], ts: str = "event_time") -> DataFrame:
     return df.groupBy(*key).agg(F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen"))
 
 
-def flow_detections(f: DataFrame, names: DataFrame, t: Thresholds = Thresholds()) -> list[DataFrame]:
-    """Over typed flows and (tenant, ip, domain, at) answers: beacons, strobes, volume, duration, new destinations."""
+def context(f: DataFrame, intel: DataFrame | None = None) -> DataFrame:
+    """Per pair what is known of its destination: breed and risky (of the latest inspected flow), listed (by an active indicator), n_sources."""
+    key = ["tenant", "src_ip", "dest_ip"]
+    risky = F.size(siem.high_risks(siem.parsed_risks(F.col("ndpi")))) > 0
+    seen = F.max_by(F.struct(F.get_json_object("ndpi", "$.breed").alias("breed"), risky.alias("risky")), F.when(F.col("ndpi").isNotNull(), F.col("event_time"))).alias("_c")
+    out = f.groupBy(*key).agg(seen).select(*key, "_c.*").join(flow_ops.prevalence(f, ["tenant", "dest_ip"], "src_ip"), ["tenant", "dest_ip"])
+    if intel is None:
+        return out.withColumn("listed", F.lit(False))
+    known = intel_ops.match(out.select("tenant", F.lit("ip").alias("kind"), F.col("dest_ip").alias("value")).distinct(), intel)
+    known = known.select("tenant", F.col("value").alias("dest_ip"), F.lit(True).alias("listed")).distinct()
+    return out.join(known, ["tenant", "dest_ip"], "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+
+
+def trailing(df: DataFrame, seconds: int = WINDOW) -> DataFrame:
+    """Rows in both windows ``w`` of ``seconds`` that hold them; windows start every half of that, so what fits into half a window is whole in one."""
+    at = time.bucket(F.col("event_time"), seconds // 2)
+    return df.withColumn("w", F.explode(F.array(at, at - 1)))
+
+
+def flow_detections(f: DataFrame, names: DataFrame, t: Thresholds = Thresholds(), intel: DataFrame | None = None) -> list[DataFrame]:
+    """Over typed flows and (tenant, ip, domain, at) answers: beacons, strobes, volume, duration, new destinations.
+
+    Pairs are judged within windows, so a result does not depend on how much history is loaded.
+    """
     key = ["tenant", "src_ip", "dest_ip"]
+    pair = [*key, "w"]
     out = f.filter(ips.is_external(F.col("dest_ip")) & (F.col("src_ip") != ""))
     quiet = out.filter(~ips.is_beacon_noise(F.col("dest_ip")))
-    fleet = flow_ops.prevalence(out, ["tenant", "dest_ip"], "src_ip")
-    span = _span(out, key)
-    gate = lambda df, base: df.join(fleet, ["tenant", "dest_ip"]).join(span, key).withColumn("_sev", flow_ops.gated_severity(F.lit(base), F.lit(""), F.lit(False), F.lit(False), F.col("n_sources")))
+    known, near, open_ = context(out, intel), trailing(out), trailing(quiet)
+    span = _span(near, pair)
+    severity = lambda base: flow_ops.gated_severity(F.lit(base), F.col("breed"), F.lit(False), F.col("risky"), F.col("n_sources"), F.col("listed"))
+    gate = lambda df, base: df.join(known, key).join(span, pair).withColumn("_sev", severity(base))
     seen = lambda df, det, cat, base: finding(gate(df, base), det, cat, F.col("_sev"), F.col("score"), first="first_seen", last="last_seen")
-    beacon = flow_ops.beacons(quiet, key, "event_time", "bytes_toserver", t.beacon_min_conns, t.beacon_score)
-    auto = flow_ops.autocorr_beacons(quiet.join(beacon.filter("is_beacon").select(*key), key, "left_anti"), key, "event_time", "bytes_toserver", threshold=t.autocorr_score)
-    hits = beacon.filter("is_beacon").select(*key, "score").unionByName(auto.filter("is_beacon").select(*key, "score"))
+    beacon = flow_ops.beacons(open_, pair, "event_time", "bytes_toserver", t.beacon_min_conns, t.beacon_score)
+    auto = flow_ops.autocorr_beacons(open_.join(beacon.filter("is_beacon").select(*pair), pair, "left_anti"), pair, "event_time", "bytes_toserver", threshold=t.autocorr_score)
+    hits = beacon.filter("is_beacon").select(*pair, "score").unionByName(auto.filter("is_beacon").select(*pair, "score"))
     window = out.withColumn("w", time.bucket(F.col("event_time"), WINDOW)).withColumn("flow", F.coalesce(F.nullif(F.col("flow_id"), F.lit("")), F.concat_ws("|", "src_port", "dest_port", "community_id")))
     wkey = [*key, "w"]
     total = flow_ops.volumes(window, wkey, ["flow"], "event_time", "bytes_toserver")
     exfil = flow_ops.exfil(total, t.exfil_bytes, t.low_exfil_bytes)
     ages = flow_ops.cumulative_connections(flow_ops.volumes(window, wkey, ["flow"], "event_time", "age", 0), t.cumulative_seconds)
     named = joins.asof_join(quiet.select("tenant", "src_ip", F.col("dest_ip").alias("ip"), "event_time", "bytes_toserver"), names, ["tenant", "ip"], "event_time", "at", ["domain"], within=WINDOW)
-    fqdn = flow_ops.fqdn_beacons(named, ["tenant", "src_ip"], "domain", "ip", "event_time", "bytes_toserver", t.fqdn_min_ips).filter("is_beacon")
-    fqdn = fqdn.join(_span(named.filter("domain IS NOT NULL"), ["tenant", "src_ip", "domain"]), ["tenant", "src_ip", "domain"])
+    named, whose = trailing(named), ["tenant", "src_ip", "w"]
+    fqdn = flow_ops.fqdn_beacons(named, whose, "domain", "ip", "event_time", "bytes_toserver", t.fqdn_min_ips).filter("is_beacon")
+    fqdn = fqdn.join(_span(named.filter("domain IS NOT NULL"), [*whose, "domain"]), [*whose, "domain"])
     at = lambda df: df.withColumn("event_time", F.timestamp_seconds(F.col("w") * WINDOW))
     rare = flow_ops.rare_destinations(out, ["tenant", "src_ip"], "dest_ip", "event_time", t.rare_history)
     return [
-        seen(hits.groupBy(*key).agg(F.max("score").alias("score")), "beacon", "c2", 7),
+        seen(hits, "beacon", "c2", 7),
         finding(fqdn, "beacon_fqdn", "c2", 8, F.col("score"), dst=None, first="first_seen", last="last_seen", detail=F.col("domain")),
-        seen(flow_ops.strobes(out, key, beacon, t.strobe_min_conns), "strobe", "c2", 5),
+        seen(flow_ops.strobes(near, pair, hits.withColumn("is_beacon", F.lit(True)), t.strobe_min_conns), "strobe", "c2", 5),
         finding(at(exfil), F.col("detector_id"), "exfil", F.when(F.col("detector_id") == "exfil", 8).otherwise(6), F.col("score")),
         finding(flow_ops.long_connections(out, "age", t.long_connection_seconds), "long_connection", "c2", 5, F.col("score")),
         finding(at(ages), "long_connection_cumulative", "c2", 5, F.col("score")),
@@ -105,7 +137,7 @@ def http_detections(h: DataFrame) -> list[DataFrame]:
     hits = h.withColumn("r", F.explode(rules.http_rules(F.col("method"), F.col("url"))))
     agents = h.withColumn("why", rules.external_agent(F.col("user_agent"), F.col("dest_ip"))).filter("why IS NOT NULL")
     return [
-        finding(hits, F.col("r.detector_id"), F.col("r.category"), F.col("r.severity"), 0.7, detail=F.substring("url", 1, 256)),
+        finding(hits, F.col("r.detector_id"), F.col("r.category"), F.col("r.severity"), 0.7, detail=F.col("url")),
         finding(agents, "suspicious_ua", "c2", 4, 0.5, detail=F.col("why"), bucket=3600),
     ]
 
@@ -124,6 +156,7 @@ def tls_detections(s: DataFrame, h: DataFrame) -> list[DataFrame]:
         finding(why(rules.cloud_staging(F.col("sni"))), "cloud_staging", "exfil", 5, 0.5, detail=F.col("why"), bucket=3600),
         finding(why(rules.encrypted_dns(F.col("sni"), F.col("dest_port"))), "doh_detect", "defense_evasion", 4, 0.5, detail=F.col("why"), bucket=3600),
         finding(why(rules.cert_anomaly(F.col("subject"), F.col("issuer"), F.col("notbefore"), F.col("notafter"))), "tls_cert_anomaly", "c2", 5, 0.5, detail=F.col("why"), bucket=3600),
+        finding(s.filter("ech"), "ech_sni_mismatch", "defense_evasion", 5, 0.5, detail=F.lit("ech"), bucket=3600),
         finding(front, "ech_sni_mismatch", "defense_evasion", 6, 0.6, detail=F.concat_ws("!=", "hostname", "sni"), bucket=3600),
         finding(rare, "ja4_rarity", "c2", 5, 0.5, detail=F.col("fp"), bucket=3600), finding(server, "server_fp_rarity", "c2", 5, 0.5, detail=F.col("fp"), bucket=3600),
         finding(new, "ja4_novelty", "c2", F.col("severity"), F.col("confidence"), detail=F.col("ja4"), bucket=3600),
@@ -203,11 +236,59 @@ def passive_names(d: DataFrame) -> DataFrame:
     return a.filter(ips.key(F.col("ip")).isNotNull() & (F.col("domain") != ""))
 
 
-def all_detections(eve: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFrame:
-    """Findings of every detection over parsed event records (see sources.eve.parse)."""
+def intel_detections(eve: DataFrame, intel: DataFrame) -> list[DataFrame]:
+    """Records that meet active indicators (tenant, kind, indicator, disposition, score 0 to 100, trust 0 to 1)."""
+    hit = intel_ops.match(intel_ops.dimensions(eve).select("tenant", "src_ip", "dest_ip", "event_time", "kind", "field", "value"), intel)
+    category = F.when(F.col("kind") == "hash", "malware").otherwise("c2")
+    severity = F.greatest(F.lit(1), F.least(F.lit(10), F.round(F.col("score") / 10)))
+    sure = F.col("score") / 100 * F.coalesce("trust", F.lit(1.0))
+    return [finding(hit, "threat_intel", category, severity, sure, detail=F.concat_ws(":", "kind", "indicator"), bucket=3600)]
+
+
+def outbound_detections(f: DataFrame) -> list[DataFrame]:
+    """Sources that send far more than they and the others of their tenant did in the day before."""
+    out = f.filter(ips.is_external(F.col("dest_ip")) & (F.col("src_ip") != ""))
+    w = baseline.outbound_windows(out, ["tenant"], "src_ip", "event_time", "bytes_toserver", 300)
+    odd = baseline.outbound_anomalies(w, ["tenant"], "src_ip").withColumn("event_time", F.timestamp_seconds("start"))
+    return [finding(odd, "outbound_bytes_anomaly", "anomaly", 6, F.col("confidence"), dst=None, detail=F.col("mode"), bucket=300)]
+
+
+def notice_detections(notices: DataFrame) -> list[DataFrame]:
+    """Analyser notices: tenant, event_time, note, src_ip, dest_ip."""
+    n = siem.notices(notices, "note")
+    return [finding(n, "zeek_notice", F.col("category"), F.col("severity"), 0.8, detail=F.col("note"))]
+
+
+def alert_detections(alerts: DataFrame) -> list[DataFrame]:
+    """Alerts of a behavioural engine (see operators.siem.idea_alerts) with tenant and event_time."""
+    a = siem.idea_alerts(alerts).withColumns({"src_ip": F.col("attacker"), "dest_ip": F.coalesce("victim", F.lit(""))})
+    return [finding(a, F.col("detector_id"), F.col("category"), F.col("severity"), F.col("confidence"), detail=F.col("kind"))]
+
+
+def correlated(found: DataFrame, now: Column, seconds: int = 86_400) -> DataFrame:
+    """Incidents and corroborations of the findings of the ``seconds`` before ``now``, per tenant and source, as findings."""
+    recent = found.filter((F.col("last_seen") > now - F.make_dt_interval(secs=F.lit(seconds))) & (F.col("last_seen") <= now))
+    f = recent.select("tenant", "src_ip", "detector_id", "category", "severity", "confidence", F.col("last_seen").alias("ts"))
+    key = ["tenant", "src_ip"]
+    span = _span(f, key, "ts")
+    case = findings.incidents(f, key, now).drop("first_seen").join(span, key)
+    both = findings.corroborations(f, key).join(span, key)
+    args = {"dst": None, "first": "first_seen", "last": "last_seen", "bucket": seconds}
+    out = finding(case, "correlation_incident", "incident", F.col("severity"), 0.95, detail=F.col("reason"), **args)
+    return out.unionByName(finding(both, "correlation_corroboration", F.col("category"), F.col("severity"), 0.9, detail=F.array_join("detectors", ","), **args))
+
+
+def all_detections(eve: DataFrame, thresholds: Thresholds = Thresholds(), intel: DataFrame | None = None, notices: DataFrame | None = None, alerts: DataFrame | None = None) -> DataFrame:
+    """Findings of every detection over parsed event records (see sources.eve.parse), and over what else is given.
+
+    Every branch reads the records: hand in a table that sources.eve.staged wrote, from which each reads its event
+    type only. ``correlated`` takes the findings on to incidents.
+    """
     t = normalize.typed(eve)
+    more = [*(intel_detections(eve, intel) if intel is not None else []), *(notice_detections(notices) if notices is not None else []), *(alert_detections(alerts) if alerts is not None else [])]
     parts = [
-        *flow_detections(t["flow"], passive_names(t["dns"]), thresholds), *dns_detections(t["dns"], thresholds), *http_detections(t["http"]), *tls_detections(t["tls"], t["http"]),
+        *more, *outbound_detections(t["flow"]),
+        *flow_detections(t["flow"], passive_names(t["dns"]), thresholds, intel), *dns_detections(t["dns"], thresholds), *http_detections(t["http"]), *tls_detections(t["tls"], t["http"]),
         *east_west_detections(eve), *modbus_detections(eve), *record_detections(eve),
     ]
     return reduce(DataFrame.unionByName, parts)

@@ -45,7 +45,7 @@ def tls(eve: DataFrame) -> DataFrame:
     plain = ("sni", "version", "ja4", "ja4s", "subject", "notbefore", "notafter", "fingerprint")
     return f.select(
         *_envelope(f), *[_text(F.col(f"tls.{c}")).alias(c) for c in plain], _hash(F.col("tls.ja3")).alias("ja3"), _hash(F.col("tls.ja3s")).alias("ja3s"),
-        _text(F.coalesce("tls.issuer", "tls.issuerdn")).alias("issuer"),
+        _text(F.coalesce("tls.issuer", "tls.issuerdn")).alias("issuer"), rules.ech_present(F.get_json_object("raw", "$.tls")).alias("ech"),
     )
 
 

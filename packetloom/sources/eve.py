@@ -38,6 +38,12 @@ def schema() -> T.StructType:
     return T.StructType.fromDDL(", ".join(parts))
 
 
+def staged(events: DataFrame, path: str) -> DataFrame:
+    """Parsed records written once, in a folder for each event type, and read again: plans of many branches then read their types only."""
+    events.write.mode("overwrite").partitionBy("event_type").parquet(path)
+    return events.sparkSession.read.schema(events.schema).parquet(path).select(events.columns)
+
+
 def parse(lines: DataFrame, value: str = "value") -> DataFrame:
     """Event records of a column of JSON lines, with event_time and raw (the line).
 

@@ -77,11 +77,12 @@ class FirstSeen(StatefulProcessor):
 class Pending(StatefulProcessor):
     """Candidates wait for their enrichment: a result in time finalises them, the deadline does so without, and a late result gives a new revision.
 
-    Rows have kind candidate or result. Emitted: key, revision, outcome (enriched, timeout or reopened).
+    Rows have kind candidate or result. Emitted: key, revision, outcome (enriched, timeout or reopened). A finding is
+    forgotten ``keep`` seconds after its deadline.
     """
 
-    def __init__(self, seconds: int):
-        self.ms = seconds * 1000
+    def __init__(self, seconds: int, keep: int):
+        self.ms, self.keep = seconds * 1000, keep * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -103,15 +104,95 @@ class Pending(StatefulProcessor):
         yield pd.DataFrame(out, columns=["key", "revision", "outcome"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        deadline, revision, done = self.state.get()
-        out = [] if done else [(*key, revision + 1, "timeout")]
-        self.state.update((deadline, revision + (not done), True))
+        out = []
+        if self.state.exists():
+            deadline, revision, done = self.state.get()
+            if expiredTimerInfo.getExpiryTimeInMs() > deadline:
+                self.state.clear()
+            else:
+                out = [] if done else [(*key, revision + 1, "timeout")]
+                self.state.update((deadline, revision + (not done), True))
+                self.handle.registerTimer(deadline + self.keep)
         yield pd.DataFrame(out, columns=["key", "revision", "outcome"])
 
     def close(self) -> None:
         pass
 
 
+class LiveMembers(StatefulProcessor):
+    """How many members of a key are live after each batch's last row.
+
+    With ``refresh`` the key as a whole lives for ``seconds`` after its last row, and all members with it; without,
+    each member ages by itself, from its own last row.
+    """
+
+    def __init__(self, seconds: int, refresh: bool):
+        self.ms, self.refresh = seconds * 1000, refresh
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.known = handle.getMapState("known", "member string", "seen long")
+        self.last = handle.getValueState("last", "seen long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        last = self.last.get()[0] if self.last.exists() else None
+        for t, member in sorted((_ms(t), m) for f in rows for t, m in zip(f["event_time"], f["member"], strict=True) if m):
+            if self.refresh and last is not None and t > last + self.ms:
+                for m in list(self.known.keys()):
+                    self.known.removeKey(m)
+            last = t if last is None else max(last, t)
+            self.known.updateValue((member,), (t,))
+        n = 0
+        if last is not None:
+            for m, (seen,) in list(self.known.iterator()):
+                if not self.refresh and seen + self.ms < last:
+                    self.known.removeKey(m)
+                else:
+                    n += 1
+            self.last.update((last,))
+            self.handle.registerTimer(last + self.ms + 1)
+        yield pd.DataFrame([(*key, pd.Timestamp(last, unit="ms"), n)] if n else [], columns=["key", "event_time", "n"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.last.exists() and self.last.get()[0] + self.ms < expiredTimerInfo.getExpiryTimeInMs():
+            self.known.clear()
+            self.last.clear()
+        yield pd.DataFrame([], columns=["key", "event_time", "n"])
+
+    def close(self) -> None:
+        pass
+
+
+class SetOnce(StatefulProcessor):
+    """The first value written for a key holds for ``seconds`` from then; later writes neither replace it nor extend its life."""
+
+    def __init__(self, seconds: int):
+        self.ms = seconds * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("written", "at long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        at, out = self.state.get()[0] if self.state.exists() else None, []
+        for t, value in sorted((_ms(t), v) for f in rows for t, v in zip(f["event_time"], f["value"], strict=True)):
+            if at is None or t >= at + self.ms:
+                at = t
+                out.append((*key, value, pd.Timestamp(t, unit="ms")))
+        if out:
+            self.state.update((at,))
+            self.handle.registerTimer(at + self.ms)
+        yield pd.DataFrame(out, columns=["key", "value", "written"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.state.exists() and self.state.get()[0] + self.ms <= expiredTimerInfo.getExpiryTimeInMs():
+            self.state.clear()
+        yield pd.DataFrame([], columns=["key", "value", "written"])
+
+    def close(self) -> None:
+        pass
+
+
 def _run(events: DataFrame, processor: StatefulProcessor, schema: str, lateness: str) -> DataFrame:
     rows = events.withColumn("event_time", F.col("event_time").cast("timestamp")).withWatermark("event_time", lateness)
     shape: StructType = _parse_datatype_string(schema)
@@ -128,6 +209,16 @@ def first_seen_ranks(events: DataFrame, history: int, lateness: str = "60 second
     return _run(events, FirstSeen(history), "key string, member string, first_seen timestamp, rank long", lateness)
 
 
-def pending_findings(events: DataFrame, seconds: int, lateness: str = "60 seconds") -> DataFrame:
+def pending_findings(events: DataFrame, seconds: int, lateness: str = "60 seconds", keep: int = 86_400) -> DataFrame:
     """events: key, kind, event_time. See Pending."""
-    return _run(events, Pending(seconds), "key string, revision int, outcome string", lateness)
+    return _run(events, Pending(seconds, keep), "key string, revision int, outcome string", lateness)
+
+
+def live_members(events: DataFrame, seconds: int, refresh: bool, lateness: str = "60 seconds") -> DataFrame:
+    """events: key, member, event_time. See LiveMembers."""
+    return _run(events, LiveMembers(seconds, refresh), "key string, event_time timestamp, n long", lateness)
+
+
+def set_once(events: DataFrame, seconds: int, lateness: str = "60 seconds") -> DataFrame:
+    """events: key, value, event_time. See SetOnce."""
+    return _run(events, SetOnce(seconds), "key string, value string, written timestamp", lateness)

@@ -68,6 +68,33 @@ def test_detections_over_records(spark, tmp_path):
     assert {f.finding_id for f in again.collect()} == {f.finding_id for d in ("beacon", "exfil", "http_sqli", "ids_signature") for f in by[d]}
 
 
+def test_long_urls_are_findings_of_their_own(spark):
+    rows = [("t", "10.0.0.1", "8.8.8.8", f"/{'x' * 300}{i}?q=1' or 1=1", "GET", "Mozilla/5.0") for i in range(3)]
+    h = spark.createDataFrame(rows, "tenant string, src_ip string, dest_ip string, url string, method string, user_agent string").withColumn("event_time", F.timestamp_seconds(F.lit(0)))
+    found = detections.http_detections(h)[0].collect()
+    assert len(found) == 3 and len({f.finding_id for f in found}) == 3
+
+
+def test_correlation_notices_and_intel(spark):
+    at = F.timestamp_seconds(F.lit(1_700_000_000))
+    notes = spark.createDataFrame([("t", "Scan::Other", "10.0.0.1", "10.0.0.2"), ("t", "CaptureLoss::Too_Much_Loss", "a", "b"), ("t", "SSL::Weak_Key", "10.0.0.1", "10.0.0.3")], "tenant string, note string, src_ip string, dest_ip string").withColumn("event_time", at)
+    found = detections.notice_detections(notes)[0]
+    assert {(f.detector_id, f.category) for f in found.collect()} == {("zeek_notice", "recon"), ("zeek_notice", "c2")}
+    alerts = spark.createDataFrame([("t", "10.0.0.1", "1.2.3.4", "high", "Intrusion.Botnet", "0.6", "rnn")], "tenant string, attacker string, victim string, threat_level string, kind string, confidence string, module string").withColumn("event_time", at)
+    found = found.unionByName(detections.alert_detections(alerts)[0])
+    got = {f.detector_id: f for f in detections.correlated(found, F.timestamp_seconds(F.lit(1_700_000_100))).collect()}
+    assert set(got) == {"correlation_incident", "correlation_corroboration"} and got["correlation_corroboration"].category == "c2"
+    assert detections.correlated(found, F.timestamp_seconds(F.lit(1_800_000_000))).count() == 0
+
+
+def test_context_moves_severity(spark):
+    rows = [("t", "10.0.0.1", "8.8.8.8", 1, None), ("t", "10.0.0.1", "8.8.8.8", 5, '{"breed": "Unsafe", "flow_risk": {"1": {"risk": "Malicious JA3 Fingerprint", "severity": "High"}}}'), ("t", "10.0.0.2", "9.9.9.9", 1, '{"breed": "Safe"}')]
+    f = spark.createDataFrame(rows, "tenant string, src_ip string, dest_ip string, s long, ndpi string").withColumn("event_time", F.timestamp_seconds("s"))
+    intel = spark.createDataFrame([("t", "ip", "9.9.9.0/24", "active")], "tenant string, kind string, indicator string, disposition string")
+    got = {r.dest_ip: (r.breed, r.risky, r.listed, r.n_sources) for r in detections.context(f, intel).collect()}
+    assert got == {"8.8.8.8": ("Unsafe", True, False, 1), "9.9.9.9": ("Safe", False, True, 1)}
+
+
 def test_typed_tables_and_quarantine(spark, tmp_path):
     t = normalize.typed(eve.read_jsonl(spark, write(tmp_path, scenario())))
     assert t["flow"].count() == 43 and t["dns"].count() == 60 and t["tls"].first().ja3 == "abc" and t["file"].first()["mode"] == "hashes_only"
@@ -233,3 +260,21 @@ def test_pending_findings_time_out_or_reopen(spark, tmp_path):
         q = run.start(stateful.pending_findings(spark.readStream.schema(schema).parquet(str(src)), 600), lambda b, _: out.extend(b.collect()), str(tmp_path / "pending-cp"))
         q.awaitTermination()
     assert sorted((r.key, r.revision, r.outcome) for r in out) == [("a", 2, "enriched"), ("b", 2, "timeout"), ("b", 3, "reopened")]
+
+
+def test_members_age_and_values_are_set_once(spark, tmp_path):
+    events = spark.createDataFrame([("a", "x", 1000), ("a", "y", 1050), ("a", "z", 1130), ("b", "x", 1000)], "key string, member string, s long").select("key", "member", F.col("member").alias("value"), F.timestamp_seconds("s").alias("event_time"))
+    events.write.parquet(str(tmp_path / "in"))
+
+    def run(make, name):
+        stream = make(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in")))
+        q = stream.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        q.awaitTermination()
+        return spark.table(name).collect()
+
+    own = run(lambda s: stateful.live_members(s, 100, refresh=False), "own_age")
+    assert {(r.key, r.n) for r in own} >= {("a", 2), ("b", 1)}  # x has aged
+    whole = run(lambda s: stateful.live_members(s, 100, refresh=True), "refreshed")
+    assert {(r.key, r.n) for r in whole} >= {("a", 3), ("b", 1)}
+    once = run(lambda s: stateful.set_once(s, 100), "set_once")
+    assert sorted((r.key, r.value) for r in once) == [("a", "x"), ("a", "z"), ("b", "x")]
