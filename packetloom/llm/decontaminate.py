@@ -28,7 +28,8 @@ from ._store import small_batches
 
 WORDS = 5
 SIMILARITY = 0.8
-RADIUS = 20
+#: The widest that blocks of 8 bits, each probed to a distance of 2, hold for certain.
+RADIUS = 23
 BLOCKS = 8
 #: Items that are held in memory and broadcast at once (about 10 kB each); more are searched block by block.
 BLOCK_ITEMS = 20_000
@@ -228,3 +229,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, sim
 def op2(spark, sf_dir: str) -> DataFrame:
     docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     return contamination(docs, bench)
+
+
+#: Exact search: every window of an item's size, in every document that shares a shingle with the item.
+ORACLE = f"""
+WITH w AS (SELECT 0 AS item, doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents
+           UNION ALL SELECT 1, item_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+') FROM benchmark),
+ l AS (SELECT item, id, len(w) AS words, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {WORDS} THEN [hash(array_to_string(w, ' '))]
+         ELSE list_transform(range(1, len(w) - {WORDS - 2}), lambda i: hash(array_to_string(w[i:i + {WORDS - 1}], ' '))) END AS l FROM w),
+ s AS (SELECT item, id, words, len(l) AS n, unnest(l) AS h, generate_subscripts(l, 1) - 1 AS pos FROM l),
+ b AS (SELECT id, n, h, count(*) AS weight FROM s WHERE item = 1 GROUP BY ALL),
+ hit AS (SELECT s.id AS doc_id, b.id AS item_id, s.words, b.n AS size, least(b.n, s.n) AS wide, s.n, s.pos, s.h, b.weight FROM s JOIN b USING (h) WHERE s.item = 0),
+ near AS (SELECT doc_id, item_id, min(pos) AS a, max(pos) AS z, any_value(wide) AS wide, any_value(n) AS n FROM hit GROUP BY ALL HAVING count(*) >= {SIMILARITY} * any_value(size)),
+ start AS (SELECT doc_id, item_id, unnest(range(greatest(0, a - wide + 1), least(n - wide, z) + 1)) AS start FROM near),
+ one AS (SELECT doc_id, item_id, start, size, wide, words, h, least(count(*), any_value(weight)) AS same FROM start JOIN hit USING (doc_id, item_id) WHERE pos BETWEEN start AND start + wide - 1 GROUP BY ALL),
+ v AS (SELECT doc_id, item_id, start, words, wide, sum(same)::DOUBLE / (wide + size - sum(same)) AS similarity FROM one GROUP BY doc_id, item_id, start, words, wide, size HAVING sum(same)::DOUBLE / (wide + size - sum(same)) >= {SIMILARITY})
+SELECT doc_id, item_id, max(similarity) AS similarity, arg_max(start, (similarity, -start))::BIGINT AS start_word, arg_max(least(wide + {WORDS - 1}, words), (similarity, -start))::BIGINT AS n_words FROM v GROUP BY ALL
+"""

@@ -492,3 +492,16 @@ def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
 
 def op9(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
+
+
+#: All pairs that share a shingle, and who is reached from whom.
+ORACLE = f"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\t\\n\\x0B\\f\\r]+') AS w FROM documents),
+ l AS (SELECT r, doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {WORDS} THEN [hash(array_to_string(w, ' '))]
+         ELSE list_transform(range(1, len(w) - {WORDS - 2}), lambda i: hash(array_to_string(w[i:i + {WORDS - 1}], ' '))) END) AS l FROM w),
+ s AS (SELECT r, len(l) AS n, unnest(l) AS h FROM l),
+ p AS (SELECT a.r AS a, b.r AS b, count(*) AS same, a.n + b.n AS total FROM s a JOIN s b ON a.h = b.h AND a.r <> b.r GROUP BY a.r, b.r, a.n, b.n),
+ k AS (SELECT a, b FROM p WHERE 100 * same >= {PERCENT} * (total - same)),
+ c AS (SELECT r AS a, r AS b FROM l UNION SELECT c.a, k.b FROM c JOIN k ON c.b = k.a)
+SELECT any_value(x.doc_id) AS doc_id, any_value(len(x.l))::INT AS n_shingles, coalesce(min(y.doc_id), any_value(x.doc_id)) AS component_id FROM l x JOIN c ON c.a = x.r JOIN l y ON y.r = c.b GROUP BY x.r
+"""

@@ -210,3 +210,27 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | DataFrame | None =
 
 def op6(spark, sf_dir: str) -> DataFrame:
     return license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def oracle(templates: dict[str, str] | None = None) -> str:
+    """Exact containment of every template in every window, as DuckDB SQL."""
+    known = Templates(TEMPLATES if templates is None else templates)
+    rows = ", ".join("('{}', '{}', {}, {}, {})".format(k.replace("'", "''"), (templates or TEMPLATES)[k].replace("'", "''"), c.step, c.size, c.width) for c in known.classes for k in c.names)
+    words = "regexp_extract_all(lower(coalesce({}, '')), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+')"
+    return f"""
+WITH t AS (SELECT name, {words.format("text")} AS w, step, size, width FROM (VALUES {rows}) v(name, text, step, size, width)),
+ d AS (SELECT doc_id, {words.format("text")} AS w FROM documents),
+ l AS (SELECT doc_id, len(w) AS words, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {WORDS} THEN [hash(array_to_string(w, ' '))]
+         ELSE list_transform(range(1, len(w) - {WORDS - 2}), lambda i: hash(array_to_string(w[i:i + {WORDS - 1}], ' '))) END AS l FROM d),
+ s AS (SELECT doc_id, words, len(l) AS n, unnest(l) AS h, generate_subscripts(l, 1) - 1 AS pos FROM l),
+ k AS (SELECT name, step, size, width, list_distinct(CASE WHEN len(w) < {WORDS} THEN [hash(array_to_string(w, ' '))] ELSE list_transform(range(1, len(w) - {WORDS - 2}), lambda i: hash(array_to_string(w[i:i + {WORDS - 1}], ' '))) END) AS l FROM t),
+ b AS (SELECT name, step, size, width, len(l) AS m, unnest(l) AS h FROM k),
+ hit AS (SELECT doc_id, name, words, n, m, step, width, pos, h, (greatest(1, n - size + step) - 1) // step AS most FROM s JOIN b USING (h)),
+ win AS (SELECT *, unnest(range(greatest(0, (pos - width + step) // step), least(most, pos // step) + 1)) * step AS start FROM hit),
+ v AS (SELECT doc_id, name, start, words, n, width, count(DISTINCT h) / m::DOUBLE AS containment FROM win GROUP BY doc_id, name, start, words, n, width, m HAVING count(DISTINCT h) >= {CONTAINMENT} * m)
+SELECT doc_id, name AS license, max(containment) AS containment, arg_max(start, (containment, -start))::BIGINT AS start_word,
+       arg_max(least(least(width, n - start) + {WORDS - 1}, words - start), (containment, -start))::BIGINT AS n_words FROM v GROUP BY ALL
+"""
+
+
+ORACLE = oracle()

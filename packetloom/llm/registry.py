@@ -18,8 +18,11 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_warc": warc.ORACLE,
+    "op2_decontamination": decontaminate.ORACLE,
     "op3_line_dedup": line_dedup.ORACLE,
+    "op6_license_scan": license_scan.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
     "op8_sharding": sharding.ORACLE,
+    "op9_ngram_jaccard_join": jaccard_join.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }
