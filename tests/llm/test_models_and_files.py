@@ -10,7 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from packetloom.llm import langid, registry, toxicity, warc
+import test_native as native
+import test_similarity as similarity
+from packetloom.llm import decontaminate, langid, license_scan, registry, toxicity, warc
 from packetloom.llm._store import Workspace
 
 SMALL = "/root/testdata/sf0.001"
@@ -108,6 +110,116 @@ def test_toxicity_shares_weights_over_ordered_thresholds():
     assert s[0] < s[1] < s[2] and s[2] > 1.5 and s[0] < 0.5 and (p >= 0).all() and abs(s[3] - s[4]) < 1e-12
 
 
+def test_toxicity_equals_brute_force_and_is_a_maximum():
+    r = np.random.default_rng(1)
+    texts, grade = [], []
+    for _ in range(300):
+        g = int(r.integers(0, 3))
+        texts.append(" ".join([f"w{r.integers(0, 30)}" for _ in range(12)] + ["bad"] * (r.random() < 0.2 + 0.3 * g) + ["worse"] * (r.random() < 0.4 * (g > 1))))
+        grade.append(g)
+    places, off = toxicity.features(texts)
+    model = toxicity.CumulativeLink.fit(places, off, np.array(grade), 3, steps=2000)
+
+    def loss(weights, t):
+        total = toxicity.PENALTY / 2 * float((weights.astype(float) ** 2).sum())
+        for i, g in enumerate(grade):
+            z = sum(float(weights[p]) for p in places[off[i] : off[i + 1]])
+            below = [0.0, *(1 / (1 + np.exp(z - x)) for x in t), 1.0]
+            total -= np.log(below[g + 1] - below[g]) / len(grade)
+        return total
+
+    best, used = loss(model.weights, model.thresholds), np.flatnonzero(model.weights)
+    assert 1 <= len(used) <= 10
+    for _ in range(20):
+        w = model.weights.copy()
+        w[used] += r.normal(0, 0.05, len(used)).astype(np.float32)
+        assert loss(w, model.thresholds + r.normal(0, 0.05, 2)) > best - 1e-5
+    s, p = model.severity(texts[:20])
+    for i in range(20):
+        z = sum(float(model.weights[q]) for q in places[off[i] : off[i + 1]])
+        above = [1 / (1 + np.exp(x - z)) for x in model.thresholds]
+        assert abs(s[i] - sum(above)) < 1e-9 and abs(p[i] - above[0]) < 1e-9
+
+
+def test_texts_that_are_no_utf8_stop_nothing(spark):
+    rows = [(1, b"\xff\xfe broken \x80 words of some text here"), (2, "Released under the MIT License \u00e9".encode()), (2, b"Released under the MIT License \xff")]
+    frame = spark.createDataFrame(rows, "doc_id long, b binary").select("doc_id", F.col("b").cast("string").alias("text"), F.lit("en").alias("lang"))
+    bench = frame.filter("doc_id = 1").select(F.col("doc_id").cast("string").alias("item_id"), "text")
+    assert [(r.doc_id, r.item_id, r.similarity) for r in decontaminate.contamination(frame, bench).collect()] == [(1, "1", 1.0)]
+    assert decontaminate.decontaminate(frame, bench).count() == 2
+    assert [r.doc_id for r in license_scan.license_scan(frame).collect()] == [2, 2]
+    model = langid.train(frame)
+    assert langid.identify(frame, model).count() == 3
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, grade int")
+    assert toxicity.score(frame, toxicity.train(frame, labels)).count() == 3
+    folder = f"{Workspace(spark, 'warc-bytes').path}/archive"
+    warc.write_warc(frame.select(F.col("doc_id").alias("page_id"), F.col("text").alias("url"), F.col("text").alias("html")), folder)
+    assert sorted(bytes(r.payload) for r in warc.read_warc(spark, folder).collect()) == sorted(b for _, b in rows)
+
+
+def test_warc_revisits_name_the_record_that_holds_the_payload(spark):
+    rows = [(i, f"http://a/{i}", ["same " * 50, "other " * 60][i % 2]) for i in range(6)] + [(None, f"n{i}", f"nobody's {i} " * 40) for i in range(40)] + [(9, f"http://b/{i}", f"<{i}>" * 80) for i in range(60)]
+    folder, manifest = archive(spark, rows, shard_bytes=2_000)
+    per = {}
+    store, at = warc._open(folder)
+    ids, refers = {}, []
+    for f in manifest.collect():
+        per[f.shard] = per.get(f.shard, 0) + f.records
+        with store.open_input_stream(f"{at}/{f.file}", compression=None) as stream:
+            records = list(warc._records(stream))
+        assert records[0][0]["WARC-Type"] == "warcinfo" and len(records) == f.records + 1
+        for fields, block in records[1:]:
+            assert fields["Content-Type"].startswith("application/http") and block.startswith(b"HTTP/1.1 200 OK")
+            ids[fields["WARC-Record-ID"]] = fields["WARC-Target-URI"]
+            if fields["WARC-Type"] == "revisit":
+                refers.append((fields["WARC-Refers-To"], fields["WARC-Refers-To-Target-URI"]))
+    assert len(refers) == 4 and all(ids[a] == b for a, b in refers)
+    assert max(per.values()) < 30 and sum(per.values()) == len(rows)  # neither page 9 nor rows without an id fill a shard
+    assert warc.read_warc(spark, folder).count() == len(rows)
+
+
+def test_license_scan_of_several_hundred_templates(spark):
+    r = random.Random(8)
+    known = [(f"L{i}", " ".join(f"t{r.randrange(400)}" for _ in range(r.choice([4, 12, 40, 150])))) for i in range(400)] + [(None, "x"), ("empty", None)]
+    rows = [(i, " ".join([f"f{r.randrange(900)}" for _ in range(60)] + known[i * 7 % 400][1].split() + ["end"] * 9)) for i in range(50)]
+    found = license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(known, "name string, text string")).collect()
+    got = {(f.doc_id, f.license) for f in found}
+    assert {(i, f"L{i * 7 % 400}") for i in range(50) if len(known[i * 7 % 400][1].split()) >= 5} <= got
+    text = dict(rows)
+    for f in found:  # what is found is there
+        want, own = ([tuple(w[i : i + 5]) for i in range(len(w) - 4)] for w in (dict(known)[f.license].split(), text[f.doc_id].split()[f.start_word : f.start_word + f.n_words]))
+        assert abs(len(set(want) & set(own)) / len(set(want)) - f.containment) < 1e-9
+
+
+def test_pipeline_equals_brute_force(spark):
+    r = random.Random(12)
+    items = [tuple(x) for x in spark.read.parquet(f"{SMALL}/benchmark.parquet").select("item_id", "text").collect()]
+    rows = [(i * 3 % 1009, t) for i, (_, t) in enumerate(similarity.corpus(7)) if t != "x " * 50]
+    rows += [(2000 + i, f"start {i} of its own {r.random()} " + t + f" end {i} {r.random()}") for i, (_, t) in enumerate(items[:6])] + [(3000, "12 -- 34"), (3001, None)]
+    docs = [(d, t, "en" if d % 2 else None, "ab"[d % 5 == 0], len(t or "")) for d, t in rows]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    now, ws, kept = frame, Workspace(spark, "brute"), docs
+    got = []
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        now = ws.save(stage(spark, now, SMALL), str(i))
+        got.append(now.collect())
+    ids = lambda rs: sorted(x[0] for x in rs)
+    kept = [x for x in kept if any(c.isalpha() for c in x[1] or "")]
+    assert ids(got[0]) == ids(kept)
+    root = similarity.brute_components([x[:2] for x in kept], 80, 5)
+    kept = [x for x, (d, _, c) in zip(kept, root, strict=True) if d == c]
+    assert ids(got[1]) == ids(kept)
+    bad = {d for d, _ in similarity.brute_contamination([x[:2] for x in kept], items)}
+    kept = [x for x in kept if x[0] not in bad]
+    assert len(bad) >= 6 and ids(got[2]) == ids(kept)
+    size = {s: sum(len(x[1].encode()) for x in kept if x[3] == s) for s in "ab"}
+    want = []
+    for x in kept:
+        u = (int(hashlib.md5(f"mix-1:{x[0]}:1".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        want += [x[0]] * native.poisson(sum(size.values()) / 2 / size[x[3]], u)
+    assert ids(got[3]) == sorted(want) and ids(got[4]) == sorted(want)
+
+
 def test_toxicity_with_one_grade_or_none(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     for rows, want in (([], 0.0), ([(1, 0), (2, None)], 0.0), ([(1, 1)], 1.0)):

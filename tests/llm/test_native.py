@@ -138,25 +138,58 @@ def test_mixing_large_rates(spark):
 
 
 def brute_lines(rows, least):
-    """Removes what longest earlier matches of at least ``least`` words cover."""
+    """Removes every run of at least ``least`` words, of any length, that does not overlap the first place of its content."""
     seqs = [(d, t.split("\n")) for d, t in sorted({(d, t) for d, t in rows if t is not None}, key=lambda x: x[0])]
-    places = [(d, i) for d, ls in seqs for i in range(len(ls))]
-    text = dict(seqs)
+    places = defaultdict(list)
+    for d, ls in seqs:
+        for i in range(len(ls)):
+            for n in range(1, len(ls) - i + 1):
+                if sum(len(x.split()) for x in ls[i : i + n]) >= least:
+                    places[tuple(ls[i : i + n])].append((d, i))
     gone = defaultdict(set)
-    for d, i in places:
-        for e, j in places:
-            if (e, j) >= (d, i):
-                break
-            n = 0
-            while i + n < len(text[d]) and j + n < len(text[e]) and text[d][i + n] == text[e][j + n]:
-                n += 1
-            if n and sum(len(x.split()) for x in text[d][i : i + n]) >= least:
-                gone[d].update(range(i, i + n))
+    for run, at in places.items():
+        e, j = min(at)
+        for d, i in at:
+            if (d, i) > (e, j) and not (d == e and i < j + len(run)):
+                gone[d].update(range(i, i + len(run)))
     return {d: "\n".join(x for i, x in enumerate(ls) if i not in gone[d]) for d, ls in seqs}, gone
 
 
-def test_line_dedup_equals_brute_force(spark):
-    r = random.Random(3)
+def test_line_dedup_keeps_one_whole_copy_of_a_line_that_goes_on(spark):
+    line = "ten words stand in this line and they go on"
+    rows = [(1, "\n".join([line] * 10), "s"), (2, "\n".join([line] * 7), "s")]
+    got = {r.doc_id: r.text.count(line) for r in line_dedup.line_dedup(docs(spark, rows)).collect()}
+    assert got == {1: 5, 2: 0}
+
+
+def test_exact_dedup_of_bytes_that_are_no_text(spark):
+    rows = [(1, b"A\xffB"), (2, b"A\xfeB"), (3, b"A\xffB"), (4, "A\ufffdB".encode())]
+    frame = spark.createDataFrame(rows, "doc_id long, b binary").select("doc_id", F.col("b").cast("string").alias("text"))
+    got = {r.doc_id: (r.keep_id, r.group_size, r.text_sha256) for r in exact_dedup.exact_dedup(frame).collect()}
+    assert {k: v[:2] for k, v in got.items()} == {1: (3, 2), 2: (2, 1), 3: (3, 2), 4: (4, 1)}
+    assert all(got[i][2] == hashlib.sha256(b).hexdigest() for i, b in rows)
+
+
+def test_mixing_deals_many_copies_of_one_document(spark):
+    rows = [(1, "t", "rare"), (2, "t" * 9000, "big")]
+    out = mixing.mix(docs(spark, rows)).withColumn("task", F.spark_partition_id())
+    got = [r.copy for r in out.filter("doc_id = 1").collect()]
+    assert len(got) > 4 * mixing.BLOCK_COPIES and sorted(got) == list(range(1, len(got) + 1))
+
+
+def test_sharding_splits_one_key_by_its_texts(spark):
+    rows = [(7, f"{i:04d}" * 25, "a") for i in range(90)] + [(i, "w" * 10, "a") for i in range(20, 60)]
+    got = sharding.shard(docs(spark, rows), limit=1000).collect()
+    size = Counter()
+    for r in got:
+        size[r.shard_id] += len(r.text)
+    assert len(got) == len(rows) and max(size.values()) <= 1000 and all(size[r.shard_id] == r.shard_bytes for r in got)
+    assert {r.shard_id.startswith("text:") for r in got if r.doc_id == 7} == {True}
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_line_dedup_equals_brute_force(spark, seed):
+    r = random.Random(seed)
     pool = ["", "a b c", "d e", "f", "g h i j k l", "m n o p", "q", "r s t u v w x y z", " "]
     rows = []
     for d in range(60):

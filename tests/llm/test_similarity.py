@@ -19,7 +19,7 @@ def sets_of(text, k=4):
     return frozenset() if not w else frozenset([tuple(w)]) if len(w) < k else frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
 
 
-def brute_components(rows, percent):
+def brute_components(rows, percent, k=4):
     root = {}
 
     def find(x):
@@ -27,7 +27,7 @@ def brute_components(rows, percent):
             x = root[x]
         return x
 
-    sets = {i: sets_of(t) for i, (_, t) in enumerate(rows)}
+    sets = {i: sets_of(t, k) for i, (_, t) in enumerate(rows)}
     for i in sets:
         for j in sets:
             if i < j and sets[i] and sets[j]:
