@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import stats
 from ..functions.core import let
@@ -34,26 +34,29 @@ def outbound_anomalies(
     before it is learned. The peer baseline is required (samples and distinct peers); without an own
     baseline the peers decide alone. windows: cohort, entity, start (epoch seconds), bytes_out.
 
-    A cohort's windows are gathered once per coarse time block, together with those of the block before; each
-    scored window meets that one row and picks its history from it. So no pair of windows is ever a row, and
-    nothing is aggregated after the join. A cohort is a group of peers, of a size that fits a row for two blocks.
+    The own baseline comes first, by a window over each entity's few earlier rows: a window that is not far above it
+    cannot be reported, so only the rest, and entities without an own baseline, ask for their peers. The windows of a cohort
+    are gathered once per coarse time block in which something is asked, together with those of the block before; no
+    pair of windows is ever a row. A cohort's peers of two blocks fit a row. Windows without a sum count for nothing.
     """
     span = history * seconds
     value = F.col("bytes_out").cast("double")
     block = F.floor(F.col("start") / span)
-    seen = windows.select(*cohort, F.explode(F.array(block, block + 1)).alias("_block"), F.struct("start", F.col(entity).alias("who"), value.alias("v")).alias("_h"))
-    pool = seen.groupBy(*cohort, "_block").agg(F.collect_list("_h").alias("_pool"))
-    row = windows.withColumn("_block", block).join(pool, [*cohort, "_block"])
-    before = F.filter("_pool", lambda h: (h["start"] >= F.col("start") - span) & (h["start"] + seconds <= F.col("start")))
-    row = row.withColumn("_past", before).filter(F.size("_past") >= min_samples)
-    own, peers = F.filter("_past", lambda h: h["who"] == F.col(entity)), F.filter("_past", lambda h: h["who"] != F.col(entity))
-    row = row.select(*windows.columns, own["v"].alias("_own"), peers["v"].alias("_peers"), F.size(F.array_distinct(peers["who"])).alias("n_peers"))
-    row = row.filter((F.size("_peers") >= min_samples) & (F.col("n_peers") >= min_peers))
-    row = row.withColumn("_o", _robust(F.col("_own"), floor)).withColumn("_p", _robust(F.col("_peers"), floor))
-    row = row.select(*windows.columns, "n_peers", *[F.col(f"_{p[0]}.{c}").alias(f"{p}_{c}") for p in ("peer", "own") for c in ("median", "n", "scale")])
-    far = lambda p: F.greatest(F.lit(0.0), (F.col("bytes_out") - F.col(f"{p}_median")) / F.col(f"{p}_scale"))
-    has_own = F.col("own_n") >= min_samples
-    score = F.when(has_own, F.least(far("own"), far("peer"))).otherwise(far("peer"))
+    known = windows.filter("bytes_out IS NOT NULL")
+    mine = Window.partitionBy(*cohort, entity).orderBy("start").rangeBetween(-span, -seconds)
+    far = lambda p: F.greatest(F.lit(0.0), (F.col("bytes_out") - F.col(f"_{p}.median")) / F.col(f"_{p}.scale"))
+    has_own = F.col("_o.n") >= min_samples
+    asked = known.withColumn("_own", F.collect_list(value).over(mine)).withColumn("_o", _robust(F.col("_own"), floor)).drop("_own")
+    asked = asked.filter(~has_own | (far("o") > threshold)).withColumn("_block", block)
+    seen = known.select(*cohort, F.explode(F.array(block, block + 1)).alias("_block"), F.struct("start", F.col(entity).alias("who"), value.alias("v")).alias("_h"))
+    pool = seen.join(asked.select(*cohort, "_block").distinct(), [*cohort, "_block"], "left_semi").groupBy(*cohort, "_block").agg(F.collect_list("_h").alias("_pool"))
+    row = asked.join(pool, [*cohort, "_block"])
+    peers = F.filter("_pool", lambda h: (h["start"] >= F.col("start") - span) & (h["start"] + seconds <= F.col("start")) & (h["who"] != F.col(entity)))
+    row = row.withColumn("_peers", peers).filter(F.size("_peers") >= min_samples)
+    row = row.withColumn("n_peers", F.size(F.array_distinct(F.col("_peers.who")))).filter(F.col("n_peers") >= min_peers)
+    row = row.withColumn("_p", _robust(F.col("_peers.v"), floor))
+    score = F.when(has_own, F.least(far("o"), far("p"))).otherwise(far("p"))
     mode = F.when(has_own, F.lit("entity-and-peer")).otherwise(F.lit("peer-only-cold-start"))
-    out = row.withColumn("score", score).filter(F.col("score") > threshold).withColumn("mode", mode)
-    return out.withColumn("confidence", F.when(has_own, 0.8).otherwise(0.5))
+    figures = [F.col(f"_{p[0]}.{c}").alias(f"{p}_{c}") for p in ("peer", "own") for c in ("median", "n", "scale")]
+    out = row.select(*windows.columns, "n_peers", *figures, score.alias("score"), mode.alias("mode"), F.when(has_own, 0.8).otherwise(0.5).alias("confidence"))
+    return out.filter(F.col("score") > threshold)
