@@ -7,20 +7,37 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import ip as ips
 
 
-def asof_join(left: DataFrame, right: DataFrame, on: list[str], ts: str, right_ts: str, values: list[str], within: int | None = None, strict: bool = False) -> DataFrame:
+def asof_join(
+    left: DataFrame, right: DataFrame, on: list[str], ts: str, right_ts: str, values: list[str], within: int | None = None, strict: bool = False, block: int | None = None
+) -> DataFrame:
     """``left`` with the ``values`` of the latest right row of its key at or before its ``ts``.
 
     ``within``: seconds after which a right row is stale. ``strict``: only rows before ``ts``. Of
-    right rows with one time, the largest values win. Rows without a match get nulls.
-
-    One union and one window sorted by (key, time): a shuffle of both sides on the key, and no
-    row is ever multiplied, however many right rows a key has.
+    right rows with one time, the largest values win; those without a time match nothing. Rows
+    without a match get nulls.
+
+    One union and one window sorted by time: a shuffle of both sides, and no left row is ever
+    multiplied, however many right rows a key has. A key is divided by time, so a hot one is spread
+    over tasks: with ``within`` into blocks of that length, where a right row also shows in the block
+    after its own; else, with ``block`` (seconds), into such blocks, each of which begins with the
+    last right row of those before it. That row is found among one row a key and block.
     """
     packed = F.struct(F.col(right_ts).alias("_t"), *[F.col(v) for v in values])
-    kind = 1 if strict else -1
-    r = right.select(*on, F.col(right_ts).alias("_at"), F.lit(0).alias("_kind"), packed.alias("_right"), F.lit(None).cast(left.select(F.struct("*").alias("x")).schema["x"].dataType).alias("_left"))
-    all_left = left.select(*on, F.col(ts).alias("_at"), F.lit(-kind).alias("_kind"), F.lit(None).cast(r.schema["_right"].dataType).alias("_right"), F.struct("*").alias("_left"))
-    w = Window.partitionBy(*on).orderBy("_at", "_kind", "_right").rowsBetween(Window.unboundedPreceding, 0)
+    kind, width = 1 if strict else -1, within or block
+    nth = (lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / (width * 1_000_000))) if width else (lambda c: F.lit(0).cast("long"))
+    full = left.select(F.struct("*").alias("x")).schema["x"].dataType
+    r = right.filter(F.col(right_ts).isNotNull()).select(*on, nth(right_ts).alias("_block"), F.col(right_ts).alias("_at"), F.lit(0).alias("_kind"), packed.alias("_right"), F.lit(None).cast(full).alias("_left"))
+    all_left = left.select(*on, nth(ts).alias("_block"), F.col(ts).alias("_at"), F.lit(-kind).alias("_kind"), F.lit(None).cast(r.schema["_right"].dataType).alias("_right"), F.struct("*").alias("_left"))
+    if within:
+        r = r.withColumn("_block", F.explode(F.array("_block", F.col("_block") + 1)))
+    elif block:
+        last = r.groupBy(*on, "_block").agg(F.max("_right").alias("_right"))
+        asked = all_left.select(*on, "_block").distinct().withColumn("_right", F.lit(None).cast(r.schema["_right"].dataType))
+        each = last.unionByName(asked).groupBy(*on, "_block").agg(F.max("_right").alias("_right"))
+        before = Window.partitionBy(*on).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        carried = each.withColumn("_right", F.last("_right", ignorenulls=True).over(before)).filter("_right IS NOT NULL")
+        r = r.unionByName(carried.select(*on, "_block", F.col("_right._t").alias("_at"), F.lit(0).alias("_kind"), "_right", F.lit(None).cast(full).alias("_left")))
+    w = Window.partitionBy(*on, "_block").orderBy("_at", "_kind", "_right").rowsBetween(Window.unboundedPreceding, 0)
     out = r.unionByName(all_left).withColumn("_last", F.last("_right", ignorenulls=True).over(w)).filter("_left IS NOT NULL")
     if within is not None:
         fresh = F.col("_at").cast("timestamp") - F.col("_last._t").cast("timestamp") <= F.make_dt_interval(secs=F.lit(within))

@@ -31,7 +31,7 @@ def fleet_count(df: DataFrame, key: list[str], entity: str, value: str, ts: str)
     from .joins import asof_join
 
     steps = first.withColumn("n_fleet", F.count(F.lit(1)).over(w)).select(*key, value, "_first", "n_fleet").distinct()
-    return asof_join(df, steps, [*key, value], ts, "_first", ["n_fleet"])
+    return asof_join(df, steps, [*key, value], ts, "_first", ["n_fleet"], block=86_400)
 
 
 def ja4_novelty(df: DataFrame, tenant: list[str], entity: str, fp: str, ts: str, min_observations: int = 100, min_span: int = 86_400, rare: int = 2) -> DataFrame:

@@ -68,11 +68,11 @@ def fact_intervals(facts: DataFrame, key: list[str], value: str, ts: str, expire
     return out.withColumn("valid_to", F.least("_lease", "_after")).select(*key, value, "valid_from", "valid_to", "n")
 
 
-def owner_at(points: DataFrame, intervals: DataFrame, key: list[str], ts: str, owner: str) -> DataFrame:
-    """``points`` with the owner of their key at their instant, null in gaps: intervals do not overlap, so an as-of join does."""
+def owner_at(points: DataFrame, intervals: DataFrame, key: list[str], ts: str, owner: str, block: int = 86_400) -> DataFrame:
+    """``points`` with the owner of their key at their instant, null in gaps: intervals do not overlap, so an as-of join does, in blocks of a day."""
     from .joins import asof_join
 
-    at = asof_join(points, intervals.withColumnRenamed("valid_from", "_from"), key, ts, "_from", [owner, "valid_to"])
+    at = asof_join(points, intervals.withColumnRenamed("valid_from", "_from"), key, ts, "_from", [owner, "valid_to"], block=block)
     held = F.col("valid_to").isNull() | (F.col(ts) < F.col("valid_to"))
     return at.withColumn(owner, F.when(held, F.col(owner))).drop("valid_to")
 

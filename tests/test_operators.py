@@ -102,6 +102,22 @@ def test_asof_join(spark):
     assert rows(joins.asof_join(left, right, ["k"], "ts", "at", ["v"], 600, strict=True).select("id", "v"), "id") == [(1, "y"), (2, None), (3, None), (4, None)]
 
 
+@pytest.mark.parametrize("how", [{}, {"within": 50}, {"block": 40}, {"block": 7, "strict": True}, {"within": 1, "strict": True}])
+def test_asof_join_in_blocks_equals_brute_force(spark, how):
+    r = random.Random(3)
+    left = [(i, r.choice(["a", "a", "b", None]), r.choice([None, *range(300)])) for i in range(120)] + [(i, "a", 80) for i in range(120, 125)]
+    right = [(r.choice(["a", "b", None]), r.choice([None, *range(300)]), i) for i in range(25)] + [("a", 80, 99), ("a", 80, 98), ("a", 40, 97)]
+    t = lambda s: None if s is None else at(s)
+    a = spark.createDataFrame([(i, k, t(s)) for i, k, s in left], "id int, k string, ts timestamp")
+    b = spark.createDataFrame([(k, t(s), v) for k, s, v in right], "k string, at timestamp, v int")
+    want = []
+    for i, k, s in left:
+        seen = [(u, v) for q, u, v in right if q == k and None not in (s, u) and (u < s if how.get("strict") else u <= s)]
+        hit = max(seen, default=None)
+        want.append((i, hit[1] if hit and s - hit[0] <= how.get("within", 1000) else None))
+    assert rows(joins.asof_join(a, b, ["k"], "ts", "at", ["v"], **how).select("id", "v"), "id") == want
+
+
 def test_cidr_join_of_both_families(spark):
     left = spark.createDataFrame([("10.1.2.3",), ("10.9.0.1",), ("2001:db8::5",), ("x",), (None,)], "ip string")
     nets = spark.createDataFrame([("10.0.0.0/8",), ("10.1.2.0/24",), ("10.1.2.3",), ("2001:db8::/32",), ("bad/9",)], "net string")
