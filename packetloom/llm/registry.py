@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, jaccard_join, langid, license_scan, line_dedup, mixing, sharding, toxicity, warc
+from . import centroids, decontaminate, exact_dedup, filter_audit, jaccard_join, langid, license_scan, line_dedup, mixing, sharding, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_sharding": sharding.op8,
     "op9_ngram_jaccard_join": jaccard_join.op9,
     "op10_mixing": mixing.op10,
+    "op11_filter_audit": filter_audit.op11,
+    "op12_token_counts": token_counts.op12,
+    "op13_centroids": centroids.op13,
 }
 ORACLE_SQL = {
     "op1_warc": warc.ORACLE,
@@ -25,4 +28,6 @@ ORACLE_SQL = {
     "op8_sharding": sharding.ORACLE,
     "op9_ngram_jaccard_join": jaccard_join.ORACLE,
     "op10_mixing": mixing.ORACLE,
+    "op11_filter_audit": filter_audit.ORACLE,
+    "op13_centroids": centroids.ORACLE,
 }
