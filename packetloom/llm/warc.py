@@ -36,8 +36,9 @@ REVISIT_BYTES = 100
 #: (8 bytes each on the driver).
 SHARD_BYTES = 64 << 20
 ROLL_BYTES = 32 << 20
-#: Ranges counted in one pass; what the driver holds of a pass.
+#: Ranges looked at in one pass, and at least as many counts; FINER counts a range where there are many. The driver holds a pass's counts.
 RANGES = 16_384
+FINER = 16
 DATE = "1970-01-01T00:00:00Z"
 
 
@@ -49,7 +50,8 @@ def shard_bounds(weight: DataFrame, limit: int, ranges: int = RANGES, heavy: lis
     """Upper ends (inclusive) of page_id ranges of at most ``limit`` bytes, from rows (page_id, bytes).
 
     Ranges are counted in at most ``ranges`` equal steps; steps over the limit are counted again,
-    finer, several of them in one pass. A single page_id is not divided; those over the limit are
+    finer, ``ranges`` of them in one pass. A row finds its range by binary search in a sorted literal, so plans
+    do not grow with the number of ranges. A single page_id is not divided; those over the limit are
     added to ``heavy`` with their bytes.
     """
     low, high, total = weight.agg(F.min("page_id"), F.max("page_id"), F.sum("bytes")).first()
@@ -58,15 +60,14 @@ def shard_bounds(weight: DataFrame, limit: int, ranges: int = RANGES, heavy: lis
     known: list[tuple[int, int, int]] = []
     todo = [(low, high)]
     while todo:
-        now, todo = todo[: ranges // 16 or 1], todo[ranges // 16 or 1 :]
-        each = max(2, ranges // len(now))
-        case = F.lit(None).cast("struct<a:long,step:long>")
-        for a, b in reversed(now):
-            step = max(1, -(-(b - a + 1) // each))
-            case = F.when(F.col("page_id").between(a, b), F.struct(F.lit(a).cast("long").alias("a"), F.lit(step).cast("long").alias("step"))).otherwise(case)
-        row = weight.select("page_id", "bytes", case.alias("s")).filter("s IS NOT NULL")
-        at = F.col("s.a") + F.floor((F.col("page_id") - F.col("s.a")) / F.col("s.step")).cast("long") * F.col("s.step")
-        for r in row.groupBy(at.alias("at"), F.col("s.step").alias("step")).agg(F.sum("bytes").alias("n")).collect():
+        now, todo = sorted(todo[:ranges]), todo[ranges:]
+        each = max(FINER, ranges // len(now))
+        steps = [max(1, -(-(b - a + 1) // each)) for a, b in now]
+        row = weight.select("page_id", "bytes", _place(F.col("page_id"), [b for _, b in now]).alias("i"))
+        row = row.select("page_id", "bytes", F.get(_longs([a for a, _ in now]), F.col("i")).alias("a"), F.get(_longs(steps), F.col("i")).alias("step"))
+        kind = "decimal(20,0)" if high - low >= 1 << 62 else "long"  # wider than a long can count
+        at = F.expr(f"cast(cast(a as {kind}) + cast((cast(page_id as {kind}) - a) div step as {kind}) * step as long)")
+        for r in row.filter("page_id >= a").groupBy(at.alias("at"), "step").agg(F.sum("bytes").alias("n")).collect():
             if r["n"] > limit and r["step"] > 1:
                 todo.append((r["at"], r["at"] + r["step"] - 1))
             else:
@@ -83,11 +84,16 @@ def shard_bounds(weight: DataFrame, limit: int, ranges: int = RANGES, heavy: lis
     return out
 
 
+def _longs(values: list[int]) -> Column:
+    """A literal array of longs; of one string, so that the plan stays one node."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<long>")
+
+
 def _place(value: Column, ends: list[int]) -> Column:
     """How many of the sorted ends are below a value, by binary search in a literal."""
     if not ends:
         return F.lit(0)
-    table = F.split(F.lit(",".join(map(str, ends))), ",").cast("array<long>")
+    table = _longs(ends)
     span = F.struct(F.lit(0).alias("a"), F.lit(len(ends)).alias("b"))
 
     def halve(s, _):
@@ -235,13 +241,23 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, ro
         note.select("page_id", "digest", F.lit(0).alias("page"), F.col("first_url").alias("url"), F.lit(None).cast("string").alias("html"), "refers")
     )
     # rows without a page_id, and of page_ids over the limit, are dealt by digest to shards of their own
-    shard, shards = _place(F.col("page_id"), bounds), len(bounds) + 1
-    for key, n in [(None, unnamed), *sorted(heavy)]:
-        k = -(-n // shard_bytes)
-        if k > (key is not None):
-            shard = F.when(F.col("page_id").eqNullSafe(F.lit(key)), shards + F.pmod(F.xxhash64("digest"), F.lit(k))).otherwise(shard)
-            shards += k
-    rows = rows.withColumn("shard", F.coalesce(shard, F.lit(0)).cast("int"))
+    shards = len(bounds) + 1
+    rows = rows.withColumn("shard", _place(F.col("page_id"), bounds))
+    if unnamed:
+        k = -(-unnamed // shard_bytes)
+        rows = rows.withColumn("shard", F.when(F.col("page_id").isNull(), shards + F.pmod(F.xxhash64("digest"), F.lit(k))).otherwise(F.col("shard")))
+        shards += k
+    if heavy:
+        keys, counts, starts = [], [], []
+        for key, n in sorted(heavy):
+            keys.append(key)
+            counts.append(-(-n // shard_bytes))
+            starts.append(shards)
+            shards += counts[-1]
+        rows = rows.withColumn("at", _place(F.col("page_id"), keys))
+        dealt = F.get(_longs(starts), F.col("at")) + F.pmod(F.xxhash64("digest"), F.get(_longs(counts), F.col("at")))
+        rows = rows.withColumn("shard", F.when(F.get(_longs(keys), F.col("at")) == F.col("page_id"), dealt).otherwise(F.col("shard"))).drop("at")
+    rows = rows.withColumn("shard", F.coalesce("shard", F.lit(0)).cast("int"))
     dealt = rows.repartitionById(shards, "shard").sortWithinPartitions("shard", "page_id", "digest", "page", "url")
     made = dealt.mapInArrow(_writer(folder, roll_bytes), MANIFEST)
     made.write.mode("overwrite").parquet(f"{folder}/manifest")
