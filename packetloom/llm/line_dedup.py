@@ -40,9 +40,9 @@ def _ranked(rows: DataFrame, by: list[str]) -> DataFrame:
 
 def repeated_lines(docs: DataFrame, ws: Workspace) -> DataFrame:
     """Level 0: (d, v, pos, words, r) of every line that occurs more than once in the corpus."""
-    line = docs.filter(F.col("text").isNotNull()).select(
-        F.col("doc_id").alias("d"), _variant(F.col("text")).alias("v"), F.posexplode(_lines(F.col("text"))).alias("pos", "line")
-    )
+    # the hash of a text is taken before its lines are listed, or each line would take it anew
+    text = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").alias("d"), _variant(F.col("text")).alias("v"), "text")
+    line = text.select("d", "v", F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
     # 128 bits, from two seeds
     line = ws.save(
         line.select(
@@ -78,7 +78,8 @@ def windows(base: DataFrame, min_words: int) -> DataFrame:
     row = row.withColumn("before", F.col("upto") - F.col("words")).withColumn("first", F.min("pos").over(island)).withColumn("last", F.max("pos").over(island))
     row = row.withColumn("all", F.max("upto").over(island))
     # the first line by which min_words words have passed, and the last from which they have
-    past = F.min("pos").over(island.orderBy("before").rangeBetween(min_words, Window.unboundedFollowing))
+    # both frames grow with their row from the partition's start, so a window costs one pass however long the document
+    past = F.min("pos").over(island.orderBy(F.desc("before")).rangeBetween(Window.unboundedPreceding, -min_words))
     ahead = F.max("pos").over(island.orderBy("upto").rangeBetween(Window.unboundedPreceding, -min_words))
     end = F.coalesce(past - 1, F.when(F.col("all") - F.col("before") >= min_words, F.col("last")))
     start = F.coalesce(ahead + 1, F.when(F.col("upto") >= min_words, F.col("first")))
@@ -145,7 +146,10 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     gone = gone.select(F.col("d").alias("__pl_gd"), F.col("v").alias("__pl_gv"), "__pl_runs")
     row = row.join(gone.hint("merge"), F.col("__pl_d").eqNullSafe(F.col("__pl_gd")) & (F.col("__pl_v") == F.col("__pl_gv")), "left")
     line = _lines(F.col("text"))
-    kept = F.filter(line, lambda x, i: ~F.exists("__pl_runs", lambda r: (r["first"] <= i) & (r["last"] >= i)))
+    # runs are in order and apart, so a flag a line comes from the gaps between them; lines behind the last have none
+    before = lambda i: F.coalesce(F.get(F.col("__pl_runs"), i - 1)["last"] + 1, F.lit(0))
+    keep = F.flatten(F.transform("__pl_runs", lambda r, i: F.concat(F.array_repeat(F.lit(True), r["first"] - before(i)), F.array_repeat(F.lit(False), r["last"] - r["first"] + 1))))
+    kept = F.zip_with(line, keep, lambda x, k: F.when(F.coalesce(k, F.lit(True)), x))  # what goes is null, and array_join leaves it out
     text = F.when(F.col("__pl_runs").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     lost = F.aggregate("__pl_runs", F.lit(0), lambda a, r: a + r["last"] - r["first"] + 1)
     return row.select(
