@@ -15,6 +15,8 @@ loses nothing that the verification would accept.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -35,6 +37,8 @@ BLOCKS = 8
 BLOCK_ITEMS = 20_000
 #: Bytes of such a block's texts, but for a single longer item.
 BLOCK_BYTES = 64 << 20
+#: Windows of one text and size that are remembered, so that a text that goes on repeating itself is verified once.
+SEEN = 100_000
 
 
 def prepare(text: str | None) -> bytes:
@@ -85,7 +89,10 @@ class Index:
 
     def within(self, size: int, prints: np.ndarray) -> list[np.ndarray]:
         """For each fingerprint, the items of that window size within the radius."""
-        width, out = 64 // BLOCKS, []
+        return list(self._within(size, prints))
+
+    def _within(self, size: int, prints: np.ndarray) -> Iterator[np.ndarray]:
+        width = 64 // BLOCKS
         for p in prints.tolist():
             found: set[int] = set()
             for b in range(BLOCKS):
@@ -93,8 +100,14 @@ class Index:
                 for n in (self.near ^ own).tolist():
                     found.update(self.buckets.get((size, b, n), ()))
             c = np.array(sorted(found), np.int64)
-            out.append(c[np.bitwise_count(self.prints[c] ^ np.uint64(p)) <= self.radius])
-        return out
+            yield c[np.bitwise_count(self.prints[c] ^ np.uint64(p)) <= self.radius]
+
+    def sizes_of(self, shingles: np.ndarray) -> list[int]:
+        """The sizes of all items that have one of these shingles. A mark an item, whatever the postings' total length."""
+        marked = np.zeros(len(self.sizes), bool)
+        for a, b in zip(np.searchsorted(self.shingles, shingles, "left").tolist(), np.searchsorted(self.shingles, shingles, "right").tolist(), strict=True):
+            marked[self.owner[a:b]] = True
+        return np.unique(self.sizes[marked]).tolist()
 
     def hits(self, sh: np.ndarray) -> np.ndarray:
         """Whether each shingle is one of the benchmark's."""
@@ -106,23 +119,25 @@ class Index:
 
     def search(self, own: np.ndarray, hit: np.ndarray) -> list[tuple[int, float, int, int]]:
         """(item, similarity, first shingle, shingles) of the best window for each item found in one text."""
-        at = np.flatnonzero(hit)
-        lo, hi = np.searchsorted(self.shingles, own[at], "left"), np.searchsorted(self.shingles, own[at], "right")
-        items = np.unique(np.concatenate([self.owner[a:b] for a, b in zip(lo, hi, strict=True)]))
         run = np.concatenate([[0], np.cumsum(hit)])
         best: dict[int, tuple[int, float, int, int]] = {}
-        for size in np.unique(self.sizes[items]).tolist():
+        for size in self.sizes_of(np.unique(own[hit])):
+            seen: set[bytes] = set()  # windows of the same shingles, found before: of equal values the first counts
             length = min(size, len(own))
             start = np.arange(len(own) - length + 1)
             # the shared weight must reach similarity * (larger side), which is at least the item's size
             start = start[run[start + length] - run[start] >= np.ceil(self.similarity * size - 1e-9)]
             if not len(start):
                 continue
-            prints = self._window_prints(own, start, length)
-            for s, found in zip(start.tolist(), self.within(size, prints), strict=True):
+            for s, found in self._candidates(own, start, length, size):
                 if not len(found):
                     continue
                 u, c = np.unique(own[s : s + length], return_counts=True)
+                name = hashlib.sha256(u.tobytes() + c.tobytes()).digest()
+                if name in seen:
+                    continue
+                if len(seen) < SEEN:
+                    seen.add(name)
                 u, c = u.tolist(), c.tolist()
                 for i in found.tolist():
                     w = self.weights[i]
@@ -132,10 +147,9 @@ class Index:
                         best[i] = (self.ids[i], value, s, length)
         return [best[i] for i in sorted(best)]
 
-    @staticmethod
-    def _window_prints(own: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
-        """Fingerprints of windows; weights add up, so sums of bits over a window come from running sums."""
-        out, first = [], 0
+    def _candidates(self, own: np.ndarray, start: np.ndarray, length: int, size: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Each window's start with the items near its fingerprint; weights add up, so sums of bits over a window come from running sums."""
+        first = 0
         while first < len(start):
             # few starts that lie near each other at a time, which bounds the running sums
             part = start[first : min(first + 4096, int(np.searchsorted(start, start[first] + 16384)))]
@@ -143,8 +157,8 @@ class Index:
             a, b = int(part[0]), int(part[-1]) + length
             run = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(spread(own[a:b]), axis=0, dtype=np.int32)])
             sums = run[part - a + length] - run[part - a]
-            out.append(np.packbits(sums > 0, axis=1, bitorder="little").view(np.uint64).reshape(-1))
-        return np.concatenate(out)
+            prints = np.packbits(sums > 0, axis=1, bitorder="little").view(np.uint64).reshape(-1)
+            yield from zip(part.tolist(), self._within(size, prints), strict=True)
 
 
 FOUND = "similarity double, start_word long, n_words long"
