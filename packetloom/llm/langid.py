@@ -24,15 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import _text
-from ._store import small_batches
+from ._store import Workspace, small_batches
 
-#: Labelled rows a language's sample is drawn from, and the symbols it holds at most. The tables of
-#: all languages together hold at most TOTAL_SYMBOLS symbols (about 300 bytes each). LANGUAGES: values of
-#: lang that are learned, the most frequent ones. All four are parameters of ``train``.
+#: Labelled rows a language's sample is drawn from, and the symbols it holds at most, however many languages
+#: there are. The tables that a task holds are of TOTAL_SYMBOLS symbols at most (about 300 bytes each); more languages
+#: are parsed with in groups. All three are parameters of ``train``.
 TRAIN_ROWS = 64
 TRAIN_SYMBOLS = 40_000
 TOTAL_SYMBOLS = 200_000
-LANGUAGES = 200
 #: Symbols besides digits, and digits that spell the letters for which there is no symbol.
 ALPHABET = 48
 DIGITS = 16
@@ -107,16 +106,27 @@ def parsing_table(trans: np.ndarray) -> np.ndarray:
     return out
 
 
+def ordered_letters(samples: dict[str, list[str]]) -> np.ndarray:
+    """The letters of all samples, the most frequent first."""
+    total = np.zeros(0x110000, np.int64)
+    for texts in samples.values():
+        for t in texts:
+            found, count = np.unique(code_points(t), return_counts=True)
+            total[found] += count
+    found = np.flatnonzero((total > 0) & _letters()).astype(np.uint32)
+    return found[np.argsort(-total[found], kind="stable")]
+
+
 class Model:
-    """Languages, their samples' sizes, and one stacked parsing table with each language's root."""
+    """Languages, their samples' sizes, and one stacked parsing table with each language's root.
+
+    ``order``: the letters of all languages' samples, the most frequent first, where these are only some of them.
+    """
 
-    def __init__(self, samples: dict[str, list[str]], most: int = TRAIN_SYMBOLS, alphabet: int = ALPHABET):
+    def __init__(self, samples: dict[str, list[str]], most: int = TRAIN_SYMBOLS, alphabet: int = ALPHABET, order: np.ndarray | None = None):
         self.languages = sorted(samples)
         points = {k: [code_points(t) for t in v] for k, v in samples.items()}
-        every = np.concatenate([np.empty(0, np.uint32), *(p for v in points.values() for p in v)])
-        every = every[_letters()[every]]
-        found, count = np.unique(every, return_counts=True)
-        order = found[np.argsort(-count, kind="stable")]
+        order = ordered_letters(samples) if order is None else order
         best, rare = order[: alphabet - 2], np.sort(order[alphabet - 2 :])  # letters of one script share leading digits
         self.alphabet, self.places = alphabet, 1
         while DIGITS**self.places < len(rare):
@@ -174,19 +184,37 @@ class Model:
             np.add.at(out[:, j], owner, count)
         return out
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def best(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols of each text, the place of its cheapest language, that one's cost, and the sum of all languages' shares against it."""
         symbol = []
         for t in texts:
             s = self.symbols(code_points(t or ""))
             symbol.append(s if s.any() else s[:0])
         n = np.array([len(s) for s in symbol])
         cost = self.phrases(symbol) * self.bits / np.maximum(n, 1)[:, None]
+        least = cost.min(axis=1)
+        return n, cost.argmin(axis=1), least, np.exp2(-SHARPNESS * (cost - least[:, None])).sum(axis=1)
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         if not self.languages:
             return [UND] * len(texts), [0.0] * len(texts)
-        best = cost.argmin(axis=1)
-        share = np.exp2(-SHARPNESS * (cost - cost.min(axis=1, keepdims=True)))
-        score = 1 / share.sum(axis=1)
-        return [self.languages[b] if k else UND for b, k in zip(best, n, strict=True)], np.where(n > 0, score, 0.0).tolist()
+        n, best, _, share = self.best(texts)
+        return [self.languages[b] if k else UND for b, k in zip(best, n, strict=True)], np.where(n > 0, 1 / share, 0.0).tolist()
+
+
+class Models:
+    """More languages than one task's tables hold: samples, and the models of groups of them, made one after another.
+
+    All groups spell letters alike, so what a language costs does not depend on its group.
+    """
+
+    def __init__(self, samples: dict[str, list[str]], most: int, group: int):
+        self.samples, self.most, self.group = samples, most, group
+        self.languages, self.order = sorted(samples), ordered_letters(samples)
+
+    def groups(self):
+        for at in range(0, len(self.languages), self.group):
+            yield Model({k: self.samples[k] for k in self.languages[at : at + self.group]}, self.most, order=self.order)
 
 
 def held_out(doc_id="doc_id"):
@@ -201,23 +229,20 @@ def _windows(text: str, wide):
     return F.when(n > WINDOWS * wide, F.concat_ws(" ", *parts)).otherwise(F.col(text))
 
 
-def train(docs: DataFrame, rows: int = TRAIN_ROWS, most: int = TRAIN_SYMBOLS, total: int = TOTAL_SYMBOLS, languages: int = LANGUAGES) -> Model:
-    """A model from at most ``rows`` labelled rows a language that are not held out.
+def train(docs: DataFrame, rows: int = TRAIN_ROWS, most: int = TRAIN_SYMBOLS, total: int = TOTAL_SYMBOLS) -> Model | Models:
+    """A model of every value of lang, from at most ``rows`` labelled rows of each that are not held out.
 
     The rows are those whose ids hash lowest; of several texts under an id and language one counts. A text
     adds at most a share of ``most`` symbols, so that a few long texts do not fill a language's sample; of
-    longer ones, windows from start to end. With more than ``total`` / ``most`` languages a sample holds
-    ``total`` / languages symbols. Of more than ``languages`` values of lang those with the most rows are learned.
-    The driver gathers about 8 * ``most`` characters a language.
+    longer ones, windows from start to end. More than ``total`` / ``most`` languages are parsed with in groups of so many;
+    a language's sample does not depend on how many others there are. The driver gathers about 8 * ``most`` characters a language.
     """
     from pyspark.sql import Window
 
     key = F.struct(F.xxhash64(F.col("doc_id"), F.lit(5)), F.col("doc_id"))
     pool = docs.filter(F.col("lang").isNotNull() & ~held_out()).select("doc_id", "lang", key.alias("k"))
     w = Window.partitionBy("lang").orderBy("k")
-    named = docs.filter(F.col("lang").isNotNull() & ~held_out()).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).select(F.col("lang").alias("__pl_known"))
-    ids = pool.join(F.broadcast(named), F.col("lang") == F.col("__pl_known"), "left_semi").withColumn("r", F.row_number().over(w)).filter(F.col("r") <= rows).select("doc_id", "lang").distinct()
-    # at most rows * languages ids
+    ids = pool.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= rows).select("doc_id", "lang").distinct()  # at most so many a language
     ids = ids.select(F.col("doc_id").alias("__pl_id"), F.col("lang").alias("__pl_lang"), F.count(F.lit(1)).over(Window.partitionBy("lang")).alias("__pl_n"))
     take = docs.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("__pl_id")) & (F.col("lang") == F.col("__pl_lang")))
     wide = F.ceil(F.lit(2 * most) / F.col("__pl_n")).cast("int")
@@ -226,10 +251,38 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, most: int = TRAIN_SYMBOLS, to
     for r in part.orderBy("lang", "doc_id").select("lang", F.col("text").cast("binary").alias("text")).collect():
         if r["text"]:
             samples.setdefault(r["lang"], []).append(bytes(r["text"]).decode("utf-8", "replace"))
-    return Model(samples, min(most, total // max(1, len(samples))))
-
-
-def identify(docs: DataFrame, model: Model) -> DataFrame:
+    group = max(1, total // most)
+    return Model(samples, most) if len(samples) <= group else Models(samples, most, group)
+
+
+def _by_groups(kept: DataFrame, models: Models) -> DataFrame:
+    """``kept`` with lang_pred and score; each group of languages reads the texts in tasks of its own, and the cheapest of all groups wins."""
+    spark = kept.sparkSession
+    ws = Workspace(spark, "languages")
+    kept = ws.save(kept.withColumn("__pl_row", F.monotonically_increasing_id()), "rows")
+    found = None
+    for k, model in enumerate(models.groups()):
+        shared = spark.sparkContext.broadcast(model)
+
+        def run(batches, shared=shared):
+            for batch in batches:
+                text = _text.strings(batch.column("text"))
+                for a, b in _text.groups_of([len(t or "") for t in text], 2 * _text.SLAB):
+                    n, best, cost, share = shared.value.best(text[a:b])
+                    names = [shared.value.languages[i] if k else UND for i, k in zip(best, n, strict=True)]
+                    yield pa.RecordBatch.from_arrays([batch.column("__pl_row").slice(a, b - a), pa.array(names, pa.string()), pa.array(cost), pa.array(share)], ["__pl_row", "lang_pred", "cost", "share"])
+
+        part = ws.save(kept.select("__pl_row", "text").mapInArrow(run, "__pl_row long, lang_pred string, cost double, share double"), f"group-{k}")
+        shared.destroy()
+        found = part if found is None else found.unionByName(part)
+    each = F.collect_list(F.struct("cost", "lang_pred", "share"))  # one of each group of languages
+    found = found.groupBy("__pl_row").agg(F.array_min(each).alias("best"), each.alias("each"))
+    total = F.aggregate("each", F.lit(0.0), lambda s, e: s + e["share"] * F.pow(F.lit(2.0), -SHARPNESS * (e["cost"] - F.col("best.cost"))))
+    found = found.select("__pl_row", F.col("best.lang_pred").alias("lang_pred"), F.when(F.col("best.lang_pred") == UND, 0.0).otherwise(1 / total).alias("score"))
+    return kept.join(found, "__pl_row").drop("__pl_row")
+
+
+def identify(docs: DataFrame, model: Model | Models) -> DataFrame:
     """``docs`` with lang_pred and score (0 to 1), from the column text alone.
 
     A null text, or one without letters, is ``und`` with score 0. Ties go to the language whose
@@ -238,6 +291,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     kept = docs.select([c for c in docs.columns if c not in ("lang_pred", "score")])
     schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     small_batches(docs.sparkSession)
+    if isinstance(model, Models):
+        return _by_groups(kept, model)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
