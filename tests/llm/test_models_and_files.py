@@ -307,7 +307,7 @@ def test_pipeline_stages(spark):
 
 
 def test_registry_names():
-    assert sorted(int(k[2:].split("_")[0]) for k in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in registry.QUERIES) == list(range(1, 14))
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES)
 
 
