@@ -133,8 +133,16 @@ def test_pretokens_are_those_of_the_library_around_every_white_space():
     for c in BLANKS:
         for text in (f"a{c}b", f"a{c}{c}b", f"a {c}b", f"a{c} b", f"{c}a", f"a{c}", f"{c}{c}", f"a \n{c} \t b"):
             want = [p for p, _ in TOOL.tool.pre_tokenizer.pre_tokenize_str(text)]
-            found = TOOL.count(text)[0]
-            assert sorted(found.elements()) == sorted(want), (hex(ord(c)), text)
+            found = [p for part in TOOL.lists(text) for p in part]
+            assert "".join(found) == text
+            assert [p for s in found for p, _ in TOOL.tool.pre_tokenizer.pre_tokenize_str(s)] == want, (hex(ord(c)), text)
+
+
+def test_settled_letters_are_cut_as_the_library_cuts():
+    for c in map(chr, token_counts.SETTLED):
+        text = f"a{c}b {c}{c} 1{c}2 '{c} ...{c} {c}"
+        assert token_counts.UNSETTLED.search(c) is None and token_counts.PRE.findall(text) == TOOL.cut(text), hex(ord(c))
+    assert token_counts.UNSETTLED.search(chr(0x250)) and token_counts.UNSETTLED.search("中") and token_counts.UNSETTLED.search(chr(0x200B))
 
 
 def test_long_texts_are_cut_between_pretokens(monkeypatch):
@@ -144,6 +152,12 @@ def test_long_texts_are_cut_between_pretokens(monkeypatch):
     assert counted(TOOL, text) == library(text)
 
 
+def test_pretokens_that_share_a_hash_are_not_broadcast(spark, monkeypatch):
+    words = spark.createDataFrame([(b"a", 1, 50, 1), (b"b", -2, 40, 2), (b"c", -2, 1, 3), (b"d", 3, 1, 4)], "key binary, hash long, n long, pieces long")
+    prints, pieces = token_counts._numbers(words, 10)
+    assert prints.tolist() == [1] and pieces.tolist() == [1]
+
+
 @pytest.mark.parametrize("hot", [100_000, 20, 1])
 def test_token_counts_equal_the_librarys(spark, hot):
     r = random.Random(hot)
