@@ -56,11 +56,24 @@ def ja4_novelty(df: DataFrame, tenant: list[str], entity: str, fp: str, ts: str,
 
 
 def rare_values(df: DataFrame, key: list[str], value: str, ts: str, min_known: int = 5, forget: int | None = None) -> DataFrame:
-    """Rows whose value the key has not shown (within ``forget`` seconds before), with at least ``min_known`` distinct values before.
+    """Rows whose value the key has not shown (within ``forget`` seconds before), with n_prior_distinct: how many distinct values it had shown before, at least ``min_known``.
 
-    Fingerprint rarity within a tenant and new masters of an outstation are both this.
+    Fingerprint rarity within a tenant and new masters of an outstation are both this. Rows without a value or a time are left out;
+    of rows of one value and time, one is taken. Only the first row of each value and stretch of ``forget`` seconds can be new, so
+    rows come together in these before anything is ordered: a common value, and a tenant of very many rows, are a few rows by then.
     """
-    row = prior_counts(df.filter(F.coalesce(F.col(value).cast("string"), F.lit("")) != ""), key, value, ts)
-    last = F.lag(time.epoch(F.col(ts))).over(Window.partitionBy(*key, value).orderBy(ts))
-    unseen = F.col("is_new") if forget is None else last.isNull() | (time.epoch(F.col(ts)) - last > forget)
-    return row.withColumn("_unseen", unseen).filter(F.col("_unseen") & (F.col("n_prior_distinct") >= min_known)).drop("_unseen", "is_new", "first_seen")
+    known = df.filter((F.coalesce(F.col(value).cast("string"), F.lit("")) != "") & F.col(ts).isNotNull())
+    stretch = F.lit(0).cast("long") if forget is None else time.bucket(F.col(ts), forget)
+    one = known.groupBy(*key, F.col(value).alias("_value"), stretch.alias("_stretch")).agg(
+        F.min_by(F.struct(*df.columns), F.col(ts)).alias("_row"), F.min(ts).alias("_first"), F.max(ts).alias("_last")
+    )
+    last = F.lag("_last").over(Window.partitionBy(*key, "_value").orderBy("_stretch"))
+    one = one.withColumn("_before", last)
+    if forget is not None:
+        one = one.filter(F.col("_before").isNull() | (time.epoch(F.col("_first")) - time.epoch(F.col("_before")) > forget))
+    else:
+        one = one.filter(F.col("_before").isNull())
+    fresh = F.col("_before").isNull().cast("long")
+    upto = F.sum(fresh).over(Window.partitionBy(*key).orderBy("_first", "_value"))
+    one = one.withColumn("n_prior_distinct", upto - fresh).filter(F.col("n_prior_distinct") >= min_known)
+    return one.select("_row.*", "n_prior_distinct")

@@ -306,9 +306,9 @@ def password_spraying(t):
 
 
 @query("""WITH g AS (SELECT l_suppkey, count(DISTINCT l_partkey) AS n_files, count(DISTINCT l_partkey) FILTER (l_returnflag = 'N') AS n_writes, count(DISTINCT l_partkey) FILTER (l_returnflag <> 'N') AS n_reads FROM lineitem GROUP BY ALL)
- SELECT *, n_writes / (n_writes + n_reads)::DOUBLE AS write_share FROM g WHERE n_files >= 100 AND n_writes >= 100 AND n_writes / (n_writes + n_reads)::DOUBLE >= 0.5""")
+ SELECT *, n_writes / (n_writes + n_reads)::DOUBLE AS write_share FROM g WHERE n_files >= 100 AND n_writes >= 100 AND n_writes / (n_writes + n_reads)::DOUBLE >= 0.34""")
 def ransomware_smb(t):
-    return counts.smb_ransomware(t("lineitem"), ["l_suppkey"], "l_partkey", F.col("l_returnflag") == "N", min_share=0.5)
+    return counts.smb_ransomware(t("lineitem"), ["l_suppkey"], "l_partkey", F.col("l_returnflag") == "N", min_share=0.34)
 
 
 @query("""WITH g AS (SELECT user_id, count(DISTINCT event_type) AS n_codes, count(DISTINCT json_extract_string(props, '$.k')) AS n_units FROM events GROUP BY ALL)
@@ -388,11 +388,11 @@ _EVENT = "CASE l_returnflag WHEN 'N' THEN 'decoder.ipv4.invalid_checksum' WHEN '
 
 @query(f"""WITH a AS (SELECT l_suppkey, {_KIND} AS k, {_EVENT} AS e FROM lineitem), b AS (SELECT *, k = 'applayer' OR (k = 'stream' AND contains(e, 'reassembly')) AS threat FROM a),
  g AS (SELECT l_suppkey, count(*) AS n, count(*) FILTER (NOT threat AND contains(e, 'checksum')) AS n_checksum, count(*) FILTER (NOT (NOT threat AND contains(e, 'checksum')) AND k = 'decode') AS n_other_decode FROM b GROUP BY ALL)
- SELECT *, round(n_checksum / n::DOUBLE, 4) AS share, CASE WHEN n_other_decode / (n_checksum + n_other_decode)::DOUBLE > 0.44 THEN 'link_corruption_suspected' ELSE 'checksum_validation_suspected' END AS verdict
- FROM g WHERE n >= 200 AND n_checksum / n::DOUBLE >= 0.3""")
+ SELECT *, round(n_checksum / n::DOUBLE, 4) AS share, CASE WHEN n_other_decode / (n_checksum + n_other_decode)::DOUBLE > 0.5 THEN 'link_corruption_suspected' ELSE 'checksum_validation_suspected' END AS verdict
+ FROM g WHERE n >= 200 AND n_checksum / n::DOUBLE >= 0.22""")
 def checksum_health(t):
     a = t("lineitem").select("l_suppkey", F.expr(_KIND).alias("k"), F.expr(_EVENT).alias("e"))
-    return health.checksum_health(a, ["l_suppkey"], "k", "e", min_share=0.3, mixed=0.44)
+    return health.checksum_health(a, ["l_suppkey"], "k", "e", min_share=0.22, mixed=0.5)
 
 
 @query("""WITH s AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 > 0 THEN o_custkey * 10 END AS p, o_orderkey % 50 AS d, CASE WHEN o_orderkey % 3 > 0 THEN o_custkey * 10 END AS k, o_orderkey % 30 AS a FROM orders),

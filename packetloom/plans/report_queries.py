@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import rules
-from ..operators import findings, intel, reports, siem
+from ..functions import files, rules
+from ..operators import findings, intel, proofs, reports, siem
 from . import detections
 from .catalog import query
 
@@ -147,3 +147,62 @@ def http_findings(t):
     h = t("pages").selectExpr("'t' AS tenant", "concat('10.0.0.', page_id % 9) AS src_ip", "'8.8.8.8' AS dest_ip", "timestamp_seconds(0) AS event_time", "concat(url, '?q=1'' or 1=1') AS url", "'GET' AS method", "'Mozilla/5.0' AS user_agent")
     f = detections.http_detections(h)[0].filter("detector_id = 'http_sqli'")
     return f.groupBy("detector_id", F.regexp_extract("src_ip", "([0-9]+)$", 1).cast("long").alias("src")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH a AS (SELECT o_orderpriority AS service, o_custkey % 7 AS part, o_orderkey // 4 AS batch, epoch(o_orderdate)::BIGINT AS done, 86400 * (o_orderkey % 400) AS horizon, o_orderkey % 100 AS records FROM orders),
+ b AS (SELECT service, part, batch, max(done) AS done, max(done - horizon) AS proved, arg_max(records, (done, records)) AS records FROM a GROUP BY ALL),
+ d AS (SELECT service, part, max(done) AS evaluated_at, max(proved) AS proved, sum(records)::BIGINT AS records FROM b GROUP BY ALL),
+ i AS (SELECT o_orderpriority AS service, o_custkey % 8 AS part, max(epoch(o_orderdate)::BIGINT) AS last_input FROM orders WHERE o_orderstatus <> 'F' GROUP BY ALL),
+ e AS (SELECT DISTINCT o_orderpriority AS service, o_custkey % 9 AS part FROM orders)
+ SELECT service, part, last_input, evaluated_at, records, CASE WHEN last_input IS NOT NULL AND proved IS NOT NULL THEN greatest(last_input - proved, 0) END AS behind,
+  CASE WHEN proved IS NULL THEN CASE WHEN last_input IS NULL THEN 'idle' ELSE 'missing' END WHEN last_input IS NULL OR proved >= last_input THEN 'evaluated' ELSE 'behind' END AS verdict
+ FROM e LEFT JOIN i USING (service, part) LEFT JOIN d USING (service, part)""")
+def evaluation_coverage(t):
+    o, at = t("orders"), F.unix_seconds(F.col("o_orderdate").cast("timestamp"))
+    named = lambda n: [F.col("o_orderpriority").alias("service"), (F.col("o_custkey") % n).alias("part")]
+    acks = o.select(*named(7), F.floor(F.col("o_orderkey") / 4).alias("batch"), at.alias("evaluated_at"), (86400 * (F.col("o_orderkey") % 400)).alias("horizon"), (F.col("o_orderkey") % 100).alias("records"))
+    return proofs.coverage(acks, o.filter("o_orderstatus <> 'F'").select(*named(8), at.alias("at")), o.select(*named(9)))
+
+
+_WINDOWS = "w AS (SELECT DISTINCT event_type AS service, user_id % 10 AS part, (floor(epoch(ts) / 3600)::BIGINT + 1) * 3600 AS until FROM events)"
+
+
+@query(f"""WITH {_WINDOWS}, a AS (SELECT event_type AS service, user_id % 10 AS part, floor(epoch(ts))::BIGINT AS at, floor(epoch(ts))::BIGINT - 1800 * (event_id % 4) AS proved FROM events WHERE event_id % 3 = 0)
+ SELECT w.service, w.part, w.until, min(a.at)::DOUBLE AS evaluated_at FROM w LEFT JOIN a ON a.service = w.service AND a.part = w.part AND a.proved >= w.until GROUP BY ALL""")
+def window_proofs(t):
+    e = t("events").select(F.col("event_type").alias("service"), (F.col("user_id") % 10).alias("part"), "event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"))
+    w = e.select("service", "part", ((F.floor(F.col("at") / 3600) + 1) * 3600).alias("until")).distinct()
+    a = e.filter("event_id % 3 = 0").select("service", "part", F.col("at").alias("evaluated_at"), (1800 * (F.col("event_id") % 4)).alias("horizon"))
+    return proofs.window_proofs(w, a)
+
+
+@query("""WITH b AS (SELECT DISTINCT event_type AS service, event_id // 8 AS batch FROM events), g AS (SELECT *, lag(batch, 1, -1) OVER (PARTITION BY service ORDER BY batch) AS p FROM b)
+ SELECT service, p + 1 AS first_missing, batch - 1 AS last_missing FROM g WHERE batch > p + 1""")
+def batch_gaps(t):
+    return proofs.batch_gaps(t("events").select(F.col("event_type").alias("service"), F.floor(F.col("event_id") / 8).alias("batch")))
+
+
+@query("""WITH l AS (SELECT l_returnflag AS service, l_suppkey AS worker, arg_max(l_quantity::BIGINT, (l_shipdate, l_quantity::BIGINT)) AS v FROM lineitem GROUP BY ALL) SELECT service, sum(v)::BIGINT AS handled, count(*) AS workers FROM l GROUP BY ALL""")
+def worker_totals(t):
+    c = t("lineitem").select(F.col("l_returnflag").alias("service"), F.col("l_suppkey").alias("worker"), F.col("l_quantity").cast("long").alias("handled"), "l_shipdate")
+    return proofs.worker_totals(c, ["service"], "handled", "l_shipdate")
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'application/x-dosexec' WHEN 1 THEN 'application/x-elf' WHEN 2 THEN 'application/pdf' WHEN 3 THEN 'application/zip' WHEN 4 THEN 'text/plain' ELSE 'application/octet-stream' END AS kind,
+ CASE WHEN p_partkey % 6 = 0 THEN p_size * 300 END::BIGINT AS machine, CASE WHEN p_partkey % 6 = 0 THEN p_partkey * 65537 END::BIGINT AS compiled, CASE WHEN p_partkey % 6 = 0 THEN p_size % 2 = 1 END AS is_dll FROM part""")
+def file_kinds(t):
+    """Files built from the rows: executables with headers, and other signatures."""
+    turned = lambda n, size: F.concat(*[F.lpad(F.hex(F.shiftright(n.cast("long"), 8 * i).bitwiseAND(255)), 2, "0") for i in range(size)])
+    size, key = F.col("p_size"), F.col("p_partkey")
+    pe = F.concat(F.lit("4D5A" + "00" * 58 + "40000000" + "50450000"), turned(size * 300, 2), F.lit("0300"), turned(key * 65537, 4), F.lit("00" * 10), turned((size % 2) * 0x2000, 2))
+    other = F.when(key % 6 == 1, "7F454C4602").when(key % 6 == 2, "255044462D312E34").when(key % 6 == 3, "00FF" + "504B0506" + "00" * 18).when(key % 6 == 4, "706C61696E0A").otherwise("00FF01")
+    f = t("part").select("p_partkey", F.unhex(F.when(key % 6 == 0, pe).otherwise(other)).alias("d"))
+    f = f.select("p_partkey", files.kind(F.col("d")).alias("kind"), files.executable(F.col("d")).alias("e"))
+    return f.select("p_partkey", "kind", "e.machine", "e.compiled", "e.is_dll")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 5 IN (1, 2, 4) THEN 'entry escapes root' WHEN p_size > 40 THEN 'entry exceeds size' END AS fault FROM part""")
+def archive_faults(t):
+    name = F.expr("element_at(array('a/../b', '../b', 'a/../../b', 'a/./b', '/b'), CAST(p_partkey % 5 + 1 AS INT))")
+    a = t("part").select("p_partkey", F.array(F.struct(name.alias("name"), F.col("p_size").cast("long").alias("size"))).alias("entries"))
+    return a.select("p_partkey", files.archive_fault(F.col("entries"), 40).alias("fault"))

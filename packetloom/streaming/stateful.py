@@ -21,12 +21,13 @@ def _ms(t) -> int:
 
 
 class FirstWriteCounter(StatefulProcessor):
-    """Counts a key's events in a window that opens at its first event and is never extended; emits once at the threshold."""
+    """Counts a key's events in a window that opens at its first event and is never extended; emits once at the threshold. A window that has ended is forgotten."""
 
     def __init__(self, seconds: int, least: int):
         self.ms, self.least = seconds * 1000, least
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("count", "opened long, n long, told boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
@@ -35,6 +36,7 @@ class FirstWriteCounter(StatefulProcessor):
         for t in sorted(_ms(x) for f in rows for x in f["event_time"]):
             if opened is None or t >= opened + self.ms:
                 opened, n, told = t, 0, False
+                self.handle.registerTimer(opened + self.ms)
             if t >= opened:
                 n += 1
             if n >= self.least and not told:
@@ -44,32 +46,57 @@ class FirstWriteCounter(StatefulProcessor):
             self.state.update((opened, n, told))
         yield pd.DataFrame(out, columns=["key", "window_start", "n"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.state.exists() and self.state.get()[0] + self.ms <= expiredTimerInfo.getExpiryTimeInMs():
+            self.state.clear()
+        yield pd.DataFrame([], columns=["key", "window_start", "n"])
+
     def close(self) -> None:
         pass
 
 
 class FirstSeen(StatefulProcessor):
-    """Members in the order a key first met them; emits those after the first ``history``, with their rank (from 0)."""
+    """Members in the order a key first met them; emits those after the first ``history``, with their rank (from 0).
+
+    With ``keep``, a key without rows for that many seconds is forgotten with all its members, and starts anew.
+    """
 
-    def __init__(self, history: int):
-        self.history = history
+    def __init__(self, history: int, keep: int | None = None):
+        self.history, self.keep = history, keep and keep * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "seen long")
         self.known = handle.getMapState("known", "member string", "first_seen long")
         self.size = handle.getValueState("size", "n long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         n = self.size.get()[0] if self.size.exists() else 0
+        last = self.last.get()[0] if self.last.exists() else None
         out = []
         for t, member in sorted((_ms(t), m) for f in rows for t, m in zip(f["event_time"], f["member"], strict=True) if m):
+            if self.keep and last is not None and t >= last + self.keep:
+                self.known.clear()
+                n = 0
+            last = t if last is None else max(last, t)
             if not self.known.containsKey((member,)):
                 self.known.updateValue((member,), (t,))
                 if n >= self.history:
                     out.append((*key, member, pd.Timestamp(t, unit="ms"), n))
                 n += 1
         self.size.update((n,))
+        if last is not None:
+            self.last.update((last,))
+            if self.keep:
+                self.handle.registerTimer(last + self.keep)
         yield pd.DataFrame(out, columns=["key", "member", "first_seen", "rank"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.keep and self.last.exists() and self.last.get()[0] + self.keep <= expiredTimerInfo.getExpiryTimeInMs():
+            for state in (self.known, self.size, self.last):
+                state.clear()
+        yield pd.DataFrame([], columns=["key", "member", "first_seen", "rank"])
+
     def close(self) -> None:
         pass
 
@@ -204,9 +231,9 @@ def first_write_counts(events: DataFrame, seconds: int, least: int, lateness: st
     return _run(events, FirstWriteCounter(seconds, least), "key string, window_start timestamp, n long", lateness)
 
 
-def first_seen_ranks(events: DataFrame, history: int, lateness: str = "60 seconds") -> DataFrame:
+def first_seen_ranks(events: DataFrame, history: int, lateness: str = "60 seconds", keep: int | None = None) -> DataFrame:
     """events: key, member, event_time. See FirstSeen."""
-    return _run(events, FirstSeen(history), "key string, member string, first_seen timestamp, rank long", lateness)
+    return _run(events, FirstSeen(history, keep), "key string, member string, first_seen timestamp, rank long", lateness)
 
 
 def pending_findings(events: DataFrame, seconds: int, lateness: str = "60 seconds", keep: int = 86_400) -> DataFrame:
