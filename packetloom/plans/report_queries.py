@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import files, rules
 from ..operators import findings, intel, proofs, reports, siem
+from ..sources import replay
 from . import detections
 from .catalog import query
 
@@ -206,3 +207,13 @@ def archive_faults(t):
     name = F.expr("element_at(array('a/../b', '../b', 'a/../../b', 'a/./b', '/b'), CAST(p_partkey % 5 + 1 AS INT))")
     a = t("part").select("p_partkey", F.array(F.struct(name.alias("name"), F.col("p_size").cast("long").alias("size"))).alias("entries"))
     return a.select("p_partkey", files.archive_fault(F.col("entries"), 40).alias("fault"))
+
+
+@query("""WITH x AS (SELECT event_id, epoch_us(ts) AS us FROM events),
+ o AS (SELECT DISTINCT us FROM x), g AS (SELECT us, least(30000000, coalesce(us - lag(us) OVER (ORDER BY us), 0)) AS gap FROM o),
+ d AS (SELECT us, sum(gap) OVER (ORDER BY us) AS run FROM g)
+ SELECT event_id, CAST(floor((us - (SELECT min(us) FROM x)) / 4.0) AS BIGINT) AS due_true, CAST(floor(run / 4.0) AS BIGINT) AS due_capped FROM x JOIN d USING (us)""")
+def replay_schedule(t):
+    e = t("events").select("event_id", "ts")
+    true = replay.due(e, "ts", speed=4.0).withColumnRenamed("due", "due_true")
+    return replay.due(true, "ts", speed=4.0, max_gap=30.0).select("event_id", "due_true", F.col("due").alias("due_capped"))

@@ -69,10 +69,11 @@ def variant(lines: DataFrame, name: str) -> DataFrame:
     return VARIANTS[name](lines)
 
 
-BUNDLE = (
-    "objects array<struct<type:string,id:string,name:string,pattern:string,pattern_type:string,valid_from:string,valid_until:string,revoked:boolean,confidence:int,"
-    "object_marking_refs:array<string>,definition:struct<tlp:string>>>, more boolean"
+OBJECT = (
+    "type:string,id:string,name:string,pattern:string,pattern_type:string,valid_from:string,valid_until:string,revoked:boolean,confidence:int,"
+    "object_marking_refs:array<string>,definition:struct<tlp:string>"
 )
+BUNDLE = f"objects array<struct<{OBJECT}>>, more boolean"
 STIX_KINDS = {
     "ipv4-addr:value": "ip", "ipv6-addr:value": "ip", "domain-name:value": "domain", "url:value": "url",
     "file:hashes.MD5": "hash", "file:hashes.'SHA-1'": "hash", "file:hashes.'SHA-256'": "hash", "file:hashes.SHA-1": "hash", "file:hashes.SHA-256": "hash",
@@ -87,7 +88,15 @@ def stix(spark: SparkSession, path: str) -> DataFrame:
     in the same path: the last page of a collection says more = false.
     """
     doc = spark.read.schema(BUNDLE).json(path, multiLine=True)
-    obj = doc.select(F.explode("objects").alias("o")).select("o.*")
+    return _indicators(doc.select(F.explode("objects").alias("o")).select("o.*"))
+
+
+def stix_indicators(objects: DataFrame, value: str = "object") -> DataFrame:
+    """As ``stix``, of rows that hold an object each as JSON (``taxii.objects``). Of rows that repeat an object one counts."""
+    return _indicators(objects.select(F.from_json(value, f"struct<{OBJECT}>").alias("o")).select("o.*").distinct())
+
+
+def _indicators(obj: DataFrame) -> DataFrame:
     marks = obj.filter(F.col("type") == "marking-definition").select(F.col("id").alias("_mark"), tlp_rank(F.lower("definition.tlp")).alias("_rank"))
     marks = marks.groupBy("_mark").agg(F.max("_rank").alias("_rank"))
     ind = obj.filter(F.col("type") == "indicator")
