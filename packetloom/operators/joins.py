@@ -79,6 +79,18 @@ def cidr_join(left: DataFrame, address: str, nets: DataFrame, cidr: str, on: lis
     return masked_join(left, n, "_length", ips.key(F.col(address)), base, on).drop("_length")
 
 
+def cidr_members(left: DataFrame, id: str, address: str, nets: DataFrame, member: str, cidr: str, span: int = 65_536) -> DataFrame:
+    """Pairs (id of ``left``, member of ``nets``) of every network that contains the address, where many members share a network.
+
+    Addresses meet distinct networks, which hold their members (whole numbers) as lists; the lists are unfolded last, so a pair costs
+    no lookup. A list holds the members of one range of ``span`` numbers. A small table can have very many pairs: its rows are
+    dealt out over all cores before.
+    """
+    held = nets.groupBy(cidr, F.floor(F.col(member) / span).alias("_span")).agg(F.collect_list(member).alias("_members")).drop("_span")
+    row = left.select(id, address).repartition(4 * left.sparkSession.sparkContext.defaultParallelism, id)
+    return cidr_join(row, address, held, cidr).select(id, F.explode("_members").alias(member))
+
+
 def reconcile(before: DataFrame, now: DataFrame, key: list[str]) -> DataFrame:
     """Keys of ``before`` that ``now`` no longer has: the tombstones to write."""
     return before.select(*key).distinct().join(now.select(*key).distinct(), key, "left_anti")
