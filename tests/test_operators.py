@@ -316,6 +316,33 @@ def test_episodes(spark):
     assert (x.episodes, x.found, x.tp, x.fp, x.ambiguous) == (3, 1, 1, 2, 1)
 
 
+def _made_episodes(spark, seed):
+    r = random.Random(seed)
+    some = lambda least: [r.choice(["a", "b", "c", "d", "e", "f", None] if r.random() < 0.1 else "abcdef") for _ in range(r.randint(least, 4))]
+    span = lambda: (None, 5.0) if r.random() < 0.05 else (float(t := r.randint(0, 400)), float(t + r.choice([0, 3, 40])))
+    tenant = lambda: r.choice(["t", "t", "u", None])
+    d = [(r.choice([None, *range(60)]), tenant(), None if r.random() < 0.05 else some(0), *span()) for _ in range(120)]
+    e = [(r.choice([None, *range(30)]), tenant(), some(0)[:2], *span(), r.choice(["malicious", "benign", "unknown", None])) for _ in range(60)]
+    types = "{} int, tenant string, {} array<string>, start double, end double"
+    return d, e, spark.createDataFrame(d, types.format("detection_id", "entities")), spark.createDataFrame(e, types.format("episode_id", "required") + ", label string")
+
+
+def _plain_pairs(d, e, tolerance):
+    """Row numbers of pairs that match, by comparing all with all."""
+    meet = lambda x, y: None not in (x[1], x[2], x[3], y[3], *y[2]) and y[2] and x[1] == y[1] and set(y[2]) <= set(x[2]) and x[3] <= y[4] + tolerance and x[4] >= y[3] - tolerance
+    return [(i, j) for i, x in enumerate(d) for j, y in enumerate(e) if meet(x, y)]
+
+
+@pytest.mark.parametrize("tolerance", [0.0, 7.0])
+def test_episodes_match_as_all_pairs_do(spark, tolerance):
+    d, e, detections, episodes = _made_episodes(spark, 5)
+    pairs = _plain_pairs(d, e, tolerance)
+    got = scoring.match_episodes(detections, episodes, tolerance, block=30.0)
+    assert len(pairs) > 20 and sorted(map(tuple, got.collect()), key=repr) == sorted(((d[i][0], e[j][0]) for i, j in pairs), key=repr)
+    # rows meet on the whole required set, not on one entity of it
+    assert "(_req" in got._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[1].split("\n")[0]
+
+
 def test_set_scores_of_nothing(spark):
     none = spark.createDataFrame([], "k string")
     assert tuple(scoring.set_scores(none, none, "k").first()) == (0, 0, 0, 0.0, 0.0, 0.0, None)
