@@ -343,6 +343,25 @@ def test_episodes_match_as_all_pairs_do(spark, tolerance):
     assert "(_req" in got._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[1].split("\n")[0]
 
 
+@pytest.mark.parametrize("tolerance", [0.0, 7.0])
+def test_episode_scores_are_those_of_all_pairs(spark, tolerance):
+    d, e, detections, episodes = _made_episodes(spark, 8)
+    pairs = _plain_pairs(d, e, tolerance)
+    met = {e[j][0] for _, j in pairs} - {None}
+    labels = {k: {e[j][5] for i, j in pairs if d[i][0] == k} for k in {x[0] for x in d}} | {None: set()}
+    bad = [y for y in e if y[5] == "malicious"]
+    true = {k for k, v in labels.items() if "malicious" in v}
+    ambiguous = {k for k, v in labels.items() if "unknown" in v} - true
+    got = scoring.episode_scores(detections, episodes, tolerance, block=30.0)
+    x = got.first()
+    assert (x.episodes, x.found, x.tp, x.fp, x.ambiguous) == (len(bad), sum(y[0] in met for y in bad), len(true), len(labels) - len(true) - len(ambiguous), len(ambiguous))
+    assert x.found and x.tp and x.ambiguous
+    # pairs are not built
+    assert "sequence(" not in got._jdf.queryExecution().optimizedPlan().toString()
+    nothing = scoring.episode_scores(detections, episodes.limit(0)).first()
+    assert (nothing.episodes, nothing.found, nothing.tp, nothing.recall, nothing.precision) == (0, 0, 0, 0.0, 0.0)
+
+
 def test_set_scores_of_nothing(spark):
     none = spark.createDataFrame([], "k string")
     assert tuple(scoring.set_scores(none, none, "k").first()) == (0, 0, 0, 0.0, 0.0, 0.0, None)
