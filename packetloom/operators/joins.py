@@ -79,16 +79,37 @@ def cidr_join(left: DataFrame, address: str, nets: DataFrame, cidr: str, on: lis
     return masked_join(left, n, "_length", ips.key(F.col(address)), base, on).drop("_length")
 
 
+def _pieces(items: str, most: int) -> Column:
+    """The list in pieces of at most so many."""
+    return F.explode(F.transform(F.sequence(F.lit(1), F.size(items), F.lit(most)), lambda i: F.slice(items, i, most)))
+
+
 def cidr_members(left: DataFrame, id: str, address: str, nets: DataFrame, member: str, cidr: str, span: int = 65_536) -> DataFrame:
     """Pairs (id of ``left``, member of ``nets``) of every network that contains the address, where many members share a network.
 
-    Addresses meet distinct networks, which hold their members (whole numbers) as lists; the lists are unfolded last, so a pair costs
-    no lookup. A list holds the members of one range of ``span`` numbers. A small table can have very many pairs: its rows are
-    dealt out over all cores before.
+    Addresses that no network tells apart are one list of ids, the members (whole numbers) of equal networks another; lists meet, and
+    are unfolded last, so a pair costs no lookup. A list holds at most 1,024 ids, or the members of one range of ``span`` numbers. A
+    small table can have very many pairs: what has met is dealt out over all cores before. Rows without id or member have no pairs.
+
+    Pairs come in blocks of 64 members by 128 ids, the few ids of a task side by side: a columnar file holds them as runs of a member
+    and a short list of ids that repeats, at about a seventh of a byte a pair, and no task has more than a block's rows at once.
     """
-    held = nets.groupBy(cidr, F.floor(F.col(member) / span).alias("_span")).agg(F.collect_list(member).alias("_members")).drop("_span")
-    row = left.select(id, address).repartition(4 * left.sparkSession.sparkContext.defaultParallelism, id)
-    return cidr_join(row, address, held, cidr).select(id, F.explode("_members").alias(member))
+    deal = 8 * left.sparkSession.sparkContext.defaultParallelism
+    n = nets.withColumn("_length", ips.net_length(F.col(cidr))).filter("_length IS NOT NULL")
+    n = n.withColumn("_base", ips.key(F.get(F.split(F.col(cidr), "/"), F.lit(0))))
+    same = [ips.mask(F.col("_base"), F.col("_length")).alias("_mask"), F.floor(F.col(member) / span).alias("_span")]
+    held = n.groupBy("_length", *same).agg(F.min("_base").alias("_base"), F.sort_array(F.collect_list(member)).alias("_members")).drop("_mask", "_span")
+    lengths = n.select("_length").distinct().agg(F.array_sort(F.collect_set("_length")).alias("_lengths"))
+    row = left.select(id, ips.key(F.col(address)).alias("_at")).filter("_at IS NOT NULL").join(F.broadcast(lengths))
+    row = row.withColumn("_masks", F.transform("_lengths", lambda x: ips.mask(F.col("_at"), x)))
+    # sorted, so that a task that runs again cuts the same pieces
+    asked = row.groupBy("_masks", F.pmod(F.xxhash64(id), F.lit(64)).alias("_part")).agg(F.min("_at").alias("_at"), F.sort_array(F.collect_list(id)).alias("_all"))
+    asked = asked.select("_at", _pieces("_all", 1_024).alias("_ids"))
+    met = masked_join(asked, held, "_length", F.col("_at"), F.col("_base")).select("_ids", "_members")
+    first = [F.get(c, F.lit(0)) for c in ("_ids", "_members")]
+    block = met.repartition(deal, first[0]).sortWithinPartitions(*first)
+    block = block.select("_members", _pieces("_ids", 128).alias("_ids")).select("_ids", _pieces("_members", 64).alias("_members"))
+    return block.select("_ids", F.explode("_members").alias(member)).select(F.explode("_ids").alias(id), member)
 
 
 def reconcile(before: DataFrame, now: DataFrame, key: list[str]) -> DataFrame:

@@ -145,6 +145,26 @@ def test_members_of_shared_networks(spark):
     assert "REPARTITION_BY_NUM" in plan and "explode(_members" in plan
 
 
+def test_members_in_blocks_are_small_files(spark, tmp_path):
+    """24 million pairs: runs of a member and short lists that repeat; with a list of all 12,000 members an id they took over a byte each."""
+    left = spark.range(2_000).select("id", F.format_string("10.1.%d.%d", F.col("id") % 8, F.col("id") % 250).alias("ip"))
+    nets = F.array(*map(F.lit, ["10.1.0.0/16", "10.1.0.0/21", "10.1.7.0/16", "10.1.255.255/16"]))
+    member = spark.range(12_000).select(F.col("id").alias("m"), F.get(nets, (F.col("id") % 4).cast("int")).alias("net"))
+    joins.cidr_members(left, "id", "ip", member, "m", "net").write.parquet(f"{tmp_path}/pairs")
+    got = spark.read.parquet(f"{tmp_path}/pairs")
+    assert tuple(got.agg(F.count("*"), F.sum("id"), F.sum("m")).first()) == (24_000_000, 12_000 * sum(range(2_000)), 2_000 * sum(range(12_000)))
+    assert got.groupBy("id").agg(F.countDistinct("m").alias("n")).filter("n <> 12000").isEmpty()
+    assert sum(p.stat().st_size for p in tmp_path.rglob("*.parquet")) < 0.5 * 24_000_000
+
+
+def test_members_of_equal_networks_that_are_cut_within_a_digit(spark):
+    """Bits 17 to 21 are set, so a mask of a mask would be another one; two spellings of a network are one."""
+    left = spark.createDataFrame([(1, "10.1.250.1"), (2, "10.1.242.9"), (3, "10.1.250.7"), (4, "10.1.120.1")], "id long, ip string")
+    member = spark.createDataFrame([(10, "10.1.248.0/21"), (11, "10.1.255.1/21"), (12, "10.1.240.0/21"), (13, "10.1.0.0/17"), (14, "10.1.250.0/24")], "m long, net string")
+    got = joins.cidr_members(left, "id", "ip", member, "m", "net")
+    assert sorted(map(tuple, got.collect())) == [(1, 10), (1, 11), (1, 14), (2, 12), (3, 10), (3, 11), (3, 14), (4, 13)]
+
+
 LEASES = [("i", "m1", 0, 100, "o1"), ("i", "m2", 50, 70, "o2"), ("i", "m1", 50, 500, "o3"), ("i", "m1", 90, 120, "o4"), ("i", "m1", 110, 200, "o5"), ("j", "m3", 0, None, "o6")]
 
 
